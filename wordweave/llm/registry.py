@@ -11,12 +11,13 @@ from wordweave.llm.chat_format import OP5_SQL, op5_chat_format
 from wordweave.llm.line_dedup import OP9_SQL, op9_line_dedup
 from wordweave.llm.quality_rules import op10_quality_rules
 from wordweave.llm.source_mix import OP6_SQL, op6_source_mix
+from wordweave.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from wordweave.llm.topk_search import OP2_SQL, op2_topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_topk_search, op5_chat_format, op6_source_mix, op8_byte_bpe, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op5_chat_format, op6_source_mix, op8_byte_bpe, op9_line_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": OP2_SQL, "op5_chat_format": OP5_SQL, "op6_source_mix": OP6_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op5_chat_format": OP5_SQL, "op6_source_mix": OP6_SQL, "op9_line_dedup": OP9_SQL}
