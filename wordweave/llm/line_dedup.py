@@ -11,8 +11,8 @@ document is a compressed bitmap (runs of dropped lines), no text; keep_lines() a
 Results in special cases: null and empty text is one empty line, which is kept; blank and
 short lines stay; a text of any length is judged whole; rows that agree in doc_id and text
 are one document, and each of them gets its bitmap; a null doc_id is smaller than any other;
-of documents with one doc_id and different texts the one with the larger hash counts as
-later; an empty table gives an empty result; other columns are ignored or kept as they are.
+documents with one doc_id and different texts count as one where documents are counted, and
+keep lines together; an empty table gives an empty result; other columns are ignored or kept as they are.
 Two of n different keys share a hash with odds of n * n / 2**129 at most.
 """
 
@@ -41,11 +41,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     lines = keyed(docs).select("did", "tkey", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     keys = lines.select("did", "tkey", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     hashed = keys.select(F.xxhash64("key").alias("a"), F.xxhash64(F.lit("b"), "key").alias("b"), "did", "tkey", "pos")
+    hashed = written(hashed, "hashes")  # sampling for the ranges reads this, not the texts
     order = [F.asc("a"), F.asc("b"), F.desc("did"), F.desc("tkey"), F.asc("pos")]
     sorted_rows = written(hashed.repartitionByRange(*order).sortWithinPartitions(*order), "lines")
-    doc = F.struct("did", "tkey")
-    repeated = written(sorted_rows.groupBy("a", "b").agg(F.count_distinct(doc).alias("n"), F.max(doc).alias("keeper")).filter(F.col("n") >= min_docs).select("a", "b", "keeper"), "repeated")
-    dropped = sorted_rows.join(repeated, ["a", "b"]).filter(doc != F.col("keeper")).groupBy("did", "tkey").agg(F.array_sort(F.collect_list("pos")).alias("p"))
+    # Numbers alone, so that counts are kept in hash maps and need no sort.
+    firsts = sorted_rows.groupBy("a", "b", "did").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("did").alias("keeper"))
+    repeated = written(firsts.filter(F.col("n") >= min_docs).select("a", "b", "keeper"), "repeated")
+    dropped = sorted_rows.join(repeated, ["a", "b"]).filter("did <> keeper").groupBy("did", "tkey").agg(F.array_sort(F.collect_list("pos")).alias("p"))
     first = F.filter("p", lambda x, i: (i == 0) | (F.get("p", i - 1) != x - 1))
     last = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get("p", i + 1) != x + 1))
     runs = dropped.select("did", "tkey", first.alias("f"), last.alias("l"))
