@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wordweave.llm.byte_bpe import op8_byte_bpe
 from wordweave.llm.chat_format import OP5_SQL, op5_chat_format
+from wordweave.llm.language_id import op4_language_id
 from wordweave.llm.line_dedup import OP9_SQL, op9_line_dedup
 from wordweave.llm.minhash_dedup import OP3_SQL, op3_minhash_dedup
 from wordweave.llm.pii_patterns import op7_pii_patterns
@@ -18,7 +19,7 @@ from wordweave.llm.topk_search import OP2_SQL, op2_topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op3_minhash_dedup, op5_chat_format, op6_source_mix, op7_pii_patterns, op8_byte_bpe, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op3_minhash_dedup, op4_language_id, op5_chat_format, op6_source_mix, op7_pii_patterns, op8_byte_bpe, op9_line_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
