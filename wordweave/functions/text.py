@@ -24,7 +24,7 @@ GENERIC = [
 ENGLISH_MARKERS = ["the", "and", "of", "is", "are", "with", "that", "this", "for", "which", "these", "from", "have", "has", "was", "were"]
 FEED_BRANDS = ["npr", "topics", "news", "guardian", "ars", "technica", "bbc", "reuters", "nytimes", "times", "headlines", "latest", "rss", "feed", "homepage", "world", "video", "audio", "podcast"]
 WIKI_SYSTEM = r"^(Main_Page|Special:|Wikipedia:|Portal:|Help:|File:|Category:|Template:|List_of_|Talk:)"
-SPANISH = r"(?i)[ñáéíóúü¿¡]|\b(de|la|el|los|las|que|con|para|una?)\b"
+SPANISH = r"(?iu)[ñáéíóúü¿¡]|\b(de|la|el|los|las|que|con|para|una?)\b"
 LATIN_TOKEN = r"\b[A-Za-z][A-Za-z\-]{2,}\b"
 ACRONYM, PERSON = r"^[A-Z][A-Z0-9]{1,7}$", r"^[A-Z][a-z]+(?:[ '-][A-Z][a-z]+){1,2}$"
 HANGUL, KANA, HAN, LATIN = "[가-힣]", "[぀-ゟ゠-ヿ]", "[一-鿿]", "[A-Za-z]"

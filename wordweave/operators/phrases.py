@@ -39,9 +39,11 @@ def with_known(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     lengths = phrases.select(F.length("phrase").alias("n")).filter(F.col("n").between(LEAST, MOST)).distinct()
     cut = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("s", spans(F.col("text")))
-    starts = cut.select("id", "text", F.explode(F.array_distinct(F.transform("s", lambda x: x["start"]))).alias("start"))
-    tried = starts.join(F.broadcast(lengths), F.col("start") + F.col("n") <= F.length("text"))  # MOST - LEAST + 1 lengths at most
-    tried = tried.select("id", "start", (F.col("start") + F.col("n")).alias("end"), F.substring("text", F.col("start") + 1, F.col("n")).alias("word"))
+    # Each token start with the MOST characters from there; the text itself isn't copied for each.
+    heads = F.transform("s", lambda x: F.struct(x["start"].alias("start"), F.substring(F.col("text"), x["start"] + 1, F.lit(MOST)).alias("head")))
+    starts = cut.select("id", F.explode(heads).alias("h")).select("id", "h.*").withColumn("one", F.lit(1))
+    tried = starts.join(F.broadcast(lengths.withColumn("one", F.lit(1))), "one").filter(F.col("n") <= F.length("head"))  # MOST - LEAST + 1 lengths at most
+    tried = tried.select("id", "start", (F.col("start") + F.col("n")).alias("end"), F.substring("head", F.lit(1), F.col("n")).alias("word"))
     found = tried.withColumn("phrase", F.lower("word")).join(phrases, "phrase", "left_semi").groupBy("id", "start").agg(F.max_by(F.struct("start", "end", "word"), "end").alias("hit"))
     hits = found.groupBy("id").agg(F.collect_list("hit").alias("hits"))
     none = F.array().cast("array<struct<start:int,end:int,word:string>>")

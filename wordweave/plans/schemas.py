@@ -1,26 +1,23 @@
-"""Explicit schemas of the engine's tables, and upgrades of older ones."""
+"""Explicit schemas of the engine's tables, as DDL, and upgrades of older ones."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wordweave.functions.text import script
 
-NODE = T._parse_datatype_string("id long, key string, word string, canonical string, first_seen timestamp_ntz, lang string, ok boolean")
-SURFACE = T._parse_datatype_string("node_id long, text string")
-GRAPH_CONFIG = T._parse_datatype_string("id long, gen_model string, temperature double, extract_model string, k int, prompt_version string, seed int")
-RESPONSE = T._parse_datatype_string("id long, node_id long, gen_model string, temperature double, prompt_version string, call_id long, text string, created_at timestamp_ntz")
-EDGE = T._parse_datatype_string("config_id long, src_id long, dst_id long, rank int, response_id long, created_at timestamp_ntz")
-NONEDGE = T._parse_datatype_string("config_id long, src_id long, dst_id long, source string, created_at timestamp_ntz")
-RUN = T._parse_datatype_string(
-    "id long, config_id long, start_word string, target_word string, mode string, policy string, budget int, max_depth int, seed int, basin_depth int, found boolean, hops int, path array<string>, expanded int, verify_cost int, basin_nodes int, seconds double, created_at timestamp_ntz"
-)
-SEARCH_LOG = T._parse_datatype_string("id long, kind string, a string, b string, status string, hops int, lang string, created_at timestamp_ntz")
-RECORD = T._parse_datatype_string("norm_a string, norm_b string, a string, b string, hops int, path array<string>, finder string, created_at timestamp_ntz")
-LLM_CALL = T._parse_datatype_string("id long, kind string, cache_key string, model string, temperature double, params string, input string, output string, created_at timestamp_ntz")
-EMBEDDING = T._parse_datatype_string("model string, text string, dim int, vec array<float>, created_at timestamp_ntz")
+NODE = "id long, key string, word string, canonical string, first_seen timestamp_ntz, lang string, ok boolean"
+SURFACE = "node_id long, text string"
+GRAPH_CONFIG = "id long, gen_model string, temperature double, extract_model string, k int, prompt_version string, seed int"
+RESPONSE = "id long, node_id long, gen_model string, temperature double, prompt_version string, call_id long, text string, created_at timestamp_ntz"
+EDGE = "config_id long, src_id long, dst_id long, rank int, response_id long, created_at timestamp_ntz"
+NONEDGE = "config_id long, src_id long, dst_id long, source string, created_at timestamp_ntz"
+RUN = "id long, config_id long, start_word string, target_word string, mode string, policy string, budget int, max_depth int, seed int, basin_depth int, found boolean, hops int, path array<string>, expanded int, verify_cost int, basin_nodes int, seconds double, created_at timestamp_ntz"
+SEARCH_LOG = "id long, kind string, a string, b string, status string, hops int, lang string, created_at timestamp_ntz"
+RECORD = "norm_a string, norm_b string, a string, b string, hops int, path array<string>, finder string, created_at timestamp_ntz"
+LLM_CALL = "id long, kind string, cache_key string, model string, temperature double, params string, input string, output string, created_at timestamp_ntz"
+EMBEDDING = "model string, text string, dim int, vec array<float>, created_at timestamp_ntz"
 
 #: The columns that tell rows of a table apart.
 KEYS = {
@@ -36,10 +33,11 @@ KEYS = {
 }
 
 
-def conformed(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conformed(df: DataFrame, schema: str) -> DataFrame:
     """df with the schema's columns in order: missing ones null, others cast."""
     have = set(df.columns)
-    return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
+    fields = [x.split(" ") for x in schema.split(", ")]
+    return df.select(*[(F.col(name) if name in have else F.lit(None)).cast(kind).alias(name) for name, kind in fields])
 
 
 def upgraded_nodes(df: DataFrame) -> DataFrame:

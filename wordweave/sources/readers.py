@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wordweave.functions.text import clean, titles, wiki_title
 
@@ -45,10 +44,10 @@ def feed_titles(feeds: DataFrame) -> DataFrame:
     return feeds.select("feed", F.posexplode(titles(F.coalesce("body", F.lit("")))).alias("pos", "title")).filter("pos > 0")
 
 
-PAGE_VIEWS = T._parse_datatype_string("items array<struct<articles:array<struct<article:string,views:long,rank:long>>>>")
+PAGE_VIEWS = "items array<struct<articles:array<struct<article:string,views:long,rank:long>>>>"
 
 
 def page_view_titles(bodies: DataFrame) -> DataFrame:
-    """(pos, title) of page-view documents (body): the first item's articles in order, as clean titles; broken JSON has none."""
+    """(id, pos, title) of page-view documents (id, body): the first item's articles in order, as clean titles; broken JSON has none."""
     articles = F.get(F.from_json("body", PAGE_VIEWS)["items"], 0)["articles"]
-    return bodies.select(F.posexplode(articles).alias("pos", "a")).select("pos", wiki_title(F.col("a.article")).alias("title")).filter("title is not null")
+    return bodies.select("id", F.posexplode(articles).alias("pos", "a")).select("id", "pos", wiki_title(F.col("a.article")).alias("title")).filter("title is not null")
