@@ -117,7 +117,7 @@ def store_upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {GRAPH}, {HEADS}, {_SAMPLE.format(n=60)}, {_WALK.format(e="core")}, {_DIST},
-    q AS (SELECT qid, upper(src) AS a, dst AS b FROM pairs WHERE qid < 40 UNION ALL SELECT 1000, 'black hole', 'zzyzx' UNION ALL SELECT 1001, 'i love this so very much', 'zz'),
+    q AS (SELECT qid, src AS a, dst AS b FROM pairs WHERE qid < 40 UNION ALL SELECT 1000, 'black hole', 'zzyzx' UNION ALL SELECT 1001, 'i love this so very much', 'zz'),
     s AS (SELECT q.*, hops AS way, qid < 1000 AS known, CASE WHEN qid % 2 = 0 AND qid < 1000 THEN 3 END AS prev FROM q LEFT JOIN solved USING (qid)),
     r AS (SELECT qid, a, b, CASE WHEN qid = 1001 THEN 'badword' WHEN NOT known THEN 'unseen' WHEN way IS NULL THEN 'nolink' ELSE 'ok' END AS status, way AS hops, prev FROM s)
     SELECT qid::BIGINT AS qid, a, b, status, hops, CASE WHEN hops IS NOT NULL THEN round(coalesce((SELECT max(share) FROM dist d WHERE d.hops >= r.hops), 0), 6) END AS rarity,
@@ -126,7 +126,7 @@ def store_upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = testbed.edges(spark, sf_dir)
     n = written(testbed.nodes(spark, sf_dir), "nodes")
-    p = paths.sampled_pairs(e, 60).filter("qid < 40").select(F.col("qid").cast("long").alias("qid"), F.upper("src").alias("a"), F.col("dst").alias("b"))
+    p = paths.sampled_pairs(e, 60).filter("qid < 40").select(F.col("qid").cast("long").alias("qid"), F.col("src").alias("a"), F.col("dst").alias("b"))
     p = written(p.union(spark.createDataFrame([(1000, "black hole", "zzyzx"), (1001, "i love this so very much", "zz")], p.schema)), "requests")
     asked = p.withColumns({"ok_a": is_query(F.col("a")), "ok_b": is_query(F.col("b"))})
     responses = n.join(e.select(F.col("src").alias("key")).distinct(), "key", "left_semi").select("word")
