@@ -47,7 +47,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     # Numbers alone, so that counts are kept in hash maps and need no sort.
     firsts = sorted_rows.groupBy("a", "b", "did").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("did").alias("keeper"))
     repeated = written(firsts.filter(F.col("n") >= min_docs).select("a", "b", "keeper"), "repeated")
-    dropped = sorted_rows.join(repeated, ["a", "b"]).filter("did <> keeper").groupBy("did", "tkey").agg(F.array_sort(F.collect_list("pos")).alias("p"))
+    dropped = sorted_rows.join(repeated, ["a", "b"]).filter("did <> keeper").groupBy("did", "tkey").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     first = F.filter("p", lambda x, i: (i == 0) | (F.get("p", i - 1) != x - 1))
     last = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get("p", i + 1) != x + 1))
     runs = dropped.select("did", "tkey", first.alias("f"), last.alias("l"))
