@@ -32,37 +32,37 @@ def hops(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, cap: i
     pairs = written(pairs.select("qid", "src", "dst"), "bfs-pairs")
     inner = core(edges.select("src", "dst"))
     solved = pairs.filter("src = dst").select("qid", F.lit(0).alias("hops"))
-    alive = pairs.filter("src <> dst")
-    seen = {"f": written(alive.select("qid", F.col("src").alias("node")), "bfs"), "b": written(alive.select("qid", F.col("dst").alias("node")), "bfs")}
-    front = dict(seen)
-    depth = {"f": 0, "b": 0}
-    capped = None
-    size = {"f": front["f"].count(), "b": 0}
+    start = pairs.filter("src <> dst")
+    front = {"f": start.select("qid", F.col("src").alias("node")), "b": start.select("qid", F.col("dst").alias("node"))}
+    seen = dict(front)
+    # (qid, n, total) of the pairs still searched: new nodes of a side, and all of them.
+    one = start.select("qid", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("total"))
+    width = {"f": one, "b": one}
+    live, depth, capped = one.select("qid"), {"f": 0, "b": 0}, None
+    size = {"f": start.count(), "b": 0}
     while size["f"] and (max_hops is None or depth["f"] + depth["b"] < max_hops):
         side = "b" if size["b"] <= size["f"] else "f"
         other = "f" if side == "b" else "b"
         steps = edges.select("src", "dst") if depth["b"] == 0 else inner
         steps = steps.select(F.col("dst").alias("node"), F.col("src").alias("next")) if side == "b" else steps.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-        grown = front[side].join(steps, "node").select("qid", F.col("next").alias("node")).distinct()
+        grown = front[side].join(live, "qid", "left_semi").join(steps, "node").select("qid", F.col("next").alias("node")).distinct()
         new = written(grown.join(seen[side], ["qid", "node"], "left_anti"), "bfs-front")
         depth[side] += 1
         met = written(new.join(front[other], ["qid", "node"], "left_semi").select("qid").distinct(), "bfs-met")
         solved = solved.union(met.select("qid", F.lit(depth["f"] + depth["b"]).alias("hops")))
-        go = new.join(met, "qid", "left_anti")
-        kept_seen = seen[side].union(new).join(met, "qid", "left_anti")
+        # A pair lives on while it hasn't met and its frontiers have nodes.
+        rest = new.join(met, "qid", "left_anti").groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+        rest = written(rest.join(width[side].select("qid", "total"), "qid").select("qid", "n", (F.col("n") + F.col("total")).alias("total")), "bfs-live")
         if cap is not None:
-            over = written(kept_seen.groupBy("qid").count().filter(F.col("count") > cap).select("qid"), "bfs-capped")
+            over = rest.filter(F.col("total") > cap).select("qid")
             capped = over if capped is None else capped.union(over)
-            go, kept_seen = go.join(over, "qid", "left_anti"), kept_seen.join(over, "qid", "left_anti")
-        go = written(go, "bfs-front")
-        # A pair lives on while both its frontiers do.
-        live = go.select("qid").distinct()
-        front = {side: go, other: written(front[other].join(live, "qid", "left_semi"), "bfs-front")}
-        seen = {side: written(kept_seen.join(live, "qid", "left_semi"), "bfs-seen"), other: seen[other]}
-        size = {s: front[s].count() for s in ("f", "b")}
+            rest = rest.filter(F.col("total") <= cap)
+        front[side], seen[side], width[side] = new, seen[side].union(new), rest
+        live = rest.select("qid")
+        n, m = rest.join(width[other].select("qid", F.col("n").alias("m")), "qid").agg(F.sum("n"), F.sum("m")).first()
+        size = {side: n or 0, other: m or 0}
     if size["f"] and max_hops is not None:
-        left = front["f"].select("qid").distinct()
-        capped = left if capped is None else capped.union(left)
+        capped = live if capped is None else capped.union(live)
     out = pairs.join(solved, "qid", "left")
     if capped is None:
         given_up = F.lit(False)
