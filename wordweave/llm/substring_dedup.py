@@ -16,12 +16,16 @@ A passage that many documents share is one row of the written tables after map-s
 rows that meet it do so in equi-joins that adaptive execution can split. Spans, anchors and
 texts are put together for each document, never for a passage.
 
+Documents whose whole texts are equal are found by hashes of them: the first is parsed, each
+other is one factor.
+
 Results in special cases: null or empty text has no words, keeps the empty text and loses
-nothing; texts of any length are parsed whole; documents go by doc_id, null before all others,
-and at equal doc_id by a hash of their texts; rows that agree in doc_id and text are one
-document, which is not its own earlier copy, and each of them gets its result; an empty table
-gives an empty result; other columns are ignored. Of n indexed windows two different ones are
-confused with odds of about n * n / 2**65.
+nothing; texts of any length are parsed whole; documents go by doc_id, null before all others;
+different texts of one doc_id count as one document whose windows go by their starts; rows
+that agree in doc_id and text are one document, which is not its own earlier copy, and each of
+them gets its result; an empty table gives an empty result; other columns are ignored. Of n
+indexed windows two different ones are confused with odds of about n * n / 2**65, and so are
+two of n texts.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordweave.llm.shared import documents, keyed, written
-from wordweave.llm.wordhash import Words, slices
+from wordweave.llm.wordhash import Words, mix, slices
 from wordweave.session import ship
 
 WIDTH, SEED = 20, 8
@@ -72,8 +76,18 @@ def _first_words(w: Words, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc, word - w.first[doc]
 
 
+def _repeats(keys: np.ndarray) -> np.ndarray:
+    """Which of the keys occur more than once."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    out = np.zeros(len(keys), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
 def _anchors(width: int, seed: int):
-    """(did, tkey, text) to (anchor, did, tkey, start, len)."""
+    """(did, tkey, text) to (anchor, did, tkey, start, len, again); again: the anchor occurs elsewhere in the same text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +95,7 @@ def _anchors(width: int, seed: int):
             for w in slices(batch.column(2)):
                 start, number, anchor = _anchor_runs(w, width, seed)
                 doc, place = _first_words(w, start)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(did[w.lo + doc]), pa.array(tkey[w.lo + doc]), pa.array(place.astype(np.int32)), pa.array(number.astype(np.int32))], names=["anchor", "did", "tkey", "start", "len"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(did[w.lo + doc]), pa.array(tkey[w.lo + doc]), pa.array(place.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(_repeats(mix(anchor ^ mix(doc.astype(np.uint64)))))], names=["anchor", "did", "tkey", "start", "len", "again"])
 
     return run
 
@@ -130,51 +144,84 @@ def kept_words(text: bytes, factors: list[tuple[int, int, int, int]]) -> tuple[i
 
 
 def _parse(width: int):
-    """(doc_id, text, dups) to PARSED; dups: windows that occur earlier, as (at, source, source_at)."""
+    """(did, tkey, packed, dups) to the text's factors and what they leave; dups: windows that occur earlier, as (at, source, source_at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for packed, dups in zip(batch.column(1), batch.column(2), strict=True):
-                factors = []
-                if dups.is_valid:
-                    a, s, p = (np.asarray(dups.values.field(i)).astype(np.int64) for i in range(3))
-                    order = np.argsort(a, kind="stable")
-                    factors = factors_of(a[order], s[order], p[order], width)
+            for packed, dups in zip(batch.column(2), batch.column(3), strict=True):
+                a, s, p = (np.asarray(dups.values.field(i)).astype(np.int64) for i in range(3))
+                a, first = np.unique(a, return_index=True)
+                factors = factors_of(a, s[first], p[first], width)
                 n, kept = kept_words(unpacker.decompress(packed.as_py()), factors)
-                rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [dict(zip(("start", "len", "source", "source_start"), f, strict=True)) for f in factors]))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], kind)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "factors"])
+                rows.append((n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [dict(zip(("start", "len", "source", "source_start"), f, strict=True)) for f in factors]))
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], kind)], names=["did", "tkey", "removed", "sha", "factors"])
 
     return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, did, tkey, text) with the text as zstandard, half of what Spark's own compression makes of it in a shuffle."""
+    """(did, tkey, text) with the text as zstandard, half of what Spark's own compression makes of it in a shuffle."""
     packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        packed = pa.array([packer.compress(x) for x in batch.column(3).cast(pa.binary()).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), packed], names=["doc_id", "did", "tkey", "packed"])
+        packed = pa.array([packer.compress(x) for x in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["did", "tkey", "packed"])
+
+
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, did, tkey, text) to what holds of a document that loses nothing. Words of one document are held at a time."""
+    for batch in batches:
+        n, whole = [], []
+        for text in batch.column(3):
+            words = text.as_py().encode().split()
+            n.append(len(words))
+            whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(whole, pa.string())], names=["doc_id", "did", "tkey", "n_words", "whole"])
 
 
 def parsed(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """PARSED for each row of docs (doc_id, text)."""
     ship(docs.sparkSession)
     keys = keyed(docs).select(F.col("doc_id").cast("long"), "did", "tkey", F.coalesce("text", F.lit("")).alias("text"))
-    distinct = keys.select("did", "tkey", "text")
-    runs = distinct.mapInArrow(_anchors(width, seed), "anchor long, did long, tkey long, start int, len int")
-    twice = written(runs.groupBy("anchor").count().filter("count > 1").select("anchor"), "rlz-anchors")
+    texts = keys.select("did", "tkey", "text")
+    # Documents with one text: the first is parsed, the others are one factor.
+    second = F.xxhash64(F.lit("second"), "text").alias("tkey2")
+    alike = written(keys.select("did", "tkey", second).groupBy("tkey", "tkey2").agg(F.min("did").alias("first"), F.max("did").alias("last")), "rlz-texts")
+    runs = texts.mapInArrow(_anchors(width, seed), "anchor long, did long, tkey long, start int, len int, again boolean")
+    counted = runs.groupBy("anchor").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi"), F.max("again").alias("again"))
+    twice = written(counted.filter("lo <> hi or again").select("anchor"), "rlz-anchors")
     candidates = runs.join(twice, "anchor").groupBy("did", "tkey").agg(F.collect_set(F.struct("start", "len")).alias("runs"))
-    packed = keys.mapInArrow(_packed, "doc_id long, did long, tkey long, packed binary")
-    texts = packed.groupBy("did", "tkey").agg(F.first("packed").alias("packed"))
-    index = written(texts.join(candidates.hint("shuffle_hash"), ["did", "tkey"]).select("did", "tkey", "packed", "runs").mapInArrow(_windows(width), "window long, did long, tkey long, at int"), "rlz-index")
-    place = F.struct("did", "tkey", "at")
-    earliest = written(index.groupBy("window").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "source"), "rlz-sources")
-    later = index.join(earliest, "window").filter(place != F.col("source"))
-    dups = later.groupBy("did", "tkey").agg(F.collect_list(F.struct("at", F.col("source.did").alias("source"), F.col("source.at").alias("source_at"))).alias("dups"))
-    return packed.join(dups.hint("shuffle_hash"), ["did", "tkey"], "left").select("doc_id", "packed", "dups").mapInArrow(_parse(width), PARSED)
+    candidates = candidates.join(alike.select("tkey", F.col("first").alias("did")).distinct(), ["did", "tkey"], "left_semi")
+    packed = texts.mapInArrow(_packed, "did long, tkey long, packed binary")
+    parts = written(packed.join(candidates.hint("shuffle_hash"), ["did", "tkey"]).select("did", "tkey", "packed", "runs"), "rlz-parts")
+    index = written(parts.mapInArrow(_windows(width), "window long, did long, tkey long, at int"), "rlz-index")
+    # A place as one number, doc_id then start, keeps the earliest of each window in a hash map.
+    place = F.col("did").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("at").cast("decimal(10,0)")
+    index = index.withColumn("place", place.cast("decimal(38,0)"))
+    earliest = index.groupBy("window").agg(F.min("place").alias("source"), F.max("place").alias("last")).filter("source <> last").select("window", "source")
+    later = index.join(written(earliest, "rlz-sources"), "window").filter("place > source")
+    step = F.lit(2**31).cast("decimal(10,0)")
+    start = F.pmod(F.col("source"), step)
+    source = F.struct("at", ((F.col("source") - start) / step).cast("long").alias("source"), start.cast("int").alias("source_at"))
+    dups = later.groupBy("did", "tkey").agg(F.collect_list(source).alias("dups"))
+    factored = parts.select("did", "tkey", "packed").join(dups.hint("shuffle_hash"), ["did", "tkey"]).mapInArrow(_parse(width), "did long, tkey long, removed long, sha string, factors array<struct<start:int,len:int,source:long,source_start:int>>")
+    factored = written(factored, "rlz-factors").groupBy("did", "tkey").agg(F.first("removed").alias("removed"), F.first("sha").alias("sha"), F.first("factors").alias("factors"))
+    plain = keys.select("doc_id", "did", "tkey", "text").mapInArrow(_plain, "doc_id long, did long, tkey long, n_words long, whole string")
+    copies = alike.filter("first <> last").groupBy("tkey").agg(F.min("first").alias("first"))
+    rows = plain.join(factored.hint("shuffle_hash"), ["did", "tkey"], "left").join(written(copies, "rlz-copies"), "tkey", "left")
+    copy = (F.col("first") < F.col("did")) & (F.col("n_words") >= width)
+    one = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("len"), F.col("first").alias("source"), F.lit(0).alias("source_start")))
+    none = F.array().cast("array<struct<start:int,len:int,source:bigint,source_start:int>>")
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"),
+        F.when(copy, one).otherwise(F.coalesce("factors", none)).alias("factors"),
+    )
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
