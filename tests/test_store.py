@@ -94,3 +94,35 @@ def test_cache_misses(spark):
     calls = spark.createDataFrame([(2, "r", "k", "late"), (1, "r", "k", "early")], "id long, kind string, cache_key string, output string")
     hit, miss = crawl.through_cache(spark.createDataFrame([("r", "k"), ("r", "z")], "kind string, cache_key string"), calls)
     assert [r.output for r in hit.collect()] == ["early"] and [r.cache_key for r in miss.collect()] == ["z"]
+
+
+def test_known_phrases_against_brute_force(spark):
+    import random
+    import re
+
+    from wordweave.functions.text import JUNK, TOKEN
+
+    rng = random.Random(8)
+    words = ["red", "blue", "one", "sky", "é-tude", "12", "a"]
+    texts = [(i, rng.choice(["", "¡"]) + " ".join(rng.choice(words) for _ in range(rng.randrange(0, 14))).replace("sky", "Sky,")) for i in range(60)]
+    vocab = {" ".join(rng.choice(words) for _ in range(k)) for k in (2, 2, 2, 3, 3, 4) for _ in range(6)}
+    vocab = {v for v in vocab if 4 <= len(v) <= 60}
+
+    def brute(text):
+        spans = [(m.start(), m.end(), m.group()) for m in re.finditer(TOKEN, text) if m.group().lower() not in JUNK]
+        hits = []
+        for start in {s for s, _, _ in spans}:
+            ends = [e for e in range(start + 4, min(len(text), start + 60) + 1) if text[start:e].lower() in vocab]
+            if ends:
+                hits.append((start, max(ends), text[start : max(ends)]))
+        out, last = [], -1
+        for s, e, w in sorted(spans + hits, key=lambda x: (x[0], x[0] - x[1])):
+            if s >= last:
+                out.append(w)
+                last = e
+        return out
+
+    rows = phrases.with_known(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(v,) for v in sorted(vocab)], "phrase string"))
+    got = {r.id: [s.word for s in r.spans] for r in rows.collect()}
+    assert got == {i: brute(t) for i, t in texts}
+    assert any(" " in w for ws in got.values() for w in ws)
