@@ -4,14 +4,17 @@ A document's set is its distinct `shingle`-word shingles. Documents with equal s
 class at once; everything after is about one representative of each class. A signature keeps
 the low `bits` bits of its minima, packed; bands of whole minima are hashed to buckets.
 
-Within a bucket every member meets a centre, one of its members, never every other one. Pairs
+Within a bucket members meet its centre, one of them, and never every other one; of several
+buckets' centres a member meets the few that it shares most buckets with. Pairs
 whose similarity, estimated from equal low bits and corrected for chance agreement, lies well
 below the threshold are left out; the others are confirmed on the sets themselves. Confirmed
 links join components. A bucket whose members lie in one component is done: more links could
-not change the result. In the others, the next rounds take other centres, each meeting the
-members of other components; after ROUNDS rounds, what is left of a bucket is compared in full
-across components, so no pair that a band proposes is lost. A pair of similarity 0.8 shares no
-band with odds of (1 - 0.8**rows)**bands, 3e-7 here.
+not change the result. The others go through `rounds` such rounds. Of what is then left of
+them, mostly documents of one template that are no copies, members with too many shingles of
+their own cannot be linked; the others are dealt to fine buckets of many more minima, and all
+pairs across components that meet there are confirmed. A pair of similarity
+0.8 shares no band with odds of (1 - 0.8**rows)**bands, 3e-7 here, and no fine bucket with
+odds of 1e-6.
 
 Results in special cases: null or empty text has an empty set and is linked with nothing; a
 text of fewer words than a shingle has one, the whole sequence; a text of any length is hashed
@@ -28,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordweave.llm.shared import NULL_ID, documents, keyed, written
@@ -46,7 +49,11 @@ class Plan:
     bits: int = 2
     #: Standard errors that an estimate may lie below the threshold.
     slack: float = 5.5
-    rounds: int = 3
+    rounds: int = 2
+    spokes: int = 2
+    fine_minima: int = 256
+    fine_bands: int = 320
+    fine_rows: int = 14
 
     @property
     def minima(self) -> int:
@@ -216,17 +223,95 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["did", "tkey", "packed"])
 
 
-def _pairs(placed: DataFrame, turn: int, plan: Plan) -> DataFrame:
-    """Pairs (a, b) of members (bucket, rep, component) of different components: each member and its bucket's centre, in the last turn all."""
-    if turn < plan.rounds:
-        order = F.struct(F.xxhash64(F.lit(turn), F.col("rep")).alias("h"), "rep", "component")
-        centre = written(placed.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.rep").alias("other"), F.col("c.component").alias("its")), "centres")
-        met = placed.join(centre, "bucket").filter("component <> its")
-    else:
-        met = placed.join(placed.select("bucket", F.col("rep").alias("other"), F.col("component").alias("its")), "bucket").filter("rep < other and component <> its")
+def _spokes(placed: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of members (bucket, rep, size, component) and centres of their buckets where components differ.
+
+    A bucket's centre is the member that meets most others over all buckets: an original,
+    whose copies are closer to it than to each other. A member meets the `spokes` centres that
+    it shares most buckets with; other centres, and other members, are left to what follows.
+    """
+    score = placed.groupBy("rep").agg(F.sum("size").alias("score"))
+    order = F.struct((-F.col("score")).alias("s"), F.xxhash64("rep").alias("h"), "rep", "component")
+    centre = placed.join(written(score, "scores"), "rep").groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.rep").alias("other"), F.col("c.component").alias("its"))
+    met = placed.join(written(centre, "centres"), "bucket").filter("component <> its").groupBy("rep", "other").agg(F.count(F.lit(1)).alias("shared"))
+    best = Window.partitionBy("rep").orderBy(F.desc("shared"), "other")
+    met = met.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= plan.spokes)
     return met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
+def _whole_sets(plan: Plan, ids: list[int], packed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in ids of non-empty sets, hashes, where each set begins) of packed texts."""
+    unpacker = zstandard.ZstdDecompressor()
+    for at in range(0, len(ids), 256):
+        texts = pa.array([unpacker.decompress(p) for p in packed[at : at + 256]], pa.large_binary()).view(pa.large_string())
+        for w in slices(texts, lower=True):
+            hashes, first = _sets(w, plan.shingle)
+            some = np.flatnonzero(np.diff(first))
+            if len(some):
+                yield at + w.lo + some, hashes, first[:-1][some]
+
+
+def _shingles(plan: Plan):
+    """(rep, packed) to (rep, shingle), every shingle of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = np.asarray(batch.column(0))
+            for at, hashes, first in _whole_sets(plan, reps.tolist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(reps[at], np.diff(np.append(first, len(hashes))))), pa.array(hashes.view(np.int64))], names=["rep", "shingle"])
+
+    return run
+
+
+def _fine_buckets(plan: Plan):
+    """(rep, packed) to (bucket, rep): many bands of more minima each, drawn from one larger signature."""
+    mul, add = _factors(plan.fine_minima)
+    drawn = np.random.default_rng(2203).permuted(np.tile(np.arange(plan.fine_minima), (plan.fine_bands, 1)), axis=1)[:, : plan.fine_rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = np.asarray(batch.column(0))
+            for at, hashes, first in _whole_sets(plan, reps.tolist(), batch.column(1).to_pylist()):
+                least = np.stack([np.minimum.reduceat(((hashes * m + c) >> np.uint64(32)).astype(np.uint32), first) for m, c in zip(mul, add, strict=True)], 1).astype(np.uint64)
+                keys = np.tile(mix(np.arange(1, plan.fine_bands + 1, dtype=np.uint64)), (len(at), 1))
+                for r in range(plan.fine_rows):
+                    keys = mix(keys ^ (least[:, drawn[:, r]] + np.uint64(r)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(reps[at], plan.fine_bands))], names=["bucket", "rep"])
+
+    return run
+
+
+def _rest(placed: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) across components of the members left in buckets of several components, as far as they can be links.
+
+    Of a member's n shingles, c occur in other members as well. It shares c with any other at
+    most, so a link needs c / n, and with one of m >= c shingles c / (n + m - c), to reach the
+    threshold. Copies with many edits of their own fail that by themselves, without a look at
+    any pair. The others are dealt to fine buckets, which hold little but links: a pair of
+    similarity 0.6 meets in one with odds of a quarter.
+    """
+    who = written(placed.select("rep", "component").distinct(), "rest")
+    own = texts.join(who.select("rep"), "rep", "left_semi")
+    seen = own.select("rep", "packed").mapInArrow(_shingles(plan), "rep long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep"))
+    alone = seen.filter("k = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    able = who.join(placed.select("rep", "n").distinct(), "rep").join(alone, "rep", "left").select("rep", "component", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+    able = written(able.filter(F.lit(100) * F.col("c") >= F.lit(plan.percent) * F.col("n")), "able")
+    fine = texts.join(able.select("rep"), "rep", "left_semi").select("rep", "packed").mapInArrow(_fine_buckets(plan), "bucket long, rep long")
+    fine = written(fine.join(able, "rep"), "fine")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of buckets of several components, with `least`, the smallest set of the bucket."""
+        of = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).filter("lo <> hi").select("bucket", "least")
+        return rows.join(written(of, "fine-mixed"), "bucket")
+
+    reaches = F.lit(100) * F.col("c") >= F.lit(plan.percent) * (F.col("n") + F.greatest("least", "c") - F.col("c"))
+    fine = written(mixed(written(mixed(fine).filter(reaches).drop("least"), "fine")).drop("least"), "fine")
+    other = fine.select("bucket", F.col("rep").alias("b"), F.col("component").alias("its"), F.col("n").alias("m"), F.col("c").alias("d"))
+    both = F.least("c", "d")
+    may = (F.col("a") < F.col("b")) & (F.col("component") != F.col("its")) & (F.lit(100) * both >= F.lit(plan.percent) * (F.col("n") + F.col("m") - both))
+    return fine.withColumnRenamed("rep", "a").join(other, "bucket").filter(may).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """(did, tkey, n_shingles, first) for each document; first: (did, tkey) of the least document of its component."""
     ship(docs.sparkSession)
@@ -235,8 +320,8 @@ def classes(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     # Equal sets: the least document stands for the class, under a number of its own.
     alike = signed.filter("n > 0").groupBy("n", "set_a", "set_b").agg(F.min(F.struct("did", "tkey", "signature", "buckets")).alias("one"))
     alike = written(alike.select("n", "set_a", "set_b", F.struct("one.did", "one.tkey").alias("doc"), F.xxhash64("one.did", "one.tkey").alias("rep"), "one.signature", "one.buckets"), "classes")
-    every = alike.select("rep", F.explode("buckets").alias("bucket"))
-    shared = written(every.groupBy("bucket").count().filter("count > 1").select("bucket"), "buckets")
+    every = alike.select("rep", "n", F.explode("buckets").alias("bucket"))
+    shared = written(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     members = written(every.join(shared, "bucket"), "members")
     nodes = written(members.select("rep").distinct(), "nodes")
     chosen = alike.join(nodes, "rep", "left_semi").select("rep", "doc.did", "doc.tkey")
@@ -248,13 +333,14 @@ def classes(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         placed = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep")
         # Buckets that still hold several components.
         unsure = written(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket"), "unsure")
-        members = written(placed.join(unsure, "bucket").select("bucket", "rep", "component"), "members")
+        members = written(placed.join(unsure, "bucket").select("bucket", "rep", "n", "size", "component"), "members")
         if members.isEmpty():
             break
-        found = _confirmed(written(_pairs(members, turn, plan), "pairs"), alike, texts, plan)
+        pairs = _spokes(members, plan) if turn < plan.rounds else _rest(members, texts, plan)
+        found = _confirmed(written(pairs, "pairs"), alike, texts, plan)
         links = found if links is None else written(links.union(found), "links")
         labels = written(components(nodes, links), "components")
-        members = members.select("bucket", "rep")
+        members = members.select("bucket", "rep", "n", "size")
     of_class = alike.select("n", "set_a", "set_b", "doc", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_class = written(of_class.select("n", "set_a", "set_b", "doc", F.coalesce("component", "rep").alias("component")), "labelled")
     first = written(of_class.groupBy("component").agg(F.min("doc").alias("first")), "firsts")
@@ -279,7 +365,8 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), []) AS w FROM documents),
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), []) AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS k FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
