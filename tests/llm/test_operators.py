@@ -130,6 +130,36 @@ def test_minhash_dedup(docs, empty):
     assert minhash_dedup.near_deduplicated(empty).count() == 0
 
 
+def test_minhash_last_turn_finds_every_link(spark):
+    """Links of similarity 0.8 that share no fine bucket of 14 of 256 minima, and members of one template that are no links."""
+    import zstandard
+
+    words = lambda rng, k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    texts, want = [], set()
+    for seed in (1482, 2499, 3300, 3795, 4429):
+        w = words(random.Random(seed), 53)
+        want.add((len(texts), len(texts) + 1))
+        texts += [" ".join(w[:48]), " ".join(w[:43] + w[48:])]
+    rng = random.Random(8)
+    template = words(rng, 90)
+    for _ in range(40):
+        w = list(template)
+        for _ in range(6):
+            w[rng.randrange(90)] = rng.choice(["x", "y"])
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    want |= {(i, j) for j in range(len(texts)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    packer = zstandard.ZstdCompressor()
+    packed = spark.createDataFrame([(i, packer.compress(t.encode())) for i, t in enumerate(texts)], "rep long, packed binary")
+    placed = spark.createDataFrame([(7, i, len(x), len(sets), i) for i, x in enumerate(sets)], "bucket long, rep long, n long, size long, component long")
+    for ahead in (1, 3, 32):
+        got = minhash_dedup._rest(placed, packed, minhash_dedup.Plan(shingle=4, ahead=ahead)).collect()
+        assert want <= {(r.a, r.b) for r in got}
+    first = minhash_dedup._spokes(placed, None, minhash_dedup.Plan())
+    again = minhash_dedup._spokes(placed, first, minhash_dedup.Plan())
+    assert first.count() == len(sets) - 1 and again.count() == 0
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3, 4])
 def test_bit_estimates(bits):
     import numpy as np

@@ -9,12 +9,12 @@ buckets' centres a member meets the few that it shares most buckets with. Pairs
 whose similarity, estimated from equal low bits and corrected for chance agreement, lies well
 below the threshold are left out; the others are confirmed on the sets themselves. Confirmed
 links join components. A bucket whose members lie in one component is done: more links could
-not change the result. The others go through `rounds` such rounds. Of what is then left of
-them, mostly documents of one template that are no copies, members with too many shingles of
-their own cannot be linked; the others are dealt to fine buckets of many more minima, and all
-pairs across components that meet there are confirmed. A pair of similarity
-0.8 shares no band with odds of (1 - 0.8**rows)**bands, 3e-7 here, and no fine bucket with
-odds of 1e-6.
+not change the result. The others go through `rounds` such rounds, none of which proposes a
+pair again. Of what is then left of them, mostly documents of one template that are no copies,
+members with too many shingles of their own cannot be linked; pairs of the others across
+components are found by prefix filtering, which leaves out no link. What can be missed: a pair
+of similarity 0.8 shares no band with odds of (1 - 0.8**rows)**bands, 3e-7 here (bands share
+no minima), and its estimate lies below the floor with odds of 3e-7.
 
 Results in special cases: null or empty text has an empty set and is linked with nothing; a
 text of fewer words than a shingle has one, the whole sequence; a text of any length is hashed
@@ -51,9 +51,8 @@ class Plan:
     slack: float = 5.5
     rounds: int = 2
     spokes: int = 2
-    fine_minima: int = 256
-    fine_bands: int = 320
-    fine_rows: int = 14
+    #: Rarest shingles by which a pair is told that met before.
+    ahead: int = 32
 
     @property
     def minima(self) -> int:
@@ -223,8 +222,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["did", "tkey", "packed"])
 
 
-def _spokes(placed: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) of members (bucket, rep, size, component) and centres of their buckets where components differ.
+def _spokes(placed: DataFrame, tried: DataFrame | None, plan: Plan) -> DataFrame:
+    """Pairs (a, b), none of them tried, of members (bucket, rep, size, component) and centres of their buckets where components differ.
 
     A bucket's centre is the member that meets most others over all buckets: an original,
     whose copies are closer to it than to each other. A member meets the `spokes` centres that
@@ -234,9 +233,12 @@ def _spokes(placed: DataFrame, plan: Plan) -> DataFrame:
     order = F.struct((-F.col("score")).alias("s"), F.xxhash64("rep").alias("h"), "rep", "component")
     centre = placed.join(written(score, "scores"), "rep").groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.rep").alias("other"), F.col("c.component").alias("its"))
     met = placed.join(written(centre, "centres"), "bucket").filter("component <> its").groupBy("rep", "other").agg(F.count(F.lit(1)).alias("shared"))
+    met = met.select("rep", "other", "shared", F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    if tried is not None:
+        met = met.join(tried, ["a", "b"], "left_anti")
     best = Window.partitionBy("rep").orderBy(F.desc("shared"), "other")
     met = met.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= plan.spokes)
-    return met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    return met.select("a", "b").distinct()
 
 
 def _whole_sets(plan: Plan, ids: list[int], packed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -263,53 +265,42 @@ def _shingles(plan: Plan):
     return run
 
 
-def _fine_buckets(plan: Plan):
-    """(rep, packed) to (bucket, rep): many bands of more minima each, drawn from one larger signature."""
-    mul, add = _factors(plan.fine_minima)
-    drawn = np.random.default_rng(2203).permuted(np.tile(np.arange(plan.fine_minima), (plan.fine_bands, 1)), axis=1)[:, : plan.fine_rows]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reps = np.asarray(batch.column(0))
-            for at, hashes, first in _whole_sets(plan, reps.tolist(), batch.column(1).to_pylist()):
-                least = np.stack([np.minimum.reduceat(((hashes * m + c) >> np.uint64(32)).astype(np.uint32), first) for m, c in zip(mul, add, strict=True)], 1).astype(np.uint64)
-                keys = np.tile(mix(np.arange(1, plan.fine_bands + 1, dtype=np.uint64)), (len(at), 1))
-                for r in range(plan.fine_rows):
-                    keys = mix(keys ^ (least[:, drawn[:, r]] + np.uint64(r)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(reps[at], plan.fine_bands))], names=["bucket", "rep"])
-
-    return run
-
-
 def _rest(placed: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) across components of the members left in buckets of several components, as far as they can be links.
+    """Pairs (a, b) across components of the members left in buckets of several components: every link is among them.
+
+    Of a member's n shingles, c occur in other components as well. It shares c with members of
+    those at most, so a link needs c / n, and with one of m shingles, d of them in others, the
+    lesser of c and d out of n + m less that, to reach the threshold. Copies with many edits of
+    their own fail that by themselves, without a look at any pair.
 
-    Of a member's n shingles, c occur in other members as well. It shares c with any other at
-    most, so a link needs c / n, and with one of m >= c shingles c / (n + m - c), to reach the
-    threshold. Copies with many edits of their own fail that by themselves, without a look at
-    any pair. The others are dealt to fine buckets, which hold little but links: a pair of
-    similarity 0.6 meets in one with odds of a quarter.
+    A link shares the threshold's part of n at least, so with shingles in one order, rare ones
+    first, the first shared one is among the first n less that part, plus 1, of both. Pairs meet
+    there, and only if what lies behind in both is enough. `ahead` shingles tell whether a pair
+    met at one before.
     """
-    who = written(placed.select("rep", "component").distinct(), "rest")
-    own = texts.join(who.select("rep"), "rep", "left_semi")
-    seen = own.select("rep", "packed").mapInArrow(_shingles(plan), "rep long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep"))
-    alone = seen.filter("k = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    able = who.join(placed.select("rep", "n").distinct(), "rep").join(alone, "rep", "left").select("rep", "component", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
-    able = written(able.filter(F.lit(100) * F.col("c") >= F.lit(plan.percent) * F.col("n")), "able")
-    fine = texts.join(able.select("rep"), "rep", "left_semi").select("rep", "packed").mapInArrow(_fine_buckets(plan), "bucket long, rep long")
-    fine = written(fine.join(able, "rep"), "fine")
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of buckets of several components, with `least`, the smallest set of the bucket."""
-        of = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).filter("lo <> hi").select("bucket", "least")
-        return rows.join(written(of, "fine-mixed"), "bucket")
-
-    reaches = F.lit(100) * F.col("c") >= F.lit(plan.percent) * (F.col("n") + F.greatest("least", "c") - F.col("c"))
-    fine = written(mixed(written(mixed(fine).filter(reaches).drop("least"), "fine")).drop("least"), "fine")
-    other = fine.select("bucket", F.col("rep").alias("b"), F.col("component").alias("its"), F.col("n").alias("m"), F.col("c").alias("d"))
-    both = F.least("c", "d")
-    may = (F.col("a") < F.col("b")) & (F.col("component") != F.col("its")) & (F.lit(100) * both >= F.lit(plan.percent) * (F.col("n") + F.col("m") - both))
-    return fine.withColumnRenamed("rep", "a").join(other, "bucket").filter(may).select("a", "b").distinct()
+    part = lambda n: F.floor((F.lit(plan.percent) * n + 99) / 100)
+    enough = lambda both, n, m: F.lit(100) * both >= F.lit(plan.percent) * (n + m - both)
+    able = written(placed.select("rep", "component", "n").distinct(), "rest")
+    rows = texts.join(able.select("rep"), "rep", "left_semi").select("rep", "packed").mapInArrow(_shingles(plan), "rep long, shingle long")
+    rows = written(rows.join(able.select("rep", "component"), "rep"), "shingles")
+    for _ in range(2):  # those that cannot be linked share nothing with the others
+        rows = rows.join(able.select("rep"), "rep", "left_semi")
+        common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle", "k")
+        rows = written(rows.select("rep", "component", "shingle").join(common, "shingle"), "shared")
+        c = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
+        able = written(able.select("rep", "component", "n").join(c, "rep").filter(F.lit(100) * F.col("c") >= F.lit(plan.percent) * F.col("n")), "able")
+    order = F.array_sort(F.collect_list(F.struct("k", "shingle"))).getField("shingle")
+    first = rows.groupBy("rep").agg(order.alias("first")).join(able, "rep")
+    first = first.withColumn("first", F.slice("first", F.lit(1), (F.col("c") - part(F.col("n")) + 1).cast("int")))
+    first = written(first.select("rep", "component", "n", "c", F.slice("first", 1, plan.ahead).alias("ahead"), F.posexplode("first").alias("at", "shingle")), "prefixes")
+    first = first.withColumn("ahead", F.slice("ahead", F.lit(1), F.least(F.col("at"), F.lit(plan.ahead))))
+    other = first.select("shingle", *[F.col(x).alias(f"its_{x}") for x in ("rep", "component", "n", "c", "at", "ahead")])
+    far = lambda x: F.greatest(F.col(x) - F.lit(plan.ahead), F.lit(0))
+    before = F.least("at", "its_at", far("at") + far("its_at"))
+    behind = F.least(F.col("c") - F.col("at"), F.col("its_c") - F.col("its_at"))
+    may = (F.col("rep") < F.col("its_rep")) & (F.col("component") != F.col("its_component")) & enough(F.least("c", "its_c"), F.col("n"), F.col("its_n"))
+    may = may & enough(before + behind, F.col("n"), F.col("its_n")) & ~F.arrays_overlap("ahead", "its_ahead")
+    return first.join(other, "shingle").filter(may).select(F.col("rep").alias("a"), F.col("its_rep").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -328,7 +319,7 @@ def classes(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     texts = keys.mapInArrow(_packed, "did long, tkey long, packed binary").join(chosen.hint("shuffle_hash"), ["did", "tkey"]).select("rep", "packed").dropDuplicates(["rep"])
     texts = written(texts, "texts")
     nodes = nodes.select(F.col("rep").alias("node"))
-    links, labels = None, nodes.withColumn("component", F.col("node"))
+    links, tried, labels = None, None, nodes.withColumn("component", F.col("node"))
     for turn in range(plan.rounds + 1):
         placed = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep")
         # Buckets that still hold several components.
@@ -336,8 +327,9 @@ def classes(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         members = written(placed.join(unsure, "bucket").select("bucket", "rep", "n", "size", "component"), "members")
         if members.isEmpty():
             break
-        pairs = _spokes(members, plan) if turn < plan.rounds else _rest(members, texts, plan)
-        found = _confirmed(written(pairs, "pairs"), alike, texts, plan)
+        pairs = written(_spokes(members, tried, plan) if turn < plan.rounds else _rest(members, texts, plan), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = _confirmed(pairs, alike, texts, plan)
         links = found if links is None else written(links.union(found), "links")
         labels = written(components(nodes, links), "components")
         members = members.select("bucket", "rep", "n", "size")
