@@ -327,6 +327,24 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.accepted(empty).count() == 0
 
 
+def _base64(rng, n):
+    """n characters of random base64 in words of 8."""
+    text = base64.b64encode(rng.randbytes(n)).decode()
+    return " ".join(text[i : i + 8] for i in range(0, n, 8))[:n]
+
+
+def test_quality_rules_reject_short_noise(spark, sf_dir):
+    rng = random.Random(6)
+    sizes = [n for n in (300, 399, 400, 500, 639, 640, 800, 1000, 1023, 1024, 1500, 2500, 4000, 4095) for _ in range(5)]
+    noise = documents(spark, [(i, _base64(rng, n), "") for i, n in enumerate(sizes)])
+    low = [max(x for x in quality_rules.Bands().whole if x[0] <= n)[1] for n in sizes]
+    for r in quality_rules.compression_bands(noise).collect():
+        assert not r.kept and r.ratio < low[r.doc_id], sizes[r.doc_id]
+    prose = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("octet_length(text) >= 256")
+    for r in quality_rules.compression_bands(prose).collect():
+        assert r.ratio >= 1.4 or r.n_words < 100 and r.ratio >= 1.22
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
