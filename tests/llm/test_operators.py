@@ -345,6 +345,26 @@ def test_quality_rules_reject_short_noise(spark, sf_dir):
         assert r.ratio >= 1.4 or r.n_words < 100 and r.ratio >= 1.22
 
 
+def test_quality_rules_judge_every_byte(spark):
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(rng.choice(vocab) for _ in range(n))[:n]
+
+    bad = {"noise": _base64(rng, 4080), "repeat": ("over and over, " * 300)[:4080]}
+    cases = [(side, kind, text) for kind, x in bad.items() for side, text in (("first", x + prose(4112)), ("last", prose(4096) + x), ("apart", prose(12288) + x + x), ("few", prose(32768) + x))]
+    cases += [("few", "none", prose(n)) for n in (1023, 1024, 4095, 4096, 4097, 8191, 8192, 12298)]
+    docs = documents(spark, [(i, text, "") for i, (_, _, text) in enumerate(cases)])
+    for r in quality_rules.compression_bands(docs).collect():
+        side, kind, text = cases[r.doc_id]
+        assert r.n_chunks == (-(-len(text) // 4096) if len(text) >= 1024 else 0)
+        assert not r.base_failed or kind == "repeat", (side, kind, len(text))
+        if kind != "none":
+            assert (r.low_chunks if kind == "noise" else r.high_chunks) >= 1, (side, kind)
+        assert r.kept == (side == "few"), (side, kind, len(text))
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 

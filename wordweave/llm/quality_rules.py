@@ -2,7 +2,9 @@
 
 Zstandard's ratio of a whole document, and of its fixed chunks, says how repetitive it is. A
 document outside the band of its length is rejected: above it, the text repeats itself; below
-it, the text is noise that does not compress. A few counting rules come first.
+it, the text is noise that does not compress. Every byte of a text of 1 KB and more lies in a
+judged chunk: the last one ends with the text, and a text of up to a chunk is one. A few
+counting rules come first.
 
 Results in special cases: null or empty text has no word, so it fails the base rule; a
 document of any length is judged whole; rows that repeat are judged alike, row by row; an
@@ -42,7 +44,9 @@ class Bands:
     whole: tuple[tuple[int, float, float], ...] = ((0, 0.0, float("inf")), (256, 1.22, 4.5), (400, 1.3, 4.5), (640, 1.35, 4.5), (1024, 1.4, 5.0), (4096, 1.4, 7.0), (16384, 1.4, 9.0))
     chunk: int = 4096
     chunk_band: tuple[float, float] = (1.35, 9.0)
-    #: The share of a document's full chunks that may lie outside.
+    #: Shorter texts are judged whole only.
+    least_chunk: int = 1024
+    #: The share of a document's bytes whose chunks may lie outside. The last chunk counts for the bytes that no other has.
     chunk_share: float = 0.25
 
 
@@ -86,21 +90,24 @@ def judge(bands: Bands):
                 n = np.diff(w.first)
                 chars = sums(~SPACE[w.data] & ((w.data & 0xC0) != 0x80))
                 symbols, repeats = sums(_SYMBOL[w.data]), _repeat_words(w)
-                dup, ratio, below, above, chunks = (np.zeros(w.n, t) for t in (np.int64, float, np.int64, np.int64, np.int64))
+                dup, ratio, below, above, chunks, outside = (np.zeros(w.n, t) for t in (np.int64, float, np.int64, np.int64, np.int64, np.int64))
                 raw = memoryview(w.data)
                 for i in range(w.n):
                     text = bytes(raw[w.offsets[i] : w.offsets[i + 1]])
                     dup[i] = _dup_lines(text)
                     ratio[i] = len(text) / len(packer.compress(text))
-                    if len(text) > bands.chunk:
-                        for at in range(0, len(text) - bands.chunk + 1, bands.chunk):
-                            r = bands.chunk / len(packer.compress(text[at : at + bands.chunk]))
+                    if len(text) >= bands.least_chunk:
+                        for at in range(0, len(text), bands.chunk):
+                            own = min(bands.chunk, len(text) - at)
+                            part = text[max(0, at + own - bands.chunk) : at + own]
+                            r = len(part) / len(packer.compress(part)) if len(part) < len(text) else ratio[i]
                             chunks[i] += 1
                             below[i] += r < low
                             above[i] += r > high
+                            outside[i] += own * (r < low or r > high)
                 band = np.array(bands.whole)[np.searchsorted(edges, np.diff(w.offsets), "right") - 1]
                 failed = (n < 50) | (100 * repeats > 50 * n)
-                good = (ratio >= band[:, 1]) & (ratio <= band[:, 2]) & (below + above <= bands.chunk_share * chunks)
+                good = (ratio >= band[:, 1]) & (ratio <= band[:, 2]) & (outside <= bands.chunk_share * np.diff(w.offsets))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(w.lo, w.n).cast(pa.int64()), *(pa.array(x.astype(np.int64)) for x in (n, chars, symbols, dup, repeats)), pa.array(failed), pa.array(~failed & good), pa.array(ratio), *(pa.array(x) for x in (below, above, chunks))],
                     names=[x.split()[0] for x in SCHEMA.split(", ")],
