@@ -2,9 +2,10 @@
 
 Each line of enough characters becomes a row of a 128-bit hash of its key, its document and
 its position. The rows are dealt by ranges of (hash, document, position) and sorted so, which
-also cuts a very common line into many ranges, and written. Streams of them give, for each
-hash, its number of documents and its first occurrence in document order from the end: the
-document that keeps the line. That is combined within each range before it is shuffled. The
+also cuts a very common line into many ranges, and written. Two hash aggregates give, for
+each hash, its number of documents and its first occurrence in document order from the end:
+the document that keeps the line. They replace streams of the sorted ranges and do not use the
+order. They are combined within each range before they are shuffled. The
 repeated hashes, joined with the rows, give the positions to drop. What comes back for a
 document is a compressed bitmap (runs of dropped lines), no text; keep_lines() applies it.
 
