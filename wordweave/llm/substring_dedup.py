@@ -1,10 +1,11 @@
-"""Substring dedup by Relative Lempel-Ziv parsing of documents against the whole corpus.
+"""Substring dedup by lookups of word windows in the whole corpus, in place of a greedy Relative Lempel-Ziv parse.
 
 The reference is the corpus in document order, indexed by windows of `width` words; an index
 block holds the windows of a hash range, and a document is factored against every block,
-since each of its windows is looked up in the block that would hold it. Greedy factors are
-runs of windows whose earliest sources are consecutive; where a factor ends, the windows that
-straddle its end have been looked up like any other, so nothing is lost at a boundary. Words
+since each of its windows is looked up in the block that would hold it. Factors are runs of
+windows whose earliest sources are consecutive. None is extended as far as one source goes, so
+a passage may be several factors that overlap by up to `width` - 1 words, one for each source
+that has a part of it first; the words under them are the same. Words
 under factors of at least `width` words are the duplicate spans.
 
 Few windows need an entry. Each window has an anchor, the least hash of its `seed`-word
@@ -124,7 +125,7 @@ def _windows(width: int):
 
 
 def factors_of(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, len, source document, start there), in words, from duplicate windows in order."""
+    """Factors (start, len, source document, start there), in words, from duplicate windows in order."""
     if not len(at):
         return []
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1]) | (source_at[1:] != source_at[:-1] + 1)]))
