@@ -375,3 +375,59 @@ def test_pipeline(spark, sf_dir):
         assert d.columns == docs.columns and 0 < d.count() <= 3 * n, name
     last = p.STAGES[-1][1](spark, d, sf_dir)
     assert sorted(map(str, last.collect())) == sorted(map(str, p.run(spark, sf_dir).collect()))
+
+
+def test_pipeline_against_brute_force(spark, docs, tmp_path):
+    """run() against plain Python up to the mix, and tiktoken after it. The mix is source_mix.mixed over brute force's rows."""
+    import corpus_pipeline as p
+    import tiktoken
+    import zstandard
+
+    labels = [(i, i % 2, 0) for i in range(10, 40)]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    bands, packer = quality_rules.Bands(), zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+
+    def good(text):
+        w, raw = WORD.findall(text), text.encode()
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        repeat = len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)})
+        assert len(raw) <= bands.chunk  # one chunk, whose band is the wider one
+        _, low, high = max(x for x in bands.whole if x[0] <= len(raw))
+        return len(w) >= 50 and 2 * repeat <= len(w) and low <= len(raw) / len(packer.compress(raw)) <= high
+
+    order = lambda d: (d is not None, d or 0)
+    rows = [r.asDict() for r in docs.collect() if good(r.text or "")]
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    holders = {}
+    for r in rows:
+        for x in r["text"].split("\n"):
+            if len(key(x)) >= 20:
+                holders.setdefault(key(x), set()).add(r["doc_id"])
+    for r in rows:
+        r["text"] = "\n".join(x for x in r["text"].split("\n") if len(holders.get(key(x), ())) < 3 or max(holders[key(x)], key=order) == r["doc_id"])
+        r["n_chars"] = len(r["text"])
+    some = sorted({(r["doc_id"], r["text"]) for r in rows}, key=lambda r: (order(r[0]), r[1]))
+
+    def shingles(t):
+        w = WORD.findall(t.translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = [shingles(t) for _, t in some]
+    comp = list(range(len(some)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    first = {some[c] for c in comp}
+    left = [r for r in rows if (r["doc_id"], r["text"]) in first]
+    assert 0 < len(left) < len(rows) < docs.count()
+    out = p.source_mix(spark, spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in left], docs.schema), str(tmp_path)).collect()
+    path, pattern = byte_bpe.public_ranks()
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ids = [(r.doc_id, plain.encode_ordinary(r.text), r.text) for r in out]
+    want = [str(_row(d, len(x), sha(",".join(map(str, x))), sha(t))) for d, x, t in ids]
+    assert sorted(map(str, p.run(spark, str(tmp_path)).collect())) == sorted(want)
