@@ -261,6 +261,18 @@ def test_pii_patterns(spark, empty, tmp_path):
     assert pii_patterns.spans(empty).count() == 0
 
 
+def test_pii_patterns_take_whole_words(spark):
+    """The two words before a token, however long they are or far away."""
+    befores = ["", "one ", "Write TO ", "x" * 200 + " url: ", "see " + "y" * 79 + " ", "a b" + " " * 300, "far word" + "\n" * 5000, "p" * 9000 + " " + "q7" * 1500 + " ", " " * 100 + "only ", "k l m " * 30, "c" * 75 + " id: ", "id " + "d" * 77 + " ("]
+    df = spark.createDataFrame([(i, t + "998127", len(t)) for i, t in enumerate(befores)], "i long, text string, start int")
+    for r in df.select("i", pii_patterns._before(F.col("text"), F.col("start")).alias("p")).collect():
+        words = WORD.findall(re.sub("[0-9]", "0", befores[r.i].lower()))
+        assert r.p == (" ".join(words[-2:]) if len(words) >= 2 else None), r.i
+    rows = [(i, f"account {'n' * 100}: user{i}@mail.com today", "") for i in range(12)] + [(30, f"an account {'n' * 100}: 99812734 today", "")]
+    got = {r.doc_id: r.added for r in pii_patterns.spans(documents(spark, rows)).collect()}
+    assert [(x.start, x.end, x.kind) for x in got[30]] == [(113, 121, "email")]
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(1 << 16, 1 << 10), (150, 40)])
 def test_byte_bpe(spark, docs, empty, chunk, overlap):
     import tiktoken

@@ -38,8 +38,8 @@ PATTERNS = {
 
 #: A token that could be an identifier: it holds a digit or an @.
 TOKEN = r"(?<![A-Za-z0-9@._+\-])[A-Za-z._+\-]*+[0-9@][A-Za-z0-9@._+\-]*+"
-#: Code points before a token that its pattern is taken from, and the digits an identifier without @ has at least to be marked.
-CONTEXT, MIN_DIGITS = 80, 4
+#: Code points before a token that its pattern is looked for in by turns, before all of them; and the digits an identifier without @ has at least to be marked.
+CONTEXTS, MIN_DIGITS = (80, 2000), 4
 
 
 @dataclass(frozen=True)
@@ -94,12 +94,21 @@ def _holds(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
-def _before(text: Column, start: Column) -> Column:
-    """The lexical pattern of what follows `start`: the last two words of the CONTEXT code points before it; null if there are fewer."""
-    from_ = F.greatest(start - CONTEXT, F.lit(0))
+def _before(text: Column, start: Column, contexts: tuple[int, ...] = CONTEXTS) -> Column:
+    """The lexical pattern of what follows `start`: the last two words before it, whole; null if there are fewer."""
+    from_ = F.greatest(start - contexts[0], F.lit(0)) if contexts else F.lit(0)
     left = F.regexp_replace(F.lower(F.substring(text, from_ + 1, start - from_)), "[0-9]", "0")
-    words = F.filter(F.split(left, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.concat_ws(" ", F.slice(words, -2, 2)))
+    # The first piece is white space's, or a word that may be cut.
+    pieces = F.split(left, r"[\x20\x09-\x0D]+")
+
+    def last(x: Column) -> Column:
+        words = F.filter(x, lambda w: w != "")
+        found = F.when(F.size(words) >= 2, F.concat_ws(" ", F.slice(words, -2, 2)))
+        if not contexts:
+            return found
+        return F.when((from_ == 0) | (F.size(F.filter(F.slice(x, 2, start), lambda w: w != "")) >= 2), found).otherwise(_before(text, start, contexts[1:]))
+
+    return F.get(F.transform(F.array(pieces), last), 0)
 
 
 def _checked(kind: str) -> Column:
