@@ -160,6 +160,12 @@ def test_minhash_last_turn_finds_every_link(spark):
     assert first.count() == len(sets) - 1 and again.count() == 0
 
 
+def test_minhash_sql_splits_at_all_white_space(spark, tmp_path):
+    rows = [(1, "a b c d e f g", ""), (2, "a\r\nb\x0bc\x0cd\te\rf g", ""), (3, "a\r\nb", "")]
+    documents(spark, rows).select("doc_id", "text").coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    same(minhash_dedup.op3_minhash_dedup(spark, str(tmp_path)), minhash_dedup.OP3_SQL, str(tmp_path))
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3, 4])
 def test_bit_estimates(bits):
     import numpy as np
