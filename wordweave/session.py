@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,4 +40,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Deletes tables of written() that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            at, fs = _path(df.sparkSession, path)
+            fs.delete(at, True)
+
+
+def stored(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is built once for its source paths as they are, in the shared folder, and read from then on.
+
+    The names, sizes and times of the sources' files are part of its path, so changed sources
+    give another table; one whose write didn't end is built again.
+    """
+    seen = []
+    for source in sources:
+        at, fs = _path(spark, source)
+        files = fs.listStatus(at)
+        seen += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    path = f"{shared_dir(spark)}/stored/{name}-{hashlib.sha1(chr(10).join(seen).encode()).hexdigest()}"
+    done, fs = _path(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

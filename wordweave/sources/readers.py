@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 from wordweave.functions.text import clean, titles, wiki_title
 
 
+#: Bytes of a table that are worth dealing out, and of a core's share that are still cheap to.
+DEAL_FROM, DEAL_TO = 1 << 20, 64 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than cores over all cores: a Parquet file of one row group is read by one task only. Others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if DEAL_FROM <= size <= cores * DEAL_TO and len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def word_lines(spark: SparkSession, path: str) -> DataFrame:
