@@ -81,6 +81,9 @@ def test_substring_dedup(docs, empty):
     for (d, t), w in zip(rows, words, strict=True):
         gone = {i + k for i in range(len(w) - width + 1) if first[tuple(w[i : i + width])] < ((-1 if d is None else 0, d or 0), i) for k in range(width)}
         want[d, t] = (len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+    for limits in ({"block": 3000, "share": 3},):
+        again = substring_dedup.parsed(docs, **limits).collect()
+        assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in again} == {(d, *v) for (d, _), v in want.items()}
     got = substring_dedup.parsed(docs).collect()
     assert len(got) == docs.count()
     assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got} == {(d, *v) for (d, _), v in want.items()}
@@ -90,6 +93,31 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.parsed(empty).count() == 0
 
 
+def test_substring_factors(spark, monkeypatch):
+    """Factors are as long as their source goes, start again over a border, and are proved on words."""
+    import numpy as np
+
+    from wordweave.llm import wordhash
+
+    rng = random.Random(9)
+    words = lambda k: [f"v{rng.randrange(10**7)}" for _ in range(k)]
+    a, b, c = words(90), words(60), words(45)
+    texts = [(1, " ".join(a)), (2, "\n ".join(b)), (3, " ".join(words(5) + a[10:80] + b[5:50] + words(3))), (4, " ".join(a[70:] + b[:12] + c + c[5:40])), (5, " ".join(a[71:] + b[:12])), (6, " ".join(c + a[:19]))]
+    rows = documents(spark, [(i, t, "") for i, t in texts])
+    want = {1: [], 2: [], 3: [(5, 70, 1, 10), (75, 45, 2, 5)], 4: [(0, 20, 1, 70), (77, 35, 4, 37)], 5: [(0, 31, 4, 1)], 6: [(0, 45, 4, 32)]}
+    for block in (1,):
+        got = {r.doc_id: [tuple(f) for f in r.factors] for r in substring_dedup.parsed(rows, block=block).collect()}
+        assert got == want
+    # Hashes that say nothing: only equal words make a factor.
+    monkeypatch.setattr(wordhash, "mix", lambda x: x & np.uint64(0))
+    import pyarrow as pa
+
+    w = next(wordhash.slices(pa.array([" ".join(a)])))
+    block = substring_dedup.Block(np.array([1, 2]), pa.array([" ".join(c + a[30:60]), " ".join(words(10) + a[:50])]), 20)
+    assert len(set(w.hash.tolist())) == 1
+    assert block.factors(w, w.shingles(20)[0], 0, 9) == [(0, 50, 2, 10), (31, 29, 1, 46)]
+
+
 def test_topk_search(spark):
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(12)]) for i in range(400)]

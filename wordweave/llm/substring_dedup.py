@@ -1,32 +1,37 @@
-"""Substring dedup by lookups of word windows in the whole corpus, in place of a greedy Relative Lempel-Ziv parse.
-
-The reference is the corpus in document order, indexed by windows of `width` words; an index
-block holds the windows of a hash range, and a document is factored against every block,
-since each of its windows is looked up in the block that would hold it. Factors are runs of
-windows whose earliest sources are consecutive. None is extended as far as one source goes, so
-a passage may be several factors that overlap by up to `width` - 1 words, one for each source
-that has a part of it first; the words under them are the same. Words
-under factors of at least `width` words are the duplicate spans.
-
-Few windows need an entry. Each window has an anchor, the least hash of its `seed`-word
-grams; equal windows have equal anchors, and an anchor is the same for several windows in a
-row. Only windows whose anchor occurs more than once enter the index, and an anchor's count
-takes one hash for about seven windows.
-
-A passage that many documents share is one row of the written tables after map-side combines;
-rows that meet it do so in equi-joins that adaptive execution can split. Spans, anchors and
-texts are put together for each document, never for a passage.
-
-Documents whose whole texts are equal are found by hashes of them: the first is parsed, each
-other is one factor.
+"""Substring dedup by Relative Lempel-Ziv parsing of documents against indexed reference blocks.
+
+The reference is every document that holds the first occurrence of some window of `width`
+words that occurs again, cut into blocks of about `block` bytes as packed, or of one longer
+document. A block's index is a sorted array of its windows' hashes with their places. A
+document is factored greedily against a block: at the first word whose window the block has at
+an earlier place, the factor is what follows there, as far as the two agree word by word; then
+the parse goes on at the windows that reach over the factor's end, each of which is looked up
+again, so that no window across a border is missed. Agreement is proved on the words' bytes,
+not on hashes. Factors have `width` words at least and are the duplicate spans; what one
+document's blocks say is united, and a factor inside another is dropped. A document's own
+earlier words are one more block for it.
+
+A directory says which blocks a document has to be factored against: those that hold the
+earliest document with one of its windows. Every other block could only repeat what these
+find. Few windows need an entry there. Each window has an anchor, the least hash of its
+`seed`-word grams; equal windows have equal anchors, and an anchor is the same for several
+windows in a row. Only windows whose anchor occurs in different texts enter the directory.
+
+The documents of a block are dealt to tasks by `share`, each of which gets the block's texts
+first, so a block that every document needs is read by many tasks, and a task holds one index
+and one batch. Anchors and windows are combined before they are shuffled.
+
+Documents whose whole texts are equal are found by two hashes of them: the first is parsed,
+each other is one factor.
 
 Results in special cases: null or empty text has no words, keeps the empty text and loses
 nothing; texts of any length are parsed whole; documents go by doc_id, null before all others;
 different texts of one doc_id count as one document whose windows go by their starts; rows
 that agree in doc_id and text are one document, which is not its own earlier copy, and each of
 them gets its result; an empty table gives an empty result; other columns are ignored. Of n
-indexed windows two different ones are confused with odds of about n * n / 2**65, and so are
-two of n texts.
+directory windows two different ones share a hash with odds of about n * n / 2**65; then a
+document may miss a block, but no word is removed without a proof. Two of n texts are taken
+for one with odds of n * n / 2**129.
 """
 
 from __future__ import annotations
@@ -42,11 +47,15 @@ from pyspark.sql import functions as F
 
 from wordweave.llm.shared import documents, keyed, written
 from wordweave.llm.wordhash import Words, mix, slices
-from wordweave.session import ship
+from wordweave.session import released, ship
 
-WIDTH, SEED = 20, 8
+#: Bytes of a reference block as packed, and the documents that a task factors against it.
+WIDTH, SEED, BLOCK, SHARE = 20, 8, 1 << 19, 2048
+#: Packed bytes that are unpacked at once.
+UNPACKED = 1 << 17
 #: Columns of a document that is factored.
-PARSED = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,len:int,source:long,source_start:int>>"
+FACTORS = "array<struct<start:int,len:int,source:long,source_start:int>>"
+PARSED = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors " + FACTORS
 
 
 def _anchor_runs(w: Words, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,36 +110,158 @@ def _anchors(width: int, seed: int):
     return run
 
 
+def _unpacked(packed: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Texts of a column of packed ones, by bounded runs of rows, with the first row of each."""
+    unpacker, values = zstandard.ZstdDecompressor(), packed.to_pylist()
+    lo, held = 0, 0
+    for i, x in enumerate(values, 1):
+        held += len(x)
+        if held >= UNPACKED or i == len(values):
+            yield lo, pa.array([unpacker.decompress(v) for v in values[lo:i]], pa.large_binary()).view(pa.large_string())
+            lo, held = i, 0
+
+
 def _windows(width: int):
-    """(did, tkey, packed, runs) to the windows of the runs: (window, did, tkey, at)."""
+    """(did, packed, runs) to the windows of the runs, each once a document: (window, did, tkey)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             did, tkey = (np.asarray(batch.column(i)) for i in (0, 1))
-            texts = pa.array([unpacker.decompress(x) for x in batch.column(2).to_pylist()], pa.large_binary()).view(pa.large_string())
-            runs = batch.column(3)
-            for w in slices(texts):
-                hashes, _ = w.shingles(width)
-                part = runs.slice(w.lo, w.n)
-                flat = part.flatten()
-                number = np.diff(np.asarray(part.offsets))
-                start, length = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
-                doc = np.repeat(np.repeat(np.arange(w.n), number), length)
-                within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                place = np.repeat(start, length) + within
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[w.first[doc] + place].view(np.int64)), pa.array(did[w.lo + doc]), pa.array(tkey[w.lo + doc]), pa.array(place.astype(np.int32))], names=["window", "did", "tkey", "at"])
+            for row, texts in _unpacked(batch.column(2)):
+                for w in slices(texts):
+                    hashes, _ = w.shingles(width)
+                    at = row + w.lo
+                    part = batch.column(3).slice(at, w.n)
+                    flat = part.flatten()
+                    number = np.diff(np.asarray(part.offsets))
+                    start, length = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
+                    doc = np.repeat(np.repeat(np.arange(w.n), number), length)
+                    within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                    window = hashes[w.first[doc] + np.repeat(start, length) + within]
+                    order = np.lexsort((window, doc))
+                    window, doc = window[order], doc[order]
+                    new = np.ones(len(doc), bool)
+                    new[1:] = (window[1:] != window[:-1]) | (doc[1:] != doc[:-1])
+                    window, doc = window[new], doc[new]
+                    yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(did[at + doc]), pa.array(tkey[at + doc])], names=["window", "did", "tkey"])
 
     return run
 
 
-def factors_of(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
-    """Factors (start, len, source document, start there), in words, from duplicate windows in order."""
-    if not len(at):
-        return []
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1]) | (source_at[1:] != source_at[:-1] + 1)]))
-    number = np.diff(np.append(new, len(at)))
-    return [(int(at[i]), int(n) + width - 1, int(source[i]), int(source_at[i])) for i, n in zip(new, number, strict=True)]
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning of two arrays, a few elements of which are looked at if it is short."""
+    n, lo, step = min(len(a), len(b)), 0, 64
+    while lo < n:
+        hi = min(n, lo + step)
+        other = np.flatnonzero(a[lo:hi] != b[lo:hi])
+        if len(other):
+            return lo + int(other[0])
+        lo, step = hi, 2 * step
+    return n
+
+
+class Block:
+    """Reference texts, whose words have one space between them, and the index of their windows."""
+
+    def __init__(self, dids: np.ndarray, texts: pa.Array, width: int):
+        self.width = width
+        self.words = w = next(slices(texts, size=1 << 62))
+        hashes, ok = w.shingles(width)
+        at = np.flatnonzero(ok)
+        doc, place = _first_words(w, at)
+        order = np.lexsort((place, dids[doc], hashes[at]))
+        self.key, self.at, self.did, self.place = hashes[at][order], at[order], dids[doc][order], place[order]
+        self.last = w.first[doc + 1][order]  # word after the document's last one
+        new = np.ones(len(order), bool)
+        new[1:] = self.key[1:] != self.key[:-1]
+        self.first = np.flatnonzero(new)
+        self.names = self.key[self.first]
+
+    def _match(self, w: Words, word: int, last: int, i: int) -> int:
+        """Words that agree with the block's from its place i on, proved on their bytes."""
+        own, at = self.words, self.at[i]
+        n = _agree(w.hash[word:last], own.hash[at : self.last[i]])
+        if n < self.width:
+            return 0
+        a, b = (x.data[x.start[k] : x.end[k + n - 1]] for x, k in ((w, word), (own, at)))
+        if np.array_equal(a, b):
+            return n
+        same = 0  # two different words share a hash
+        for x, y in zip(a.tobytes().split(), b.tobytes().split(), strict=True):
+            if x != y:
+                break
+            same += 1
+        return same if same >= self.width else 0
+
+    def factors(self, w: Words, hashes: np.ndarray, doc: int, did: int) -> list[tuple[int, int, int, int]]:
+        """Factors (start, len, source, source_start) of a document of w, greedily from left to right; hashes are w's windows'."""
+        begin, last = int(w.first[doc]), int(w.first[doc + 1])
+        n = last - begin - self.width + 1
+        if n <= 0 or not len(self.names):
+            return []
+        window = hashes[begin : begin + n]
+        where = np.minimum(np.searchsorted(self.names, window), len(self.names) - 1)
+        at = self.first[where]
+        earlier = (self.did[at] < did) | ((self.did[at] == did) & (self.place[at] < np.arange(n)))
+        spots = np.flatnonzero((self.names[where] == window) & earlier)
+        out, k = [], 0
+        while k < len(spots):
+            i = int(spots[k])
+            j, length = int(at[i]), 0
+            while not length and j < len(self.key) and self.key[j] == window[i] and (self.did[j] < did or (self.did[j] == did and self.place[j] < i)):
+                length = self._match(w, begin + i, last, j)
+                j += 1
+            if length:
+                out.append((i, length, int(self.did[j - 1]), int(self.place[j - 1])))
+                k = int(np.searchsorted(spots, i + length - self.width + 1))
+            else:
+                k += 1
+        return out
+
+
+_KIND = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
+
+
+def _listed(factors: list[list[tuple[int, int, int, int]]]) -> pa.Array:
+    return pa.array([[dict(zip(("start", "len", "source", "source_start"), f, strict=True)) for f in x] for x in factors], _KIND)
+
+
+def _factored(width: int):
+    """(block, part, kind, did, tkey, packed), a block's texts (kind 0) before its documents (kind 1), to (did, tkey, factors)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+        for batch in batches:
+            name = np.stack([np.asarray(batch.column(i)) for i in range(3)], 1)
+            did = np.asarray(batch.column(3))
+            cuts = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]).any(1), [True]])) if len(name) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if now != tuple(name[lo, :2]):
+                    now, held, block = tuple(name[lo, :2]), [], None
+                rows = batch.slice(lo, hi - lo)
+                if name[lo, 2] == 0:
+                    held.append((did[lo:hi], pa.concat_arrays([x for _, x in _unpacked(rows.column(5))])))
+                    continue
+                if block is None:
+                    block, held = Block(np.concatenate([d for d, _ in held]), pa.concat_arrays([t for _, t in held]), width), []
+                for row, texts in _unpacked(rows.column(5)):
+                    for w in slices(texts):
+                        hashes, _ = w.shingles(width)
+                        at = lo + row + w.lo
+                        found = [block.factors(w, hashes, j, int(did[at + j])) for j in range(w.n)]
+                        yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, w.n) for i in (3, 4)), _listed(found)], names=["did", "tkey", "factors"])
+
+    return run
+
+
+def united(factors: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The factors of several blocks in order, without those inside another."""
+    out, upto = [], -1
+    for f in sorted(factors, key=lambda f: (f[0], -f[1], f[2], f[3])):
+        if f[0] + f[1] > upto:
+            out.append(f)
+            upto = f[0] + f[1]
+    return out
 
 
 def kept_words(text: bytes, factors: list[tuple[int, int, int, int]]) -> tuple[int, list[bytes]]:
@@ -144,78 +275,113 @@ def kept_words(text: bytes, factors: list[tuple[int, int, int, int]]) -> tuple[i
     return len(words), [x for x, g in zip(words, out, strict=True) if not g]
 
 
-def _parse(width: int):
-    """(did, tkey, packed, dups) to the text's factors and what they leave; dups: windows that occur earlier, as (at, source, source_at)."""
+def _kept(width: int):
+    """(did, tkey, packed, own, factors) to all factors and what they leave; own: the text repeats words of itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
-        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = []
-            for packed, dups in zip(batch.column(2), batch.column(3), strict=True):
-                a, s, p = (np.asarray(dups.values.field(i)).astype(np.int64) for i in range(3))
-                a, first = np.unique(a, return_index=True)
-                factors = factors_of(a, s[first], p[first], width)
-                n, kept = kept_words(unpacker.decompress(packed.as_py()), factors)
-                rows.append((n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [dict(zip(("start", "len", "source", "source_start"), f, strict=True)) for f in factors]))
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], kind)], names=["did", "tkey", "removed", "sha", "factors"])
+            did, own = np.asarray(batch.column(0)), batch.column(3)
+            removed, shas, lists = [], [], []
+            for row, texts in _unpacked(batch.column(2)):
+                for j, text in enumerate(texts):
+                    i = row + j
+                    factors = [(f["start"], f["len"], f["source"], f["source_start"]) for f in batch.column(4)[i].as_py() or ()]
+                    if own[i].as_py():
+                        block = Block(did[i : i + 1], texts.slice(j, 1), width)
+                        hashes, _ = block.words.shingles(width)
+                        factors += block.factors(block.words, hashes, 0, int(did[i]))
+                    factors = united(factors)
+                    n, kept = kept_words(text.as_py().encode(), factors)
+                    removed.append(n - len(kept))
+                    shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                    lists.append(factors)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), _listed(lists)], names=["did", "tkey", "removed", "sha", "factors"])
 
     return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, tkey, text) with the text as zstandard, half of what Spark's own compression makes of it in a shuffle."""
+    """(did, tkey, text) with the words, one space between, as zstandard: half of what Spark's own compression makes of a text in a shuffle."""
     packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        packed = pa.array([packer.compress(x) for x in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+        packed = pa.array([packer.compress(b" ".join(x.split())) for x in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["did", "tkey", "packed"])
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, did, tkey, text) to what holds of a document that loses nothing. Words of one document are held at a time."""
+    """(doc_id, did, tkey, tkey2, text) to what holds of a document that loses nothing. Words of one document are held at a time."""
     for batch in batches:
         n, whole = [], []
-        for text in batch.column(3):
+        for text in batch.column(4):
             words = text.as_py().encode().split()
             n.append(len(words))
             whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(whole, pa.string())], names=["doc_id", "did", "tkey", "n_words", "whole"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(n, pa.int64()), pa.array(whole, pa.string())], names=["doc_id", "did", "tkey", "tkey2", "n_words", "whole"])
 
 
-def parsed(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+def _candidates(keys: DataFrame, first: DataFrame, width: int, seed: int) -> DataFrame:
+    """(did, tkey, packed, runs, own) of the texts that may lose words, first of equal ones: runs of windows whose anchors other texts have, and whether an anchor occurs twice in this one."""
+    texts = keys.select("did", "tkey", "text")
+    runs = texts.mapInArrow(_anchors(width, seed), "anchor long, did long, tkey long, start int, len int, again boolean")
+    counted = runs.groupBy("anchor").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi"), F.max("again").alias("again"))
+    twice = written(counted.filter("lo <> hi or again").select("anchor", (F.col("lo") != F.col("hi")).alias("across")), "rlz-anchors")
+    found = runs.join(twice, "anchor").groupBy("did", "tkey").agg(F.collect_set(F.when(F.col("across"), F.struct("start", "len"))).alias("runs"), F.max("again").alias("own"))
+    found = found.join(first, ["did", "tkey"], "left_semi")
+    packed = texts.mapInArrow(_packed, "did long, tkey long, packed binary").join(found.hint("shuffle_hash"), ["did", "tkey"])
+    out = written(packed.select("did", "tkey", "packed", "runs", "own"), "rlz-parts")
+    released(twice)
+    return out
+
+
+def _by_blocks(parts: DataFrame, several: DataFrame, width: int, block: int, share: int) -> DataFrame:
+    """(did, tkey, factors) of parts against every block that their windows name."""
+    index = written(parts.filter(F.size("runs") > 0).select("did", "tkey", "packed", "runs").mapInArrow(_windows(width), "window long, did long, tkey long"), "rlz-windows")
+    earliest = written(index.groupBy("window").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter("lo <> hi").select("window", "lo"), "rlz-directory")
+    sources = index.join(earliest, "window").filter("did > lo").select("did", "tkey", "lo")
+    # Texts of one doc_id meet among themselves, as the directory knows documents only.
+    own = parts.join(several, "did").select("did", "tkey", F.col("did").alias("lo"))
+    sources = written(sources.union(own).distinct(), "rlz-sources")
+    released(index, earliest)
+    texts = parts.select("did", "tkey", "packed")
+    reference = written(texts.join(sources.select(F.col("lo").alias("did")).distinct(), "did").select("did", "tkey", "packed"), "rlz-reference")
+    size = reference.agg(F.coalesce(F.sum(F.length("packed")), F.lit(0))).first()[0]
+    of = lambda did: F.pmod(F.xxhash64(did), F.lit(max(1, -(-size // block))).cast("long")).alias("block")
+    pairs = written(sources.select("did", "tkey", of("lo")).distinct(), "rlz-pairs")
+    shares = written(pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / share).cast("long").alias("shares")), "rlz-shares")
+    asked = pairs.join(shares, "block").select("block", F.pmod(F.xxhash64("did", "tkey"), F.col("shares")).alias("part"), F.lit(1).cast("long").alias("kind"), "did", "tkey")
+    asked = asked.join(texts, ["did", "tkey"]).select("block", "part", "kind", "did", "tkey", "packed")
+    given = reference.select(of("did"), "did", "tkey", "packed").join(shares, "block")
+    given = given.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("part"), F.lit(0).cast("long").alias("kind"), "did", "tkey", "packed")
+    work = asked.union(given).repartition("block", "part").sortWithinPartitions("block", "part", "kind", "did", "tkey")
+    found = written(work.mapInArrow(_factored(width), f"did long, tkey long, factors {FACTORS}").filter(F.size("factors") > 0), "rlz-found")
+    released(sources, reference, pairs, shares)
+    return found
+
+
+def parsed(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block: int = BLOCK, share: int = SHARE) -> DataFrame:
     """PARSED for each row of docs (doc_id, text)."""
     ship(docs.sparkSession)
+    second = F.xxhash64(F.lit("second"), "text").alias("tkey2")
     keys = keyed(docs).select(F.col("doc_id").cast("long"), "did", "tkey", F.coalesce("text", F.lit("")).alias("text"))
-    texts = keys.select("did", "tkey", "text")
     # Documents with one text: the first is parsed, the others are one factor.
-    second = F.xxhash64(F.lit("second"), "text").alias("tkey2")
     alike = written(keys.select("did", "tkey", second).groupBy("tkey", "tkey2").agg(F.min("did").alias("first"), F.max("did").alias("last")), "rlz-texts")
-    runs = texts.mapInArrow(_anchors(width, seed), "anchor long, did long, tkey long, start int, len int, again boolean")
-    counted = runs.groupBy("anchor").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi"), F.max("again").alias("again"))
-    twice = written(counted.filter("lo <> hi or again").select("anchor"), "rlz-anchors")
-    candidates = runs.join(twice, "anchor").groupBy("did", "tkey").agg(F.collect_set(F.struct("start", "len")).alias("runs"))
-    candidates = candidates.join(alike.select("tkey", F.col("first").alias("did")).distinct(), ["did", "tkey"], "left_semi")
-    packed = texts.mapInArrow(_packed, "did long, tkey long, packed binary")
-    parts = written(packed.join(candidates.hint("shuffle_hash"), ["did", "tkey"]).select("did", "tkey", "packed", "runs"), "rlz-parts")
-    index = written(parts.mapInArrow(_windows(width), "window long, did long, tkey long, at int"), "rlz-index")
-    # A place as one number, doc_id then start, keeps the earliest of each window in a hash map.
-    place = F.col("did").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("at").cast("decimal(10,0)")
-    index = index.withColumn("place", place.cast("decimal(38,0)"))
-    earliest = index.groupBy("window").agg(F.min("place").alias("source"), F.max("place").alias("last")).filter("source <> last").select("window", "source")
-    later = index.join(written(earliest, "rlz-sources"), "window").filter("place > source")
-    step = F.lit(2**31).cast("decimal(10,0)")
-    start = F.pmod(F.col("source"), step)
-    source = F.struct("at", ((F.col("source") - start) / step).cast("long").alias("source"), start.cast("int").alias("source_at"))
-    dups = later.groupBy("did", "tkey").agg(F.collect_list(source).alias("dups"))
-    factored = parts.select("did", "tkey", "packed").join(dups.hint("shuffle_hash"), ["did", "tkey"]).mapInArrow(_parse(width), "did long, tkey long, removed long, sha string, factors array<struct<start:int,len:int,source:long,source_start:int>>")
-    factored = written(factored, "rlz-factors").groupBy("did", "tkey").agg(F.first("removed").alias("removed"), F.first("sha").alias("sha"), F.first("factors").alias("factors"))
-    plain = keys.select("doc_id", "did", "tkey", "text").mapInArrow(_plain, "doc_id long, did long, tkey long, n_words long, whole string")
-    copies = alike.filter("first <> last").groupBy("tkey").agg(F.min("first").alias("first"))
-    rows = plain.join(factored.hint("shuffle_hash"), ["did", "tkey"], "left").join(written(copies, "rlz-copies"), "tkey", "left")
+    firsts = alike.select(F.col("first").alias("did"), "tkey")
+    parts = _candidates(keys, firsts.distinct(), width, seed)
+    several = firsts.groupBy("did").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi")).filter("lo <> hi").select("did")
+    found = _by_blocks(parts, several, width, block, share)
+    every = found.groupBy("did", "tkey").agg(F.flatten(F.collect_list("factors")).alias("factors"))
+    left = parts.select("did", "tkey", "packed", "own").join(every.hint("shuffle_hash"), ["did", "tkey"], "left").filter("own or factors is not null")
+    factored = written(left.mapInArrow(_kept(width), f"did long, tkey long, removed long, sha string, factors {FACTORS}"), "rlz-factors")
+    factored = factored.groupBy("did", "tkey").agg(*[F.first(c).alias(c) for c in ("removed", "sha", "factors")])  # of rows that repeat
+    released(parts, found)
+    plain = keys.select("doc_id", "did", "tkey", second, "text").mapInArrow(_plain, "doc_id long, did long, tkey long, tkey2 long, n_words long, whole string")
+    copies = alike.filter("first <> last").select("tkey", "tkey2", "first")
+    copies = written(copies, "rlz-copies")
+    released(alike)
+    rows = plain.join(factored.hint("shuffle_hash"), ["did", "tkey"], "left").join(copies, ["tkey", "tkey2"], "left")
     copy = (F.col("first") < F.col("did")) & (F.col("n_words") >= width)
     one = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("len"), F.col("first").alias("source"), F.lit(0).alias("source_start")))
-    none = F.array().cast("array<struct<start:int,len:int,source:bigint,source_start:int>>")
+    none = F.array().cast(FACTORS)
     return rows.select(
         "doc_id",
         "n_words",
