@@ -317,13 +317,13 @@ def test_byte_bpe(spark, docs, empty, chunk, overlap):
     plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     more = documents(spark, [(700, "a" * 3000, ""), (701, "x y  z\n\n  " * 90 + "b" * 300 + " it's  end  ", ""), (702, " " * 500, "")])
     every = docs.unionByName(more)
-    got = sorted(map(str, byte_bpe.encode(every, path, pattern, chunk, overlap).collect()))
-    want = []
-    for r in every.collect():
-        ids = plain.encode_ordinary(r.text or "")
-        want.append(str(byte_bpe.encode(docs.limit(0), path, pattern).schema and _row(r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(r.text or ""))))
-    assert got == sorted(want)
-    assert byte_bpe.encode(empty, path, pattern).count() == 0
+    got = byte_bpe.decode(byte_bpe.encode(every, path, pattern, chunk, overlap), path)
+    want = [(r.doc_id, plain.encode_ordinary(r.text or ""), r.text or "") for r in every.collect()]
+    assert sorted((str(r.doc_id), r.ids, bytes(r.raw).decode()) for r in got.collect()) == sorted((str(d), ids, t) for d, ids, t in want)
+    digests = [str(_row(d, len(ids), sha(",".join(map(str, ids))), sha(t))) for d, ids, t in want]
+    assert sorted(map(str, byte_bpe.digested(got).collect())) == sorted(digests)
+    assert byte_bpe.decode(byte_bpe.encode(empty, path, pattern), path).count() == 0
+    assert [bytes(r.raw) for r in byte_bpe.decode(got.select("doc_id", F.lit(None).alias("ids")).limit(2), path).collect()] == [b"", b""]
 
 
 def _row(doc_id, n, ids, decoded):

@@ -5,26 +5,29 @@ pre-tokenised by itself, from its own first character, in parallel. Two neighbou
 stitched at the first place in their overlap where both have a pre-token boundary: the
 pattern looks back at nothing, so from there on they agree. Where two neighbours never agree
 (one pre-token as long as the overlap), nothing proves the later borders, and the text from
-the last proven one to its end is one piece. The pieces are then encoded, each pre-token by the merge ranks, and their ids and
-raw bytes put together again in order. Texts of one chunk are encoded where they are read.
-
-Results in special cases: null or empty text has no tokens, the hash of the empty string and
-empty decoded bytes; rows that repeat give equal rows; rows with null doc_id are encoded like
-others; an empty table gives an empty result; other columns are ignored.
+the last proven one to its end is one piece. The pieces are then encoded, each pre-token by
+the merge ranks, and their ids put together again in order. Texts of one chunk are encoded
+where they are read. Decoding concatenates the raw bytes of ids; it looks at one row at a time.
+
+Results in special cases: null or empty text has no ids and empty decoded bytes; null ids
+decode to empty bytes, and ids without a rank fail; rows that repeat give equal rows; rows with
+null doc_id are encoded like others; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from wordweave.llm.shared import documents
 from wordweave.session import ship
@@ -33,47 +36,42 @@ from wordweave.session import ship
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 200_000
-RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+RESULT = "doc_id long, ids array<int>"
+
+
+def ranks_of(path: str) -> dict[bytes, int]:
+    """The ranks of a tiktoken file."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 class Coder:
     """Encodes pre-tokens with the ranks of a tiktoken file."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        with open(ranks_path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.known: dict[str, tuple[str, int, tuple[int, ...]]] = {}
+        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(ranks_path), special_tokens={})
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def boundaries(self, text: str, start: int = 0) -> Iterator[int]:
         for m in self.pattern.finditer(text, start):
             yield m.end()
 
-    def piece(self, pre_token: str) -> tuple[str, int, tuple[int, ...]]:
-        """Its ids as decimal text, their number, and the ids."""
-        if (x := self.known.get(pre_token)) is None:
+    def piece(self, pre_token: str) -> tuple[int, ...]:
+        if (ids := self.known.get(pre_token)) is None:
             ids = tuple(self.core._encode_single_piece(pre_token.encode()))
-            x = ",".join(map(str, ids)), len(ids), ids
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             if len(pre_token) <= 64:
-                self.known[pre_token] = x
-        return x
+                self.known[pre_token] = ids
+        return ids
 
-    def encode(self, text: str) -> tuple[int, str, list[int]]:
-        """Number of ids, decimal ids joined by commas, the ids. text starts and ends at pre-token boundaries."""
-        said, ids = [], []
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text that starts and ends at pre-token boundaries."""
+        ids: list[int] = []
         for pre_token in self.pattern.findall(text):
-            x = self.piece(pre_token)
-            said.append(x[0])
-            ids += x[2]
-        return len(ids), ",".join(said), ids
-
-    def decode(self, ids: list[int]) -> bytes:
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids])
+            ids += self.piece(pre_token)
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -82,16 +80,41 @@ def coder(ranks_path: str, pattern: str) -> Coder:
     return Coder(ranks_path, pattern)
 
 
-def _short(ranks_path: str, pattern: str):
+@lru_cache(maxsize=2)
+def bytes_of(ranks_path: str) -> list[bytes | None]:
+    """The bytes of each id; one for each Python worker."""
+    ranks = ranks_of(ranks_path)
+    out: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for b, i in ranks.items():
+        out[i] = b
+    return out
+
+
+def _lists(rows: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter((i for r in rows for i in r), np.int32, ends[-1])))
+
+
+def _encoded(ranks_path: str, pattern: str, keys: int):
+    """(keys.., text) to (keys.., ids)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks_path, pattern)
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                n, said, ids = c.encode(text or "")
-                rows.append((n, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = _lists([c.encode(text) for text in batch.column(keys).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(keys)), ids], names=[*batch.schema.names[:keys], "ids"])
+
+    return run
+
+
+def _decoded(ranks_path: str):
+    """(.., ids) to (.., ids, raw)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = bytes_of(ranks_path)
+        for batch in batches:
+            rows = [b"".join([of[i] for i in ids or ()]) for ids in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, "raw"])
 
     return run
 
@@ -117,30 +140,12 @@ def _borders(ranks_path: str, pattern: str, overlap: int):
     return run
 
 
-def _pieces(ranks_path: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(ranks_path, pattern)
-        for batch in batches:
-            rows = []
-            for text in batch.column(3).to_pylist():
-                n, said, ids = c.encode(text)
-                rows.append((n, said, c.decode(ids)))
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.binary())], names=["did", "tkey", "at", "n", "said", "raw"])
-
-    return run
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """RESULT for each row of docs (doc_id, text): the ids of a text and the bytes they decode to, as digests.
-
-    Only texts of more than a chunk are shuffled, as chunks; a document's own ids meet again
-    in one row, which a digest over the whole of it needs.
-    """
+    """RESULT for each row of docs (doc_id, text). Only texts of more than a chunk are shuffled, as chunks; a document's ids meet again in its row."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     both = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    short = both.filter(F.length("text") <= chunk).mapInArrow(_short(ranks_path, pattern), RESULT)
+    short = both.filter(F.length("text") <= chunk).mapInArrow(_encoded(ranks_path, pattern, 1), RESULT)
     long = both.filter(F.length("text") > chunk).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), F.xxhash64("text").alias("tkey"), "doc_id", "text")
     cut = long.dropDuplicates(["did", "tkey"])
     starts = cut.select("did", "tkey", "text", F.length("text").alias("chars"), F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1, F.lit(chunk).cast("long"))).alias("at"))
@@ -153,13 +158,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     cuts = borders.select("did", "tkey", F.concat(F.array(F.lit(0).cast("long")), F.transform(F.slice("b", F.lit(1), agreed), lambda x: x["met"])).alias("cuts"))
     ends = F.transform("cuts", lambda x, i: F.struct(x.alias("start"), F.coalesce(F.try_element_at("cuts", (i + 2).cast("int")), F.length("text").cast("long")).alias("end")))
     pieces = cut.join(cuts, ["did", "tkey"]).select("did", "tkey", "text", F.explode(ends).alias("p")).select("did", "tkey", F.col("p.start").alias("at"), F.substring("text", (F.col("p.start") + 1).cast("int"), (F.col("p.end") - F.col("p.start")).cast("int")).alias("text")).filter("text <> ''")
-    done = pieces.repartition("did", "tkey", "at").mapInArrow(_pieces(ranks_path, pattern), "did long, tkey long, at long, n long, said string, raw binary")
-    whole = done.groupBy("did", "tkey").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("at", "said"))).alias("said"), F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("raw"))
-    # Bytes are put together as hex text: array_join and concat take no array of binaries.
-    raw = F.unhex(F.array_join(F.transform("raw", lambda x: F.hex(x["raw"])), ""))
-    digests = whole.select("did", "tkey", "n_tokens", F.sha2(F.array_join(F.transform("said", lambda x: x["said"]), ","), 256).alias("ids_sha256"), F.sha2(raw, 256).alias("decoded_sha256"))
-    back = long.select("did", "tkey", "doc_id").join(digests, ["did", "tkey"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-    return short.unionByName(back)
+    done = pieces.repartition("did", "tkey", "at").mapInArrow(_encoded(ranks_path, pattern, 3), "did long, tkey long, at long, ids array<int>")
+    whole = done.groupBy("did", "tkey").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    whole = whole.select("did", "tkey", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
+    return short.unionByName(long.select("did", "tkey", "doc_id").join(whole, ["did", "tkey"]).select("doc_id", "ids"))
+
+
+def decode(rows: DataFrame, ranks_path: str) -> DataFrame:
+    """rows (.., ids) with `raw`, the bytes that the ids stand for."""
+    ship(rows.sparkSession)
+    rows = rows.select(*[c for c in rows.columns if c != "ids"], F.col("ids").cast("array<int>"))
+    return rows.mapInArrow(_decoded(ranks_path), StructType([*rows.schema.fields, StructField("raw", BinaryType())]))
+
+
+def digested(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids, raw)."""
+    said = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
 
 def public_ranks() -> tuple[str, str]:
@@ -170,4 +185,5 @@ def public_ranks() -> tuple[str, str]:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(documents(spark, sf_dir), *public_ranks())
+    ranks, pattern = public_ranks()
+    return digested(decode(encode(documents(spark, sf_dir), ranks, pattern), ranks))
