@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordweave.llm.byte_bpe import encode, public_ranks
+from wordweave.llm.byte_bpe import decode, digested, encode, public_ranks
 from wordweave.llm.line_dedup import dedup_lines
 from wordweave.llm.minhash_dedup import near_deduplicated
 from wordweave.llm.quality_rules import accepted
@@ -41,7 +41,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the bytes they decode to, as digests."""
-    return encode(docs, *public_ranks())
+    ranks, pattern = public_ranks()
+    return digested(decode(encode(docs, ranks, pattern), ranks))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("minhash_near_dedup", minhash_near_dedup), ("source_mix", source_mix), ("byte_bpe", byte_bpe)]
