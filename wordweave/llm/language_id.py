@@ -6,13 +6,17 @@ text belongs to. A text goes to the codeword of least summed logistic loss under
 margins, each bit weighed by its accuracy in training; a small lead over the second codeword
 marks the text ambiguous.
 
-The models are fit on the driver from a sample of at most `sample` labelled documents, the
-same number of each language and the first by a hash of doc_id, so it is the same at each run
-and does not grow. What is broadcast is the models alone: `buckets` weights a bit.
+The models are fit on the driver from a sample of at most `sample` different labelled
+documents, the same number of each language and the first by a hash of doc_id and text, so it
+is the same at each run and does not grow. Languages are counted first; only documents whose
+hash lies below their language's threshold, a few times the sample, are then ordered, so no
+task gets the rows of a common language. Of more languages than `sample` the commonest are
+learned. What is broadcast is the models, `buckets` weights a bit, and the sample's keys.
 
 Results in special cases: null text, or text without a letter, is `und` with score 0, as is
 every text if nothing could be learned; with one learned language every other text is that
-language; texts of any length are counted whole; rows that repeat give equal rows; rows with
+language; texts of any length are counted whole; rows that repeat give equal rows and teach
+once; rows with
 null doc_id, lang or text teach nothing; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -120,13 +124,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most `sample` rows (text, lang) of those that may teach, as many of each language."""
+    """At most `sample` different rows (doc_id, lang, text) of those that may teach, as many of each language as of others if it has them."""
     teach = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    few = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    langs = teach.select("lang").distinct().orderBy("lang").limit(sample)
-    each = max(1, sample // max(1, langs.count()))
-    ids = teach.select("doc_id", "lang").withColumn("i", F.row_number().over(few)).filter(F.col("i") <= each).orderBy("i", "lang").limit(sample).select("doc_id", "lang")
-    return teach.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    teach = teach.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    counts = teach.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"), F.count(F.lit(1)).alias("rows"))
+    counts = counts.orderBy(F.desc("rows"), "lang").limit(sample).collect()  # `sample` rows at most
+    each = max(1, sample // max(1, len(counts)))
+    # So many times the rows wanted, and some, lie below a threshold that fewer than `each` are out of the question.
+    limits = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (3 * each + 30) / max(1, r.n))) for r in counts], "lang string, share double")
+    place = (F.pmod("key", F.lit(1 << 31)) / float(1 << 31)).alias("place")
+    few = teach.select("doc_id", "lang", "key", place).join(F.broadcast(limits), "lang").filter("place < share").select("lang", "place", "key").distinct()
+    first = Window.partitionBy("lang").orderBy("place", "key")
+    keys = few.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= each).select("lang", "key")
+    return teach.join(F.broadcast(keys), ["lang", "key"]).dropDuplicates(["lang", "key"]).select("doc_id", "lang", "text")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Model:
@@ -141,7 +151,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Mode
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "lang", "profile"])
 
     rows = sampled(docs, sample).mapInArrow(count, "doc_id long, lang string, profile binary").toArrow().to_pylist()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["profile"]))[: 2 * sample]
+    rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["profile"]))
     x = np.frombuffer(b"".join(r["profile"] for r in rows), "<f2").reshape(-1, buckets).astype(np.float32)
     return fit(x, [r["lang"] for r in rows])
 
