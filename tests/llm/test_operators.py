@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +137,38 @@ def test_topk_search(spark):
     assert topk_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_takes_any_finite_vector(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) * 10.0 ** rng.choice([0, 0, 0, 3, 7, 15, 37]) for _ in range(6)]) for i in range(120)]
+    rows += [(500 + i, [5000.0, -5000.0, 0.0, 0.25, 1.0, rng.uniform(-1, 1)]) for i in range(40)] + [(900, [float("inf")]), (901, [3.4e38] * 6), (902, [-3.4e38] * 6), (903, [4097.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vec = {r.vec_id: [math.floor(1024 * x) for x in r.embedding] for r in df.collect() if r.vec_id != 900}
+    ask = df.filter("vec_id % 25 = 0 or vec_id > 900")
+    want = set()
+    for q in [r.vec_id for r in ask.collect() if r.vec_id != 900]:
+        score = {v: sum(a * b for a, b in zip(vec[q], x)) for v, x in vec.items() if v != q}
+        best = sorted(score, key=lambda v: (-float(score[v]), v))[:10]
+        want |= {(q, i + 1, v, max(-(2**63), min(2**63 - 1, score[v]))) for i, v in enumerate(best)}
+    got = topk_search.top_k(df, ask, size=50, query_size=4).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+
+
+def test_topk_stops_on_proof():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = rng.integers(-300, 300, (4000, 16)).astype("<i4")
+    data[:200] *= 3
+    index = topk_search.ImpactIndex(np.arange(4000), data)
+    for i in range(0, 4000, 400):
+        q = data[i].astype(np.int64)
+        at, scores = index.search(q, i, 10)
+        every = data.astype(np.int64) @ q
+        every[i] = np.iinfo(np.int64).min
+        assert sorted(scores.tolist())[-10:] == sorted(every.tolist())[-10:]
+    assert index.read < 10 * 4000 * 16
+
+
 def test_minhash_dedup(docs, empty):
     plan, rows = minhash_dedup.Plan(shingle=4), distinct(docs)
 
@@ -226,6 +260,42 @@ def test_language_id(spark, sf_dir, empty):
     assert language_id.predicted(empty, model).count() == 0
 
 
+def test_language_sample_is_bounded(spark):
+    learns = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(learns[0], f"text number {i}", "aa") for i in range(4000)] + [(learns[1], "the same", "aa")] * 3000
+    rows += [(i, f"other text {i}", "zz") for i in learns[2:61]] + [(5, None, "aa"), (None, "x", "aa"), (7, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = language_id.sampled(docs, 20).collect()
+    assert sorted(r.lang for r in got) == ["aa"] * 10 + ["zz"] * 10 and len(set(got)) == 20
+    assert set(got) == set(language_id.sampled(docs.coalesce(1), 20).collect())
+    assert language_id.train(docs, 20).langs == ["aa", "zz"]
+    assert {r.lang for r in language_id.sampled(docs, 1).collect()} == {"aa"}
+    assert language_id.sampled(docs.limit(0)).count() == 0
+
+
+def test_language_decoding(spark, sf_dir):
+    """Scores and languages of decoded margins, against plain sums of losses."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.train(docs)
+    rows = docs.limit(40).collect()
+    got = {(r.doc_id, r.lang_pred, round(r.score, 6)) for r in language_id.predicted(docs.limit(40), model).collect()}
+    import pyarrow as pa
+
+    want = set()
+    for r in rows:
+        x = language_id.profiles(pa.array([r.text]))[0]
+        margin = [float(sum(x[i] * model.weights[i, j] for i in np.flatnonzero(x)) + model.bias[j]) for j in range(model.code.shape[1])]
+        loss = [sum(t * math.log1p(math.exp(-m if c else m)) for m, c, t in zip(margin, word, model.trust)) for word in model.code]
+        p = [math.exp(min(loss) - v) for v in loss]
+        best = min(range(len(loss)), key=lambda i: (loss[i], i))
+        want.add((r.doc_id, model.langs[best] if r.text and any(c.isalpha() for c in r.text) else "und", p[best] / sum(p) if r.text and any(c.isalpha() for c in r.text) else 0.0))
+    assert {(d, lang) for d, lang, _ in got} == {(d, lang) for d, lang, _ in want}
+    by = {d: s for d, _, s in want}
+    assert all(abs(by[d] - s) < 1e-3 for d, _, s in got)
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 7, 12, 40])
 def test_codewords_are_apart(n):
     code = language_id.codewords(n)
@@ -265,6 +335,15 @@ def test_source_mix(spark, docs, empty):
     out = source_mix.mixed(docs, buckets=8)
     assert out.columns == docs.columns and out.count() == sum(r.times for r in rows)
     assert source_mix.mixed(empty).count() == 0
+    texts = [(i, f"{i} " + "a b c d e f g " * (1 + i % 3), "x") for i in range(12)] + [(50, "same words here", "x")] * 40 + [(51, "w " * 200, "y")]
+    rows = documents(spark, texts).withColumn("n_chars", F.when(F.col("doc_id") == 50, F.floor(F.rand(3) * 3)).otherwise(0).cast("long"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    for seed in ("a", "b", "c", "d"):
+        plan = source_mix.takes(source_mix.sized(rows), buckets=4, seed=seed)
+        out = source_mix.mixed(rows, buckets=4, seed=seed)
+        assert out.count() == plan.agg(F.sum("times")).first()[0]
+        assert sorted(map(str, out.collect())) == sorted(map(str, source_mix.mixed(rows.repartition(5), buckets=4, seed=seed).collect()))
+        assert out.groupBy(out.columns).count().join(rows.groupBy(rows.columns).count().withColumnRenamed("count", "n"), rows.columns).filter("count > 3 * n").count() == 0
 
 
 @pytest.mark.parametrize(("sizes", "want"), [({"a": 100, "b": 100, "c": 100}, [187.5, 75, 37.5]), ({"a": 10, "b": 100, "c": 190}, [30, 180, 90]), ({"a": 0, "b": 5}, [0, 5]), ({"a": 0}, [0])])

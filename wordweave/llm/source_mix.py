@@ -13,7 +13,8 @@ sorted. No task sorts a source.
 
 Results in special cases: null text has size 0; a document of size 0 takes 0; sources whose
 words are 0 have target 0; null source is a source of its own, last in order; rows that repeat
-are rows of their own with equal keys, ordered by size, and their text's hash; null doc_id is
+are rows of their own with equal keys, ordered by size, their text's hash and their other
+columns, and each is taken as often as its own place says; null doc_id is
 hashed as the string 'null'; an unknown or null quality counts as 1; an empty table gives an
 empty result; other columns are kept or ignored, whatever their names. A document longer than
 the rest of its source's budget is taken if its middle lies within it, so a source misses its
@@ -32,6 +33,7 @@ from wordweave.llm.shared import documents, n_words, written
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
 #: Of a source's keys; each bucket is sorted by itself.
 BUCKETS = 1024
+_MORE = ("_other", "_rid")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -65,9 +67,14 @@ def uniform(doc_id: Column, seed: str) -> Column:
 
 
 def takes(rows: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """rows (doc_id, source, size, weight, tkey) with source_size, target and `times`, how often the mix takes the document."""
+    """rows (doc_id, source, size, weight, tkey) with source_size, target and `times`, how often the mix takes the document.
+
+    Rows may have two more columns: `_other`, a hash that orders rows which agree in the rest,
+    and `_rid`, which tells all rows apart; _rid is passed on.
+    """
+    more = [c for c in _MORE if c in rows.columns]
     key = F.pow(uniform(F.col("doc_id"), seed), 1.0 / F.col("weight"))
-    rows = written(rows.select("doc_id", "source", "size", "tkey", key.alias("key"), (F.lit(buckets - 1) - F.floor(key * buckets)).cast("int").alias("bucket")), "mix-keys")
+    rows = written(rows.select("doc_id", "source", "size", "tkey", *more, key.alias("key"), (F.lit(buckets - 1) - F.floor(key * buckets)).cast("int").alias("bucket")), "mix-keys")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     inside = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(inside), F.lit(0)).alias("start"))
@@ -75,27 +82,35 @@ def takes(rows: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int =
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = goal.withColumn("epochs", epochs.cast("long")).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = written(starts.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "bucket", "start", "source_size", "target", "epochs", "budget"), "mix-plan")
-    ordered = Window.partitionBy("source", "bucket").orderBy(F.col("key").desc(), F.col("doc_id").asc_nulls_first(), "size", "tkey")
+    ordered = Window.partitionBy("source", "bucket").orderBy(F.col("key").desc(), F.col("doc_id").asc_nulls_first(), "size", "tkey", *more)
     summed = rows.withColumn("upto", F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     both = summed.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
     middle = F.col("start") + F.col("upto") - F.col("size") / 2
-    return both.select("doc_id", "r.source", "size", "tkey", "source_size", "target", (F.col("epochs") + (middle <= F.col("budget")).cast("long")).alias("times"))
+    return both.select("doc_id", "r.source", "size", "tkey", *more[1:], "source_size", "target", (F.col("epochs") + (middle <= F.col("budget")).cast("long")).alias("times"))
 
 
-def sized(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """docs as the rows of takes(). quality: (doc_id, quality), good documents (1) weigh 2, bad ones (0) 0.5, others 1."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"))
+def sized(docs: DataFrame, quality: DataFrame | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """docs as the rows of takes(), with `more` columns of theirs. quality: (doc_id, quality), good documents (1) weigh 2, bad ones (0) 0.5, others 1."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), *more)
     if quality is None:
         return rows.withColumn("weight", F.lit(1.0))
     q = quality.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return rows.join(q, "doc_id", "left").select("doc_id", "source", "size", "tkey", F.when(F.col("quality") >= 1, 2.0).when(F.col("quality") <= 0, 0.5).otherwise(1.0).alias("weight"))
+    weight = F.when(F.col("quality") >= 1, 2.0).when(F.col("quality") <= 0, 0.5).otherwise(1.0)
+    return rows.join(q, "doc_id", "left").select("doc_id", "source", "size", "tkey", *more, weight.alias("weight"))
 
 
 def mixed(docs: DataFrame, quality: DataFrame | None = None, **params) -> DataFrame:
-    """The rows of docs as often as the mix takes them, other columns as they are."""
-    times = takes(sized(docs, quality), **params).groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), "tkey", "source").agg(F.max("times").alias("times")).hint("shuffle_hash")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), F.col("source"))
-    both = rows.alias("d").join(times.alias("t"), (F.col("d.did") == F.col("t.did")) & (F.col("d.tkey") == F.col("t.tkey")) & F.col("d.source").eqNullSafe(F.col("t.source"))).filter("times > 0")
+    """The rows of docs as often as the mix takes them, other columns as they are.
+
+    Rows are written with a number each, by which their times find them again; which rows that
+    agree in all columns are taken more often makes no difference.
+    """
+    cells = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = written(docs.select(cells.alias("row"), F.xxhash64(F.to_json(F.struct(*rest))).alias("_other"), F.monotonically_increasing_id().alias("_rid")), "mix-rows")
+    weighed = sized(rows.select("row.doc_id", "row.source", "row.text", *_MORE), quality, _MORE)
+    times = written(takes(weighed, **params).filter("times > 0").select("_rid", "times"), "mix-times").hint("shuffle_hash")
+    both = rows.join(times, "_rid")
     return both.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("epoch")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
