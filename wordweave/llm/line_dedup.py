@@ -1,13 +1,15 @@
 """Line dedup by sorted hash ranges, with keep bitmaps as its result.
 
 Each line of enough characters becomes a row of a 128-bit hash of its key, its document and
-its position. The rows are dealt by ranges of (hash, document, position) and sorted so, which
-also cuts a very common line into many ranges, and written. Two hash aggregates give, for
-each hash, its number of documents and its first occurrence in document order from the end:
-the document that keeps the line. They replace streams of the sorted ranges and do not use the
-order. They are combined within each range before they are shuffled. The
-repeated hashes, joined with the rows, give the positions to drop. What comes back for a
-document is a compressed bitmap (runs of dropped lines), no text; keep_lines() applies it.
+its position. Rows are dealt by ranges of the hash, which is uniform, so equal ranges need no
+sampling, and within a range by shares of the documents, so a very common line is in many
+tasks. Each is sorted by hash, document from the end, and position, and streamed once: where
+the hash changes, its first occurrence in this document order begins; where the document
+changes, it has one document more. The first occurrences of a hash's shares, combined in each
+task before they are shuffled, give its number of documents and the document that keeps the
+line. Those of the repeated hashes, joined with the rows, give the positions to drop. What
+comes back for a document is a compressed bitmap (runs of dropped lines), no text;
+keep_lines() applies it.
 
 Results in special cases: null and empty text is one empty line, which is kept; blank and
 short lines stay; a text of any length is judged whole; rows that agree in doc_id and text
@@ -19,12 +21,15 @@ Two of n different keys share a hash with odds of n * n / 2**129 at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordweave.functions.arrays import bound
 from wordweave.llm.shared import documents, keyed, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Ranges of hashes, as a power of 2, and shares of documents in each.
+RANGE_BITS, SHARES = 10, 4096
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -42,11 +47,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     lines = keyed(docs).select("did", "tkey", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     keys = lines.select("did", "tkey", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     hashed = keys.select(F.xxhash64("key").alias("a"), F.xxhash64(F.lit("b"), "key").alias("b"), "did", "tkey", "pos")
-    hashed = written(hashed, "hashes")  # sampling for the ranges reads this, not the texts
-    order = [F.asc("a"), F.asc("b"), F.desc("did"), F.desc("tkey"), F.asc("pos")]
-    sorted_rows = written(hashed.repartitionByRange(*order).sortWithinPartitions(*order), "lines")
-    # Numbers alone, so that counts are kept in hash maps and need no sort.
-    firsts = sorted_rows.groupBy("a", "b", "did").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("did").alias("keeper"))
+    hashed = hashed.withColumns({"range": F.shiftrightunsigned("a", 64 - RANGE_BITS), "share": F.pmod(F.xxhash64("did"), F.lit(SHARES).cast("long"))})
+    stream = Window.partitionBy("range", "share", "a", "b").orderBy(F.desc("did"), F.desc("tkey"), F.asc("pos"))
+    before = F.lag("did").over(stream)
+    streamed = hashed.repartition("range", "share").select("a", "b", "did", "tkey", "pos", (before.isNull() | (before != F.col("did"))).alias("opens"))
+    sorted_rows = written(streamed, "lines")
+    firsts = sorted_rows.filter("opens").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("did").alias("keeper"))
     repeated = written(firsts.filter(F.col("n") >= min_docs).select("a", "b", "keeper"), "repeated")
     dropped = sorted_rows.join(repeated, ["a", "b"]).filter("did <> keeper").groupBy("did", "tkey").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     first = F.filter("p", lambda x, i: (i == 0) | (F.get("p", i - 1) != x - 1))
@@ -58,11 +64,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 def keep_lines(text: Column, drop: Column) -> Column:
     """The text without the lines of a bitmap; null drops none."""
     end = lambda r: r["start"] + r["len"]
-    lines = lines_of(text)
-    before = F.transform(drop, lambda r, i: F.slice(lines, F.when(i == 0, 0).otherwise(end(F.get(drop, i - 1))) + 1, r["start"] - F.when(i == 0, 0).otherwise(end(F.get(drop, i - 1)))))
-    rest = end(F.element_at(drop, -1))
-    kept = F.concat(F.flatten(before), F.slice(lines, rest + 1, F.size(lines) - rest))
-    return F.when(drop.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    from_ = lambda i: F.when(i == 0, 0).otherwise(end(F.get(drop, i - 1)))
+
+    def kept(lines: Column) -> Column:
+        between = F.transform(drop, lambda r, i: F.slice(lines, from_(i) + 1, r["start"] - from_(i)))
+        rest = end(F.element_at(drop, -1))
+        return F.array_join(F.concat(F.flatten(between), F.slice(lines, rest + 1, F.size(lines) - rest)), "\n")
+
+    return F.when(drop.isNull(), text).otherwise(bound(lines_of(text), kept))  # a text is split once
 
 
 def with_bitmaps(docs: DataFrame, **limits: int) -> DataFrame:
