@@ -22,6 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordweave.functions.arrays import blocks, bound, piece, starts
+
 
 @dataclass(frozen=True)
 class Template:
@@ -85,11 +87,9 @@ def formatted(conversations: DataFrame, t: Template = Template()) -> DataFrame:
         )
 
     cut = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), _state(F.col("turns"), t).isin(*t.final).alias("valid"), F.flatten(F.transform("turns", of)).alias("segments"))
-    # Spans in one pass: the end so far rides along in the last element of what is folded.
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<start:bigint,len:bigint>>").alias("spans"))
-    span = lambda acc, s: F.struct(acc["end"].alias("start"), F.length(s["text"]).cast("long").alias("len"))
-    fold = F.aggregate("segments", zero, lambda acc, s: F.struct((acc["end"] + F.length(s["text"])).alias("end"), F.when(s["loss"], F.array_append(acc["spans"], span(acc, s))).otherwise(acc["spans"]).alias("spans")))
-    return cut.select("*", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), fold["spans"].alias("loss_spans"))
+    at = starts(F.transform("segments", lambda s: F.length(s["text"])))
+    spans = F.zip_with("segments", at, lambda s, x: F.when(s["loss"], F.struct(x.cast("long").alias("start"), F.length(s["text"]).cast("long").alias("len"))))
+    return cut.select("*", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), F.filter(spans, lambda x: x.isNotNull()).alias("loss_spans"))
 
 
 def parsed(text: Column, t: Template = Template()) -> Column:
@@ -107,7 +107,7 @@ def parsed(text: Column, t: Template = Template()) -> Column:
 
 def masked_text(text: Column, spans: Column, t: Template = Template()) -> Column:
     """What lies under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(text, (s["start"] + 1).cast("int"), s["len"].cast("int")), t)), "")
+    return bound(blocks(text), lambda b: F.array_join(F.transform(spans, lambda s: unescaped(piece(b, s["start"], s["len"]), t)), ""))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
