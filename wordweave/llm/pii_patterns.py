@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordweave.functions.arrays import blocks, bound, chunks, piece, starts
 from wordweave.llm.shared import documents, keyed, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,32 +39,35 @@ PATTERNS = {
 
 #: A token that could be an identifier: it holds a digit or an @.
 TOKEN = r"(?<![A-Za-z0-9@._+\-])[A-Za-z._+\-]*+[0-9@][A-Za-z0-9@._+\-]*+"
-#: Code points before a token that its pattern is looked for in by turns, before all of them; and the digits an identifier without @ has at least to be marked.
-CONTEXTS, MIN_DIGITS = (80, 2000), 4
+#: Code points before a token that its pattern is looked for in by turns, before all of them; and of the blocks that they are cut from.
+CONTEXTS, CUT = (80, 2000), 1024
 
 
 @dataclass(frozen=True)
 class Trust:
-    """A pattern counts from `support` occurrences on, and is trusted from `score` on."""
+    """A pattern counts from `support` occurrences on, and is trusted from `score` on. A token without @ is marked if it has `min_digits`: pages, years and counts have fewer than identifiers."""
 
     support: int = 5
     score: float = 0.8
     rounds: int = 3
+    min_digits: int = 4
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, s>> of a pattern's matches, in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["end"] + F.length(x["gap"])
-        end = start + F.length(x["s"])
-        return F.struct(end.alias("end"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s"))).alias("out"))
+    def placed(pairs: Column) -> Column:
+        at = starts(F.transform(pairs, lambda x: F.length(x["gap"]) + F.length(x["s"])))
+        begin = lambda x, i: i + F.length(x["gap"])
+        return F.zip_with(pairs, at, lambda x, i: F.struct(begin(x, i).alias("start"), (begin(x, i) + F.length(x["s"])).alias("end"), x["s"].alias("s")))
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("s"))
-    return F.when(F.size(found) == 0, zero["out"]).otherwise(F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
+    def cut(s: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(s))
+        return F.when(F.size(s) == 0, none).otherwise(bound(F.arrays_zip(gaps.alias("gap"), s.alias("s")), placed))
+
+    return bound(found, cut)
 
 
 def _digits(s: Column) -> Column:
@@ -94,10 +98,11 @@ def _holds(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
-def _before(text: Column, start: Column, contexts: tuple[int, ...] = CONTEXTS) -> Column:
-    """The lexical pattern of what follows `start`: the last two words before it, whole; null if there are fewer."""
+def _before(text: Column, start: Column, contexts: tuple[int, ...] = CONTEXTS, parts: Column | None = None) -> Column:
+    """The lexical pattern of what follows `start`: the last two words before it, whole; null if there are fewer. parts: the text in blocks of CUT."""
     from_ = F.greatest(start - contexts[0], F.lit(0)) if contexts else F.lit(0)
-    left = F.regexp_replace(F.lower(F.substring(text, from_ + 1, start - from_)), "[0-9]", "0")
+    near = piece(parts, from_, start - from_, CUT) if contexts and parts is not None else F.substring(text, from_ + 1, start - from_)
+    left = F.regexp_replace(F.lower(near), "[0-9]", "0")
     # The first piece is white space's, or a word that may be cut.
     pieces = F.split(left, r"[\x20\x09-\x0D]+")
 
@@ -106,9 +111,9 @@ def _before(text: Column, start: Column, contexts: tuple[int, ...] = CONTEXTS) -
         found = F.when(F.size(words) >= 2, F.concat_ws(" ", F.slice(words, -2, 2)))
         if not contexts:
             return found
-        return F.when((from_ == 0) | (F.size(F.filter(F.slice(x, 2, start), lambda w: w != "")) >= 2), found).otherwise(_before(text, start, contexts[1:]))
+        return F.when((from_ == 0) | (F.size(F.filter(F.slice(x, 2, start), lambda w: w != "")) >= 2), found).otherwise(_before(text, start, contexts[1:], parts))
 
-    return F.get(F.transform(F.array(pieces), last), 0)
+    return bound(pieces, last)
 
 
 def _checked(kind: str) -> Column:
@@ -119,20 +124,34 @@ def _named(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+def _groups(base: Column) -> Column:
+    """Spans (start, end, k) by start, in groups with the least start and the greatest end."""
+    of = lambda c: F.struct(c[0]["start"].alias("lo"), F.array_max(F.transform(c, lambda m: m["end"])).alias("hi"), c.alias("spans"))
+    return F.transform(F.filter(chunks(base), lambda c: F.size(c) > 0), of)
+
+
+def _told(text: Column, tokens: Column, base: Column) -> Column:
+    """(start, end, instance, pattern, kind) of the tokens that aren't inside base spans (start, end, k); kind is the first kind of a span that begins with the token."""
+
+    def of(t: Column, groups: Column, parts: Column) -> Column:
+        near = F.filter(groups, lambda g: (g["lo"] < t["end"]) & (g["hi"] > t["start"]))
+        over = F.flatten(F.transform(near, lambda g: F.filter(g["spans"], lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))))
+        kind = lambda o: F.get(F.array(*[F.lit(k) for k in KINDS]), F.array_min(F.transform(o, lambda b: b["k"])))
+        named = lambda o: F.when(~F.exists(o, lambda b: b["start"] < t["start"]), F.struct(t["start"].alias("start"), t["end"].alias("end"), t["instance"].alias("instance"), _before(text, t["start"], parts=parts).alias("pattern"), kind(o).alias("kind")))
+        return bound(over, named)
+
+    every = bound(bound(base, _groups), lambda g: bound(blocks(text, CUT), lambda p: F.transform(tokens, lambda t: of(t, g, p))))
+    return F.filter(every, lambda x: x["pattern"].isNotNull())
+
+
 def found(docs: DataFrame) -> DataFrame:
     """(doc_id, did, tkey), the base spans of each kind, and `ids`: (start, end, instance, pattern, kind) of tokens that could be identifiers, outside base spans or at the start of one, which is then their kind."""
     rows = keyed(docs).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.select("*", *[_checked(k).alias(k) for k in KINDS])
-    base = F.flatten(F.array(*[_named(F.col(k), k) for k in KINDS])).alias("base")
-    rows = rows.select("*", base, F.transform(matches(F.col("text"), TOKEN), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(F.rtrim(m["s"], F.lit("._+-")))).alias("end"), F.lower(F.rtrim(m["s"], F.lit("._+-"))).alias("instance"))).alias("tokens"))
-
-    def told(t: Column) -> Column:
-        over = F.filter("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))
-        kind = F.when(F.size(over) > 0, F.get(over, 0)["kind"])
-        inside = F.exists(over, lambda b: b["start"] < t["start"])
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["instance"].alias("instance"), _before(F.col("text"), t["start"]).alias("pattern"), kind.alias("kind"), inside.alias("inside"))
-
-    ids = F.filter(F.transform("tokens", told), lambda t: ~t["inside"] & t["pattern"].isNotNull())
+    ranked = [F.transform(F.col(k), lambda m, i=i: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(i).alias("k"))) for i, k in enumerate(KINDS)]
+    bare = lambda m: F.rtrim(m["s"], F.lit("._+-"))
+    tokens = F.transform(matches(F.col("text"), TOKEN), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(bare(m))).alias("end"), F.lower(bare(m)).alias("instance")))
+    ids = bound(tokens, lambda t: _told(F.col("text"), t, F.array_sort(F.concat(*ranked))))
     return rows.select("doc_id", "did", "tkey", *KINDS, ids.alias("ids"))
 
 
@@ -166,7 +185,7 @@ def spans(docs: DataFrame, trust: Trust = Trust()) -> DataFrame:
     spotted = rows.select("did", "tkey", F.explode("ids").alias("id")).select("did", "tkey", "id.*")
     patterns = trusted_patterns(spotted.select("pattern", "instance", "kind"), trust)
     digits = F.length(F.regexp_replace("instance", "[^0-9]", ""))
-    unseen = spotted.filter(F.col("kind").isNull() & ((digits >= MIN_DIGITS) | F.col("instance").contains("@"))).drop("kind")
+    unseen = spotted.filter(F.col("kind").isNull() & ((digits >= trust.min_digits) | F.col("instance").contains("@"))).drop("kind")
     added = unseen.join(patterns, "pattern").groupBy("did", "tkey").agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("added"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     return rows.join(added, ["did", "tkey"], "left").select("doc_id", *KINDS, F.coalesce("added", none).alias("added"))
@@ -182,7 +201,7 @@ def op7_pii_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
             parts.append(F.array_sort(F.concat(own, F.filter("added", _is(k)))) if every else own)
         return F.array_join(F.transform(F.concat(*parts), lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["end"].cast("string"))), ",")
 
-    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(said(False), 256).alias("base_sha256"), said(True).alias("spans"))
+    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(said(False), 256).alias("base_sha256"), said(True).alias("spans"), sum((F.size(c) for c in (*KINDS, "added")), F.lit(0)).cast("long").alias("n_spans"))
 
 
 def _is(kind: str):
