@@ -5,9 +5,13 @@ Character classes are explicit, so that Java's, Python's and RE2's regular expre
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wordweave.functions.arrays import bound
+
 # ---- Fixed values: they have to be these for equal results.
 TOKEN = r"[가-힣]+|[一-鿿]+|[぀-ゟ゠-ヿ]+|[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9\-]*"
 JUNK = [
@@ -29,14 +33,12 @@ LATIN_TOKEN = r"\b[A-Za-z][A-Za-z\-]{2,}\b"
 ACRONYM, PERSON = r"^[A-Z][A-Z0-9]{1,7}$", r"^[A-Z][a-z]+(?:[ '-][A-Z][a-z]+){1,2}$"
 HANGUL, KANA, HAN, LATIN = "[가-힣]", "[぀-ゟ゠-ヿ]", "[一-鿿]", "[A-Za-z]"
 # ----
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Named and numeric entities of HTML, and the names' code points, from Python's table.
+ENTITY = "&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+ENTITIES = {**name2codepoint, "apos": 39}
 _EDGES = r"^[\p{Z}\s]+|[\p{Z}\s]+$"
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, _UPPER, _LOWER)
-
-
 def clean(c: Column) -> Column:
     """Without white space, Unicode's included, at both ends."""
     return F.regexp_replace(c, _EDGES, "")
@@ -59,6 +61,16 @@ def is_junk(lowered: Column) -> Column:
     return lowered.isin(*JUNK) | is_digits(lowered)
 
 
+def token_key(token: Column) -> Column:
+    """norm() of one of tokens(), of whose characters only the hyphen goes, in lower case."""
+    return F.translate(token, "-", "")
+
+
+def is_junk_token(lowered: Column) -> Column:
+    """is_junk() of one of tokens(), which are never digits alone."""
+    return lowered.isin(*JUNK)
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -113,12 +125,24 @@ def is_query(text: Column) -> Column:
     return F.coalesce(F.length(t).between(1, 40) & (is_word(t) | t.rlike(PERSON) | (F.size(found).between(1, 4) & (covered >= 0.75 * F.length(t)))), F.lit(False))
 
 
+def _character(entity: Column) -> Column:
+    """The character of a named or numeric entity, given without & and ;. Unknown ones are null."""
+    number = F.when(entity.rlike("^#[xX]"), F.conv(F.substring(entity, F.lit(3), F.lit(8)), 16, 10)).when(entity.startswith("#"), F.substring(entity, F.lit(2), F.lit(10))).try_cast("long")
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    code = F.coalesce(number, F.try_element_at(named, entity).cast("long"))
+    good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
 def strip_tags(html: Column) -> Column:
-    """Without tags, then with the common entities as characters."""
-    out = F.regexp_replace(html, "<[^>]+>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Without tags, then with named and numeric entities as characters, each once."""
+
+    def unescaped(bare: Column) -> Column:
+        names = F.regexp_extract_all(bare, F.lit(ENTITY), F.lit(1))
+        said = F.transform(names, lambda n: F.coalesce(_character(n), F.concat(F.lit("&"), n, F.lit(";"))))
+        return F.array_join(F.zip_with(F.split(bare, ENTITY, -1), F.concat(said, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    return bound(F.regexp_replace(html, "<[^>]+>", ""), lambda b: F.when(F.instr(b, "&") > 0, unescaped(b)).otherwise(b))
 
 
 def titles(html: Column) -> Column:
@@ -184,6 +208,15 @@ def json_string(c: Column) -> Column:
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
+def iso(ts: Column) -> Column:
+    """A time as text, to the second, without a zone: such texts sort as their times do."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def now() -> Column:
+    return iso(F.localtimestamp())
+
+
 def tier(rarity: Column) -> Column:
     return F.when(rarity.isNull(), None).when(rarity <= 0.01, "top1").when(rarity <= 0.05, "top5").when(rarity <= 0.10, "top10").otherwise("typical")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wordweave.functions.text import is_word, norm
 from wordweave.operators.metrics import by_hash, in_degrees
+from wordweave.session import written
 
 
 def unexpanded(edges: DataFrame, nodes: DataFrame, responses: DataFrame, langs: Sequence[str] = ()) -> DataFrame:
@@ -71,3 +72,21 @@ def proposal_precision(proposals: DataFrame, edges: DataFrame) -> DataFrame:
     """proposals (target, word): of the words said to lead to a target, how many do. One row a target, and the whole as null."""
     hit = proposals.join(edges.select(F.col("src").alias("word"), F.col("dst").alias("target"), F.lit(1).alias("hit")).distinct(), ["word", "target"], "left")
     return hit.rollup("target").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), F.count(F.lit(1)).alias("total")).withColumn("precision", F.col("hits") / F.col("total"))
+
+
+def rounds(edges: DataFrame, seeds: DataFrame, width: int, most: int) -> DataFrame:
+    """(word, round, known) of a crawl over what the ledger holds: seeds (word) first, then in each round the `width` words of highest in-degree among what was found and not asked for.
+
+    edges (src, dst) are the answers of known words; a word without any is asked once and
+    missed. It ends with an empty frontier or after `most` rounds.
+    """
+    heads = written(edges.select(F.col("src").alias("word")).distinct(), "heads")
+    asked = written(seeds.select("word").distinct().withColumn("round", F.lit(1)), "asked")
+    for turn in range(2, most + 1):
+        own = edges.join(asked.select(F.col("word").alias("src")), "src", "left_semi")
+        open_ = in_degrees(own.join(asked.select(F.col("word").alias("dst")), "dst", "left_anti"))
+        next_ = written(open_.orderBy(F.desc("indeg"), "word").limit(width).filter(is_word(F.col("word"))).select("word", F.lit(turn).alias("round")), "asked")
+        if next_.isEmpty():
+            break
+        asked = written(asked.union(next_), "asked")
+    return asked.join(heads.withColumn("known", F.lit(True)), "word", "left").select("word", "round", F.coalesce("known", F.lit(False)).alias("known"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordweave.operators.paths import core, undirected
-from wordweave.session import written
+from wordweave.session import released, written
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -32,20 +32,37 @@ def dead_ends(edges: DataFrame, k: int = 15, seed: str = "42") -> DataFrame:
 
 
 def _least_label(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels (node, label) as the least label that reaches each node along edges, its own included. Lookups of labels in labels halve long chains on symmetric edges."""
+    """labels (node, label) as the least label that reaches each node along edges, its own included: a round for each step of the longest way."""
+    last = None
     while True:
         heard = edges.join(labels.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("heard"))
         moved = written(labels.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if moved.filter("label <> old").isEmpty():
+        done = moved.filter("label <> old").isEmpty()
+        released(last)
+        labels, last = moved.select("node", "label"), moved
+        if done:
             return labels
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node connected, whatever the direction."""
+    """(node, component): the least node connected, whatever the direction.
+
+    A node takes the least label of its neighbours, and then the label of the node that it is
+    named after: rounds grow with the logarithm of the longest way, not with its length.
+    """
     both = written(undirected(edges), "both-ways")
-    start = written(vertices(edges).withColumn("label", F.col("node")), "labels")
-    return _least_label(both, start).withColumnRenamed("label", "component")
+    labels = last = written(vertices(edges).withColumn("component", F.col("node")), "labels")
+    while True:
+        heard = both.join(labels.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("heard"))
+        nearer = labels.join(heard, "node", "left").select("node", "component", F.least("component", "heard").alias("next"))
+        known = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
+        moved = written(nearer.join(known, "next").select("node", F.col("component").alias("old"), F.least("next", "jump").alias("component")), "labels")
+        done = moved.filter("old <> component").isEmpty()
+        released(last)
+        labels, last = moved.select("node", "component"), moved
+        if done:
+            released(both)
+            return labels
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -142,6 +159,21 @@ def full_stats(edges: DataFrame) -> DataFrame:
     return out.withColumn("wcc_ratio", F.when(F.col("nodes") > 0, F.col("largest_wcc") / F.col("nodes")).otherwise(0.0))
 
 
+def report(edges: DataFrame) -> DataFrame:
+    """(config_id, nodes, edges, expanded_nodes, frontier_nodes, mean_in_degree, max_in_degree, reciprocity, largest_wcc) of every config that edges (config_id, src, dst) has, all in one pass: configs are parts of one graph that share no node."""
+    name = lambda c: F.concat(F.col("config_id").cast("string"), F.lit(" "), F.col(c))
+    e = written(edges.select("config_id", name("src").alias("src"), name("dst").alias("dst")).distinct(), "report-edges")
+    outs = e.groupBy("config_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outdeg"))
+    ins = e.groupBy("config_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indeg"))
+    per = outs.join(ins, ["config_id", "node"], "full").fillna(0, ["outdeg", "indeg"])
+    base = per.groupBy("config_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("outdeg") > 0).cast("long")).alias("expanded_nodes"), F.sum((F.col("outdeg") == 0).cast("long")).alias("frontier_nodes"), F.avg("indeg").alias("mean_in_degree"), F.max("indeg").alias("max_in_degree"))
+    back = e.select("config_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back")).filter("src <> dst")
+    mutual = e.join(back, ["config_id", "src", "dst"], "left").groupBy("config_id").agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum("back") / F.count(F.lit(1)), F.lit(0.0)).alias("reciprocity"))
+    parts = weak_components(e).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    wcc = parts.groupBy(F.substring_index("component", " ", 1).cast("long").alias("config_id")).agg(F.max("n").alias("largest_wcc"))
+    return base.join(mutual, "config_id").join(wcc.withColumn("config_id", F.col("config_id").cast(edges.schema["config_id"].dataType)), "config_id")
+
+
 def core_stats(edges: DataFrame) -> DataFrame:
     """One row about the graph among expanded nodes. Nodes are all heads, also those without an edge inside."""
     heads = edges.select(F.col("src").alias("node")).distinct()

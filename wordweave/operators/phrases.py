@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordweave.functions.text import TOKEN, is_junk
+from wordweave.functions.arrays import blocks, bound, chunks, piece, starts
+from wordweave.functions.text import TOKEN, is_junk_token
+from wordweave.session import written
 
 #: Characters of the shortest phrase that counts, and of the longest one looked for.
 LEAST, MOST = 4, 60
+#: Of the blocks that token starts are cut from.
+CUT = 1024
 
 
 def vocabulary(nodes: DataFrame) -> DataFrame:
@@ -19,36 +23,45 @@ def vocabulary(nodes: DataFrame) -> DataFrame:
 def spans(text: Column) -> Column:
     """array<struct<start, end, word>> of a text's tokens that are no junk, in characters."""
     words = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    gaps = F.split(text, TOKEN, -1)
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,word:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["end"] + F.length(x["gap"])
-        end = start + F.length(x["word"])
-        return F.struct(end.alias("end"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["word"].alias("word"))).alias("out"))
+    def placed(pairs: Column) -> Column:
+        at = starts(F.transform(pairs, lambda x: F.length(x["gap"]) + F.length(x["word"])))
+        return F.zip_with(pairs, at, lambda x, i: F.struct((i + F.length(x["gap"])).alias("start"), (i + F.length(x["gap"]) + F.length(x["word"])).alias("end"), x["word"].alias("word")))
 
-    every = F.aggregate(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(words)).alias("gap"), words.alias("word")), zero, step, lambda a: a["out"])
-    return F.filter(every, lambda s: ~is_junk(F.lower(s["word"])))
+    cut = lambda w: F.arrays_zip(F.slice(F.split(text, TOKEN, -1), F.lit(1), F.size(w)).alias("gap"), w.alias("word"))
+    return F.filter(bound(bound(words, cut), placed), lambda s: ~is_junk_token(F.lower(s["word"])))
+
+
+def _greedy(ordered: Column) -> Column:
+    """Of spans by start, then the longer first, those that begin where the one chosen before has ended. Chunks are chosen from by themselves and put together."""
+    none = F.array().cast("array<struct<start:int,end:int,word:string>>")
+    step = lambda a, s: F.when(s["start"] >= a["last"], F.struct(s["end"].alias("last"), F.array_append(a["out"], s).alias("out"))).otherwise(a)
+    chunk = lambda last, c: F.aggregate(c, F.struct(last.alias("last"), none.alias("out")), step)
+    more = lambda a, c: bound(chunk(a["last"], c), lambda x: F.struct(x["last"].alias("last"), F.array_append(a["outs"], x["out"]).alias("outs")))
+    zero = F.struct(F.lit(-1).alias("last"), F.array().cast("array<array<struct<start:int,end:int,word:string>>>").alias("outs"))
+    return F.aggregate(bound(ordered, chunks), zero, more, lambda a: F.flatten(a["outs"]))
 
 
 def with_known(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(id, spans) of texts (id, text): tokens, and at each token's start the longest known phrase; of what overlaps the earlier, then the longer stays.
 
-    Candidates are the cuts at token ends and the phrases of the lengths that there are; they
-    meet the vocabulary by an equi-join, so it may be of any size.
+    Phrases are found by equi-joins, so the vocabulary may be of any size: token starts first
+    meet the beginnings of phrases, all cut to the shortest one's length; the cuts at those that
+    are left, of the lengths that there are, meet the phrases themselves.
     """
     lengths = phrases.select(F.length("phrase").alias("n")).filter(F.col("n").between(LEAST, MOST)).distinct()
+    shortest = written(lengths, "phrase-lengths").agg(F.min("n")).first()[0] or LEAST
+    begins = phrases.filter(F.length("phrase").between(LEAST, MOST)).select(F.left("phrase", F.lit(shortest)).alias("begin")).distinct()
     cut = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("s", spans(F.col("text")))
     # Each token start with the MOST characters from there; the text itself isn't copied for each.
-    heads = F.transform("s", lambda x: F.struct(x["start"].alias("start"), F.substring(F.col("text"), x["start"] + 1, F.lit(MOST)).alias("head")))
-    starts = cut.select("id", F.explode(heads).alias("h")).select("id", "h.*").withColumn("one", F.lit(1))
-    tried = starts.join(F.broadcast(lengths.withColumn("one", F.lit(1))), "one").filter(F.col("n") <= F.length("head"))  # MOST - LEAST + 1 lengths at most
+    heads = bound(blocks(F.col("text"), CUT), lambda b: F.transform("s", lambda x: F.struct(x["start"].alias("start"), piece(b, x["start"], F.lit(MOST), CUT).alias("head"))))
+    starts_ = cut.select("id", F.explode(heads).alias("h")).select("id", "h.*", F.lower(F.left("h.head", F.lit(shortest))).alias("begin"))
+    starts_ = starts_.join(begins, "begin", "left_semi").withColumn("one", F.lit(1))
+    tried = starts_.join(F.broadcast(lengths.withColumn("one", F.lit(1))), "one").filter(F.col("n") <= F.length("head"))  # MOST - LEAST + 1 lengths at most
     tried = tried.select("id", "start", (F.col("start") + F.col("n")).alias("end"), F.substring("head", F.lit(1), F.col("n")).alias("word"))
     found = tried.withColumn("phrase", F.lower("word")).join(phrases, "phrase", "left_semi").groupBy("id", "start").agg(F.max_by(F.struct("start", "end", "word"), "end").alias("hit"))
     hits = found.groupBy("id").agg(F.collect_list("hit").alias("hits"))
     none = F.array().cast("array<struct<start:int,end:int,word:string>>")
     every = cut.join(hits, "id", "left").select("id", F.concat("s", F.coalesce("hits", none)).alias("every"))
     ordered = F.transform(F.array_sort(F.transform("every", lambda s: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("minus"), s["end"].alias("end"), s["word"].alias("word")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["word"].alias("word")))
-    zero = F.struct(F.lit(-1).alias("last"), none.alias("out"))
-    chosen = F.aggregate(ordered, zero, lambda acc, s: F.when(s["start"] >= acc["last"], F.struct(s["end"].alias("last"), F.array_append(acc["out"], s).alias("out"))).otherwise(acc), lambda acc: acc["out"])
-    return every.select("id", chosen.alias("spans"))
+    return every.select("id", _greedy(ordered).alias("spans"))

@@ -30,6 +30,17 @@ def far(log: DataFrame, threshold: int | Column, limit: int) -> DataFrame:
     return pairs(solved(log)).filter(F.col("h") >= threshold).orderBy(F.desc("h"), F.desc("last")).limit(limit).select("a", "b", "h", "c")
 
 
+def far_beyond(log: DataFrame, threshold: DataFrame, limit: int) -> DataFrame:
+    """far() from a measured threshold, one row (threshold)."""
+    rows = pairs(solved(log)).crossJoin(F.broadcast(threshold)).filter("h >= threshold")
+    return rows.orderBy(F.desc("h"), F.desc("last")).limit(limit).select("a", "b", "h", "c")
+
+
+def clamped(n: int, least: int = 5, most: int = 300) -> int:
+    """A page size as asked for, within bounds."""
+    return max(least, min(n, most))
+
+
 def far_english(log: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     """The farthest CANDIDATES first, of these the ones with two English ends: fewer than `limit` may be left."""
     few = pairs(solved(log)).orderBy(F.desc("h"), F.desc("last")).limit(CANDIDATES).withColumns({"ka": norm(F.col("a")), "kb": norm(F.col("b"))})
@@ -128,6 +139,23 @@ def solve(requests: DataFrame, nodes: DataFrame, responses: DataFrame, edges: Da
     return with_rarity(r, dist).select("qid", "a", "b", "status", "hops", F.when(F.col("status") == "ok", F.col("rarity")).alias("rarity"), F.when(F.col("status") == "ok", F.col("tier")).alias("tier"), F.when(F.col("status") == "ok", F.col("prev")).alias("prev"), record.alias("record"))
 
 
+def claims(answers: DataFrame, names: DataFrame, records: DataFrame) -> DataFrame:
+    """What becomes of claims to records: answers of solve() with names (qid, name), against records (norm_a, norm_b, hops, finder).
+
+    (qid, a, b, norm_a, norm_b, accepted, hops, holder): a claim is solved again, whatever its
+    sender says, and accepted if it has strictly fewer hops than the record or is the first; its
+    name is cut to 24 characters, none is null. One that isn't shows the record and its holder,
+    and one without a path nothing.
+    """
+    name = F.substring(F.trim("name"), 1, 24)
+    held = records.select("norm_a", "norm_b", F.col("hops").alias("_hops"), F.col("finder").alias("_finder"))
+    rows = answers.select("qid", "a", "b", "status", "hops").join(names.select("qid", F.when(name != "", name).alias("name")), "qid")
+    rows = rows.withColumns({"a": F.trim("a"), "b": F.trim("b")}).filter("a <> '' and b <> ''").withColumns({"norm_a": norm(F.col("a")), "norm_b": norm(F.col("b"))}).join(held, ["norm_a", "norm_b"], "left")
+    solved_ = F.col("status") == "ok"
+    won = solved_ & (F.col("_hops").isNull() | (F.col("hops") < F.col("_hops")))
+    return rows.select("qid", "a", "b", "norm_a", "norm_b", won.alias("accepted"), F.when(won, F.col("hops")).when(solved_, F.col("_hops")).alias("hops"), F.when(won, F.col("name")).when(solved_, F.col("_finder")).alias("holder"))
+
+
 def share_events(posts: DataFrame) -> DataFrame:
     """posts (a, b, to, hops as text) as log rows: both words needed, destination cut to 20 characters, hops null unless a whole number."""
     a, b = F.trim(F.coalesce("a", F.lit(""))), F.trim(F.coalesce("b", F.lit("")))

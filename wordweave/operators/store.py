@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordweave.session import written
+
 
 def first_of_each(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
     """The first row of each key by `order`."""
@@ -35,9 +37,27 @@ def insert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 def with_ids(old: DataFrame, new: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
     """insert_or_ignore for tables with a running `id`: new keys are numbered by `order` after the last one."""
     fresh = first_of_each(new, keys, *order).alias("n").join(old.select(*keys).alias("o"), _same("n", "o", keys), "left_anti").select("n.*").drop("id")
-    last = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = fresh.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long")).crossJoin(F.broadcast(last)).withColumn("id", F.col("id") + F.col("last")).drop("last")
-    return old.unionByName(numbered, allowMissingColumns=True)
+    return appended(old, fresh, *order)
+
+
+def appended(old: DataFrame, new: DataFrame, *order: Column | str) -> DataFrame:
+    """old and all rows of new, numbered by `order` after old's last id.
+
+    Rows are dealt by ranges of the order and sorted, so that a row's number is its place in its
+    range and the rows of the ranges before; no task sees more than a range.
+    """
+    rows = new.drop("id").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    last = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = rows.join(F.broadcast(counts), "_part").crossJoin(F.broadcast(last))
+    return old.unionByName(out.withColumn("id", F.col("_last") + F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before", "_last"), allowMissingColumns=True)
+
+
+def found(requests: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """requests (keys ..) with the other columns of a table that has each key once, null where it misses; nothing is created."""
+    return requests.join(table, list(keys), "left")
 
 
 def upsert_records(old: DataFrame, new: DataFrame) -> DataFrame:
