@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from wordweave.functions.text import TOKEN, norm
 from wordweave.operators import build, crawl, metrics, paths, search_log, store
+from wordweave.plans import schemas
 from wordweave.plans.registry import GRAPH, HEADS, NORM, query
-from wordweave.plans.testbed import edges, nodes, texts
+from wordweave.plans.testbed import config_edges, edges, flagged, nodes, texts
 from wordweave.session import written
 from wordweave.sources.readers import table
 
@@ -27,7 +28,7 @@ def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH} SELECT key, word, lang FROM nodes")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir)
+    return build.nodes(texts(spark, sf_dir))
 
 
 @query(f"WITH {GRAPH} SELECT DISTINCT {NORM.format('x')} AS key, x AS text FROM (SELECT unnest(w) AS x FROM t) WHERE key <> ''")
@@ -37,12 +38,12 @@ def graph_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH} SELECT dst AS word, count(*) AS indeg FROM edges GROUP BY dst ORDER BY indeg DESC, word LIMIT 15")
 def graph_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.hubs(build.edges(texts(spark, sf_dir)))
+    return metrics.hubs(edges(spark, sf_dir))
 
 
 @query(f"{WITH} SELECT dst AS word, count(*) AS indeg FROM edges GROUP BY dst HAVING indeg = 1 ORDER BY md5('42' || dst), word LIMIT 15")
 def graph_dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.dead_ends(build.edges(texts(spark, sf_dir)))
+    return metrics.dead_ends(edges(spark, sf_dir))
 
 
 _OPEN = "SELECT dst AS word, count(*) AS indeg, any_value(lang) AS lang FROM edges JOIN nodes ON key = dst WHERE dst NOT IN (SELECT node FROM heads) GROUP BY dst"
@@ -88,14 +89,14 @@ def crawl_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.schedule(fixed, crawl.pool(e, nodes(spark, sf_dir), _responses(e), "en", 100), first=10, limit=60)
 
 
-@query(f"{WITH} SELECT DISTINCT word FROM (SELECT low AS word, {NORM.format('low')} AS key FROM tok) WHERE key NOT IN (SELECT node FROM heads) AND key <> '' AND length(word) > 3")
+@query(f"{WITH} SELECT DISTINCT word FROM (SELECT low AS word, {NORM.format('low')} AS key FROM tok) WHERE key NOT IN (SELECT node FROM heads) AND key <> ''")
 def crawl_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = build.edges(texts(spark, sf_dir))
+    e = edges(spark, sf_dir)
     t = build.neighbours(texts(spark, sf_dir)).select(F.col("low").alias("word"))
     own = texts(spark, sf_dir).select(F.col("head").alias("word"))
     junk = texts(spark, sf_dir).select(F.explode(F.transform(F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1)), F.lower)).alias("word"))
     every = t.union(own).union(junk).distinct().withColumn("key", norm(F.col("word")))
-    return every.filter("key <> '' and length(word) > 3").join(_responses(e), "key", "left_anti").select("word")
+    return every.filter("key <> ''").join(_responses(e), "key", "left_anti").select("word")
 
 
 @query(f"{WITH} SELECT src, dst FROM core")
@@ -123,16 +124,16 @@ rec AS (SELECT count(*) AS m, coalesce(avg(CASE WHEN b.src IS NOT NULL THEN 1.0
     f"""{WITH}, {_clustering("edges")},
     v AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
     i AS (SELECT dst, count(*) AS n FROM edges GROUP BY dst),
-    lab AS (SELECT node, node AS c FROM (SELECT min(node) AS node FROM v) UNION SELECT y, c FROM lab JOIN (SELECT src AS x, dst AS y FROM edges UNION ALL SELECT dst, src FROM edges) ON x = node)
+    ends AS (SELECT src AS x, dst AS y FROM edges UNION ALL SELECT dst, src FROM edges),
+    lab(node, c) USING KEY (node) AS (SELECT node, node FROM v UNION SELECT y, min(l.c) FROM lab l JOIN ends ON x = l.node JOIN recurring.lab r ON r.node = y WHERE l.c < r.c GROUP BY y),
+    wcc AS (SELECT count(*) AS n FROM lab GROUP BY c)
     SELECT (SELECT count(*) FROM v) AS nodes, (SELECT m FROM rec) AS edges, (SELECT count(*) FROM heads) AS expanded_nodes, (SELECT count(*) FROM v) - (SELECT count(*) FROM heads) AS frontier_nodes,
       round((SELECT sum(n) FROM i) / (SELECT count(*) FROM v), 6) AS mean_in_degree, (SELECT max(n) FROM i) AS max_in_degree,
-      round((SELECT r FROM rec), 6) AS reciprocity, round((SELECT s FROM loc) / (SELECT count(*) FROM v), 6) AS clustering, (SELECT count(*) FROM lab) AS wcc_of_least"""
+      round((SELECT r FROM rec), 6) AS reciprocity, round((SELECT s FROM loc) / (SELECT count(*) FROM v), 6) AS clustering, (SELECT max(n) FROM wcc) AS largest_wcc, round((SELECT max(n) FROM wcc) / (SELECT count(*) FROM v), 6) AS wcc_ratio"""
 )
 def graph_full_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
-    stats = metrics.full_stats(e)
-    least = metrics.weak_components(e).groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("n", "component").alias("wcc_of_least"))
-    return stats.crossJoin(least).select("nodes", "edges", "expanded_nodes", "frontier_nodes", F.round("mean_in_degree", 6).alias("mean_in_degree"), "max_in_degree", F.round("reciprocity", 6).alias("reciprocity"), F.round("clustering", 6).alias("clustering"), "wcc_of_least")
+    stats = metrics.full_stats(edges(spark, sf_dir))
+    return stats.select("nodes", "edges", "expanded_nodes", "frontier_nodes", F.round("mean_in_degree", 6).alias("mean_in_degree"), "max_in_degree", F.round("reciprocity", 6).alias("reciprocity"), F.round("clustering", 6).alias("clustering"), "largest_wcc", F.round("wcc_ratio", 6).alias("wcc_ratio"))
 
 
 _REACH = "reach AS (SELECT src AS s, dst AS d FROM core UNION SELECT s, dst FROM reach JOIN core ON core.src = d)"
@@ -157,7 +158,7 @@ def graph_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH} SELECT s.lang AS src_lang, d.lang AS dst_lang, count(*) AS edges FROM edges JOIN nodes s ON s.key = src JOIN nodes d ON d.key = dst GROUP BY ALL")
 def graph_language_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.language_bridges(build.edges(texts(spark, sf_dir)), nodes(spark, sf_dir))
+    return metrics.language_bridges(edges(spark, sf_dir), nodes(spark, sf_dir))
 
 
 _SAMPLE = """
@@ -213,15 +214,15 @@ _DIST = """dist AS (SELECT hops, count(*) AS pairs, sum(count(*)) OVER (ORDER BY
 
 
 def distribution(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
-    return search_log.distribution(paths.hops(e, paths.sampled_pairs(e, 60)))
+    return search_log.distribution(paths.hops(e, paths.sampled_pairs(e)))
 
 
-@query(f"{_sampled(60)}, {_DIST} SELECT hops, pairs, round(share, 6) AS share FROM dist")
+@query(f"{_sampled(150)}, {_DIST} SELECT hops, pairs, round(share, 6) AS share FROM dist")
 def path_hop_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution(spark, sf_dir, edges(spark, sf_dir)).select("hops", "pairs", F.round("share", 6).alias("share"))
 
 
-@query(f"{_sampled(60)}, {_DIST} SELECT coalesce(min(hops) FILTER (share <= 0.10), max(hops), 6) AS threshold FROM dist")
+@query(f"{_sampled(150)}, {_DIST} SELECT coalesce(min(hops) FILTER (share <= 0.10), max(hops), 6) AS threshold FROM dist")
 def path_far_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_log.far_threshold(distribution(spark, sf_dir, edges(spark, sf_dir)))
 
@@ -301,7 +302,7 @@ def store_newer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.groupBy(norm(F.col("head")).alias("src")).agg(F.count(F.lit(1)).alias("n")).filter("src <> ''")
 
 
-_CLAIMS = "claims AS (SELECT DISTINCT src, CASE WHEN left(md5(src || dst), 1) < '8' THEN dst ELSE reverse(dst) END AS dst FROM edges WHERE left(md5(dst || src), 2) < '08')"
+_CLAIMS = "claims AS (SELECT DISTINCT src, CASE WHEN left(md5(src || dst), 1) < '8' THEN dst ELSE reverse(dst) END AS dst FROM edges)"
 
 
 @query(f"{WITH}, {_CLAIMS}, have AS (SELECT DISTINCT {NORM.format('head')} AS s, {NORM.format('low')} AS d FROM tok) SELECT src, dst, EXISTS (SELECT 1 FROM have WHERE s = src AND d = dst) AS holds FROM claims")
@@ -311,9 +312,8 @@ def graph_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _claims(e: DataFrame) -> DataFrame:
-    some = e.filter(F.left(F.md5(F.concat("dst", "src")), F.lit(2)) < "08")
     dst = F.when(F.left(F.md5(F.concat("src", "dst")), F.lit(1)) < "8", F.col("dst")).otherwise(F.reverse("dst"))
-    return some.select("src", dst.alias("dst")).distinct()
+    return e.select("src", dst.alias("dst")).distinct()
 
 
 @query(f"{WITH}, {_CLAIMS} SELECT count(*) AS refuted FROM claims c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = c.src AND e.dst = c.dst)")
@@ -352,3 +352,73 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     n = metrics.vertices(e).agg(F.count(F.lit(1)).alias("nodes"))
     return e.agg(F.count_distinct("src").alias("thrown"), F.count(F.lit(1)).alias("edges")).crossJoin(n).select("thrown", "nodes", "edges")  # one row each
+
+
+_FLAGS = "flags AS (SELECT key, CASE left(md5(key), 1) WHEN '0' THEN false WHEN '1' THEN NULL ELSE true END AS ok FROM nodes)"
+_BY_CONFIG = f"""langs AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 9 END::INT AS config_id FROM documents),
+cedges AS (SELECT config_id, src, dst, min(rank) AS rank FROM (SELECT id, {NORM.format("head")} AS src, {NORM.format("low")} AS dst, rank FROM nb) JOIN langs USING (id) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL)"""
+
+
+@query(f"{WITH}, {_FLAGS}, {_BY_CONFIG}, good AS (SELECT key FROM flags WHERE ok IS DISTINCT FROM false) SELECT src, dst, rank::INT AS rank FROM cedges WHERE config_id = 1 AND src IN (SELECT key FROM good) AND dst IN (SELECT key FROM good)")
+def graph_usable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One config's edges whose ends aren't rejected, unknown ones included."""
+    return build.usable(config_edges(spark, sf_dir), flagged(nodes(spark, sf_dir)), 1)
+
+
+@query(
+    f"""{WITH}, {_BY_CONFIG},
+    e AS (SELECT config_id, config_id || ' ' || src AS src, config_id || ' ' || dst AS dst FROM cedges),
+    v AS (SELECT config_id, src AS node FROM e UNION SELECT config_id, dst FROM e),
+    o AS (SELECT config_id, count(DISTINCT src) AS n FROM e GROUP BY config_id),
+    i AS (SELECT config_id, max(n) AS n FROM (SELECT config_id, dst, count(*) AS n FROM e GROUP BY ALL) GROUP BY config_id),
+    r AS (SELECT a.config_id, count(*) AS m, avg(CASE WHEN b.src IS NULL THEN 0.0 ELSE 1 END) AS r FROM e a LEFT JOIN e b ON a.src = b.dst AND a.dst = b.src AND a.src <> a.dst GROUP BY a.config_id),
+    ends AS (SELECT src AS x, dst AS y FROM e UNION ALL SELECT dst, src FROM e),
+    lab(node, c) USING KEY (node) AS (SELECT node, node FROM v UNION SELECT y, min(l.c) FROM lab l JOIN ends ON x = l.node JOIN recurring.lab q ON q.node = y WHERE l.c < q.c GROUP BY y),
+    w AS (SELECT k::INT AS config_id, max(n) AS n FROM (SELECT split_part(c, ' ', 1) AS k, count(*) AS n FROM lab GROUP BY c) GROUP BY k),
+    n AS (SELECT config_id, count(*) AS n FROM v GROUP BY config_id)
+    SELECT n.config_id, n.n AS nodes, r.m AS edges, o.n AS expanded_nodes, n.n - o.n AS frontier_nodes, round(r.m / n.n, 6) AS mean_in_degree, i.n AS max_in_degree, round(r.r, 6) AS reciprocity, w.n AS largest_wcc
+    FROM n JOIN o USING (config_id) JOIN i USING (config_id) JOIN r USING (config_id) JOIN w USING (config_id)"""
+)
+def config_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every config that has edges."""
+    r = metrics.report(config_edges(spark, sf_dir))
+    return r.withColumns({c: F.round(c, 6) for c in ("mean_in_degree", "reciprocity")})
+
+
+_ROUND = """f{0} AS (SELECT word FROM (SELECT dst AS word, count(*) AS indeg FROM edges WHERE src IN (SELECT word FROM v{1}) AND dst NOT IN (SELECT word FROM v{1}) GROUP BY dst ORDER BY indeg DESC, word LIMIT 25) WHERE length(word) > 1),
+v{0} AS (SELECT word, round FROM v{1} UNION ALL SELECT word, {0} FROM f{0})"""
+
+
+@query(f"{WITH}, v1 AS (SELECT node AS word, 1 AS round FROM heads ORDER BY md5(node), node LIMIT 3), {', '.join(_ROUND.format(i, i - 1) for i in (2, 3, 4))} SELECT word, round::INT AS round, word IN (SELECT node FROM heads) AS known FROM v4")
+def crawl_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of four rounds over the stored answers, from three words."""
+    e = edges(spark, sf_dir)
+    seeds = e.select(F.col("src").alias("word")).distinct().orderBy(F.md5("word"), "word").limit(3)
+    return crawl.rounds(e, seeds, 25, 4)
+
+
+@query(
+    f"""{WITH}, ids AS (SELECT key, row_number() OVER (ORDER BY key) AS id FROM nodes)
+    SELECT 7::BIGINT AS config_id, s.id AS src_id, d.id AS dst_id, rank::INT AS rank FROM edges JOIN ids s ON s.key = src JOIN ids d ON d.key = dst"""
+)
+def store_retokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts into an empty store: nodes and surfaces under new ids, and ranked edges between ids."""
+    none = lambda schema: spark.createDataFrame([], schema)
+    n, s, e = build.retokenised(texts(spark, sf_dir), none("id long, key string, word string, lang string"), none(schemas.SURFACE), none("config_id long, src_id long, dst_id long, rank int"), 7)
+    return e
+
+
+@query(f"{WITH}, ids AS (SELECT key, row_number() OVER (ORDER BY key) AS id FROM nodes) SELECT id AS node_id, text FROM (SELECT DISTINCT {NORM.format('x')} AS key, x AS text FROM (SELECT unnest(w) AS x FROM t)) JOIN ids USING (key)")
+def store_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surfaces that retokenising stores."""
+    none = lambda schema: spark.createDataFrame([], schema)
+    n, s, e = build.retokenised(texts(spark, sf_dir), none("id long, key string, word string, lang string"), none(schemas.SURFACE), none("config_id long, src_id long, dst_id long, rank int"), 7)
+    return s
+
+
+@query("SELECT doc_id % 50 AS node_id, lang AS gen_model, 0.7 AS temperature, CASE WHEN n_chars % 2 = 0 THEN 'v7' ELSE 'v6' END AS prompt_version, min(doc_id) AS call_id FROM documents GROUP BY ALL")
+def store_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses into an empty table: of each (node, model, temperature, version) the first."""
+    new = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("node_id"), F.col("lang").alias("gen_model"), F.lit(0.7).alias("temperature"), F.when(F.col("n_chars") % 2 == 0, "v7").otherwise("v6").alias("prompt_version"), F.col("doc_id").alias("call_id"))
+    none = spark.createDataFrame([], new.schema)
+    return store.insert_or_ignore(none, new, schemas.KEYS["response"], "call_id")

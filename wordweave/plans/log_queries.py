@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordweave.functions.text import is_query, norm
+from wordweave.functions.text import is_query, iso, norm
 from wordweave.operators import crawl, paths, search_log, store
-from wordweave.plans import testbed
+from wordweave.plans import schemas, testbed
 from wordweave.plans.graph_queries import _DIST, _SAMPLE, _WALK, distribution
 from wordweave.plans.registry import GRAPH, HEADS, LOG, NORM, query
 from wordweave.session import written
@@ -116,8 +116,8 @@ def store_upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {GRAPH}, {HEADS}, {_SAMPLE.format(n=60)}, {_WALK.format(e="core")}, {_DIST},
-    q AS (SELECT qid, src AS a, dst AS b FROM pairs WHERE qid < 40 UNION ALL SELECT 1000, 'black hole', 'zzyzx' UNION ALL SELECT 1001, 'i love this so very much', 'zz'),
+    f"""WITH RECURSIVE {GRAPH}, {HEADS}, {_SAMPLE.format(n=150)}, {_WALK.format(e="core")}, {_DIST},
+    q AS (SELECT qid, src AS a, dst AS b FROM pairs UNION ALL SELECT 1000, 'black hole', 'zzyzx' UNION ALL SELECT 1001, 'i love this so very much', 'zz'),
     s AS (SELECT q.*, hops AS way, qid < 1000 AS known, CASE WHEN qid % 2 = 0 AND qid < 1000 THEN 3 END AS prev FROM q LEFT JOIN solved USING (qid)),
     r AS (SELECT qid, a, b, CASE WHEN qid = 1001 THEN 'badword' WHEN NOT known THEN 'unseen' WHEN way IS NULL THEN 'nolink' ELSE 'ok' END AS status, way AS hops, prev FROM s)
     SELECT qid::BIGINT AS qid, a, b, status, hops, CASE WHEN hops IS NOT NULL THEN round(coalesce((SELECT max(share) FROM dist d WHERE d.hops >= r.hops), 0), 6) END AS rarity,
@@ -126,7 +126,7 @@ def store_upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = testbed.edges(spark, sf_dir)
     n = written(testbed.nodes(spark, sf_dir), "nodes")
-    p = paths.sampled_pairs(e, 60).filter("qid < 40").select(F.col("qid").cast("long").alias("qid"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    p = paths.sampled_pairs(e).select(F.col("qid").cast("long").alias("qid"), F.col("src").alias("a"), F.col("dst").alias("b"))
     p = written(p.union(spark.createDataFrame([(1000, "black hole", "zzyzx"), (1001, "i love this so very much", "zz")], p.schema)), "requests")
     asked = p.withColumns({"ok_a": is_query(F.col("a")), "ok_b": is_query(F.col("b"))})
     responses = n.join(e.select(F.col("src").alias("key")).distinct(), "key", "left_semi").select("word")
@@ -226,3 +226,130 @@ def log_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     far = search_log.far(log, 4, 20).orderBy(F.md5(F.concat(F.lit("42"), "a", "b")), "a", "b").limit(5)
     out = row(search_log.top(log, 5), "top", "c").union(row(far, "far", "h")).union(row(search_log.shared(log, 5), "shared", "c"))
     return out.union(row(search_log.recent(log, 5), "recent", "h")).union(row(search_log.live_words(log), "live", "c", ""))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Claims by sampled pairs, every third of which has a record of 3 hops, with their answers and names."""
+    e, n = testbed.edges(spark, sf_dir), testbed.nodes(spark, sf_dir)
+    p = written(paths.sampled_pairs(e, 40).select(F.col("qid").cast("long").alias("qid"), F.col("src").alias("a"), F.col("dst").alias("b")), "claims")
+    asked = p.withColumns({"ok_a": F.lit(True), "ok_b": F.lit(True)})
+    responses = n.join(e.select(F.col("src").alias("key")).distinct(), "key", "left_semi").select("word")
+    held = p.filter("qid % 3 = 0").select(norm(F.col("a")).alias("norm_a"), norm(F.col("b")).alias("norm_b"), "a", "b", F.lit(3).alias("hops"), F.lit("someone").alias("finder"), F.lit("2020").alias("created_at"))
+    names = p.select("qid", F.when(F.col("qid") % 5 != 0, F.concat(F.lit("  "), "a", F.lit(" who has a long name "))).otherwise("  ").alias("name"))
+    dist = search_log.distribution(p.limit(0).select(F.lit(1).alias("hops")))
+    return search_log.solve(asked, n, responses, e, held, dist, F.lit(True)), names, held
+
+
+_CLAIMED = f"""WITH RECURSIVE {GRAPH}, {HEADS}, {_SAMPLE.format(n=40)}, {_WALK.format(e="core")},
+s AS (SELECT qid, src AS a, dst AS b, hops, CASE WHEN qid % 3 = 0 THEN 3 END AS held, CASE WHEN qid % 5 <> 0 THEN substr(trim(src || ' who has a long name'), 1, 24) END AS name FROM solved),
+c AS (SELECT *, hops IS NOT NULL AND (held IS NULL OR hops < held) AS accepted FROM s)"""
+
+
+@query(f"{_CLAIMED} SELECT qid::BIGINT AS qid, a, b, accepted, CASE WHEN accepted THEN hops WHEN hops IS NOT NULL THEN held END::INT AS hops, CASE WHEN accepted THEN name WHEN hops IS NOT NULL AND held IS NOT NULL THEN 'someone' END AS holder FROM c")
+def record_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims to records, solved again: accepted ones with their names, others with the record that stands."""
+    answers, names, held = _answers(spark, sf_dir)
+    return search_log.claims(answers, names, held).drop("norm_a", "norm_b")
+
+
+@query(f"{_CLAIMED} SELECT a, b, CASE WHEN accepted THEN hops ELSE held END::INT AS hops, CASE WHEN accepted THEN name ELSE 'someone' END AS finder FROM c WHERE accepted OR held IS NOT NULL")
+def record_claims_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records after the claims: accepted ones replace those they beat."""
+    answers, names, held = _answers(spark, sf_dir)
+    won = search_log.claims(answers, names, held).filter("accepted")
+    new = won.select("norm_a", "norm_b", "a", "b", "hops", F.col("holder").alias("finder"), F.lit("2021").alias("created_at"))
+    return store.upsert_records(held, new).select("a", "b", "hops", "finder")
+
+
+@query(f"WITH {LOG}, r AS (SELECT a, b, status, hops AS h, row_number() OVER (ORDER BY id DESC) AS i FROM log WHERE kind = 'path') SELECT asked, a, b, status, h FROM r, (VALUES (2, 5), (40, 40), (5000, 300)) n(asked, k) WHERE i <= k")
+def log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the newest pairs, of sizes within bounds whatever is asked for."""
+    log = testbed.log(spark, sf_dir)
+    pages = [search_log.recent(log, search_log.clamped(n)).select(F.lit(n).alias("asked"), "a", "b", "status", "h") for n in (2, 40, 5000)]
+    return pages[0].union(pages[1]).union(pages[2])
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at FROM events")
+def log_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as the store keeps them."""
+    return table(spark, sf_dir, "events").select("event_id", iso(F.col("ts")).alias("created_at"))
+
+
+_RUNS = "SELECT event_id, 'w' || user_id AS start_word, event_type AS mode, value > 30 AS found, to_json(['w' || user_id, 'x']) AS path FROM events"
+
+
+@query(f"WITH r AS ({_RUNS}), m AS (SELECT max(event_id) // 2 AS m FROM events) SELECT row_number() OVER (ORDER BY event_id) AS id, start_word, mode, found, path FROM r")
+def run_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured runs in two writes, each numbered after the last one; paths as JSON."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("start_word"), F.col("event_type").alias("mode"), (F.col("value") > 30).alias("found"))
+    rows = rows.withColumn("path", F.to_json(F.array("start_word", F.lit("x"))))
+    half = rows.agg(F.max("event_id")).first()[0] // 2
+    none = rows.limit(0).withColumn("id", F.lit(0).cast("long"))
+    old = written(store.appended(none, rows.filter(F.col("event_id") <= half), "event_id"), "runs")
+    return store.appended(old, rows.filter(F.col("event_id") > half), "event_id").drop("event_id")
+
+
+@query("SELECT 'v' || v.vec_id AS text, CASE WHEN v.vec_id % 2 = 0 THEN len(embedding) ELSE 2 END::INT AS dim FROM embeddings v UNION ALL SELECT 'unknown', NULL")
+def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings inserted where a text has none yet, then looked up, one of them in vain."""
+    v = table(spark, sf_dir, "embeddings").select(F.lit("m").alias("model"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("text"), F.size("embedding").alias("dim"), F.col("embedding").alias("vec"))
+    odd = F.substring("text", 2, 20).cast("long") % 2 == 1
+    old = v.filter(odd).withColumn("dim", F.lit(2))
+    after = store.insert_or_ignore(old, v, schemas.KEYS["embedding"], "dim")
+    asked = v.select("model", "text").union(spark.createDataFrame([("m", "unknown")], "model string, text string"))
+    return store.found(asked, after, schemas.KEYS["embedding"]).select("text", "dim")
+
+
+_PAGE = f"""{_GLOG}, {_SAMPLE.format(n=150)}, {_WALK.format(e="core")}, {_DIST},
+cut AS (SELECT coalesce(min(hops) FILTER (share <= 0.10), max(hops), 6) AS t FROM dist),
+p AS (SELECT arg_max(a, id) AS a, arg_max(b, id) AS b, min(hops) AS h, count(*) AS c, max(id) AS last FROM glog WHERE kind = 'path' AND status = 'ok' GROUP BY lower(glog.a), lower(glog.b)),
+sh AS (SELECT arg_max(a, id) AS a, arg_max(b, id) AS b, count(*) AS c, max(id) AS last FROM glog WHERE kind = 'share' GROUP BY lower(glog.a), lower(glog.b)),
+bad AS ({_GPAIRS.format("status <> 'ok'")} ORDER BY c DESC, last DESC LIMIT 40),
+op AS (SELECT a, b, c, last FROM bad LEFT JOIN byword x ON x.word = lower(trim(a)) LEFT JOIN byword y ON y.word = lower(trim(b)) WHERE NOT EXISTS (SELECT 1 FROM dist2 WHERE s = x.key AND d = y.key)),
+new AS ({_GPAIRS.format("status = 'ok'")} ORDER BY last DESC LIMIT 40),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY least(lower(a), lower(b)), greatest(lower(a), lower(b)) ORDER BY last DESC) AS i FROM new) WHERE i = 1),
+ow AS (SELECT a, b, last, f.n AS fwd, CASE WHEN r.n IS NULL THEN 99 ELSE r.n - f.n END AS gap
+       FROM once JOIN byword x ON x.word = lower(trim(a)) JOIN byword y ON y.word = lower(trim(b)) JOIN dist2 f ON f.s = x.key AND f.d = y.key LEFT JOIN dist2 r ON r.s = y.key AND r.d = x.key),
+far AS (SELECT a, b, h, last FROM p, cut WHERE h >= t ORDER BY h DESC, last DESC LIMIT 20),
+fe AS (SELECT * FROM p ORDER BY h DESC, last DESC LIMIT 300)"""
+_EN = f"(SELECT key FROM nodes WHERE lang = 'en')"
+
+
+@query(
+    f"""{_PAGE}
+    SELECT 'thrown' AS list, NULL AS a, NULL AS b, count(*) AS n FROM heads
+    UNION ALL SELECT 'nodes', NULL, NULL, count(*) FROM nodes UNION ALL SELECT 'edges', NULL, NULL, count(*) FROM edges
+    UNION ALL SELECT 'top', a, b, c FROM (SELECT * FROM p ORDER BY c DESC, h ASC NULLS FIRST, last DESC LIMIT 5)
+    UNION ALL SELECT 'far', a, b, h FROM (SELECT * FROM far ORDER BY md5('42' || a || b), a, b LIMIT 5)
+    UNION ALL SELECT 'far_en', a, b, h FROM (SELECT * FROM fe WHERE {NORM.format("a")} IN {_EN} AND {NORM.format("b")} IN {_EN} ORDER BY h DESC, last DESC LIMIT 5)
+    UNION ALL SELECT 'shared', a, b, c FROM (SELECT * FROM sh ORDER BY c DESC, last DESC LIMIT 5)
+    UNION ALL SELECT 'recent', a, b, hops FROM (SELECT a, b, hops FROM glog WHERE kind = 'path' ORDER BY id DESC LIMIT 5)
+    UNION ALL SELECT 'live', a, NULL, c FROM (SELECT arg_max(a, id) AS a, count(*) AS c, max(id) AS m FROM glog WHERE kind = 'word' GROUP BY lower(glog.a) ORDER BY m DESC LIMIT 18)
+    UNION ALL SELECT 'oneway', a, b, gap FROM (SELECT * FROM ow WHERE gap >= 2 ORDER BY gap DESC, fwd, last DESC LIMIT 5)
+    UNION ALL SELECT 'open', a, b, c FROM (SELECT * FROM op ORDER BY c DESC, last DESC LIMIT 5)"""
+)
+def front_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a front page shows, as one table: three counts and eight lists, the far ones from the measured threshold on, five of twenty by chance."""
+    e, n = testbed.edges(spark, sf_dir), testbed.nodes(spark, sf_dir)
+    log = written(testbed.graph_log(spark, sf_dir, e), "log")
+    none = F.lit(None).cast("string")
+    row = lambda df, name, value, b="b": df.select(F.lit(name).alias("list"), "a", (F.col(b) if b else none).alias("b"), F.col(value).cast("long").alias("n"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("list"), none.alias("a"), none.alias("b"), "n")
+    far = search_log.far_beyond(log, search_log.far_threshold(distribution(spark, sf_dir, e)), 20)
+    parts = [
+        count(e.select("src").distinct(), "thrown"),
+        count(n, "nodes"),
+        count(e, "edges"),
+        row(search_log.top(log, 5), "top", "c"),
+        row(far.orderBy(F.md5(F.concat(F.lit("42"), "a", "b")), "a", "b").limit(5), "far", "h"),
+        row(search_log.far_english(log, n, 5), "far_en", "h"),
+        row(search_log.shared(log, 5), "shared", "c"),
+        row(search_log.recent(log, 5), "recent", "h"),
+        row(search_log.live_words(log), "live", "c", ""),
+        row(search_log.one_way(log, n, e, 5), "oneway", "gap"),
+        row(search_log.still_open(log, n, e, 5), "open", "c"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordweave.plans.log_queries import _SOLVED
-from wordweave.plans.registry import LOG, NORM, query
+from wordweave.operators import build
+from wordweave.plans.registry import GRAPH, LOG, NORM, query
 from wordweave.plans.testbed import from_events
 from wordweave.session import shared_dir
+from wordweave.sources.readers import table
 from wordweave.streaming import streams
 
 
@@ -58,7 +60,22 @@ def stream_refreshed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _sink(spark)
     compute = lambda batch: batch.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     streams.drain(streams.refreshed(from_events(_events(spark, sf_dir)), compute, path, every=None))
-    return spark.read.parquet(path).groupBy("kind").agg(F.sum("n").alias("n"))
+    return streams.latest(spark, f"{path}/result")
+
+
+@query(f"WITH RECURSIVE {GRAPH} SELECT src, dst, rank::INT AS rank FROM edges")
+def stream_edges_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _sink(spark)
+    streams.drain(streams.absorbed(build.document_texts(streams.file_stream(spark, f"{sf_dir}/documents.parquet")), path))
+    return spark.read.parquet(path).drop("batch")
+
+
+@query("SELECT event_id, (ts - to_hours((user_id % 48)::INT)) < date_trunc('day', ts - INTERVAL 3 HOUR) + INTERVAL 3 HOUR AS due FROM events")
+def stream_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a daily job is due at an event's time, if it ran last some hours before."""
+    e = table(spark, sf_dir, "events")
+    last = F.col("ts") - F.make_dt_interval(hours=(F.col("user_id") % 48).cast("int"))
+    return e.select("event_id", streams.due(last, F.col("ts")).alias("due"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordweave.operators import build
-from wordweave.session import written
+from wordweave.session import stored
 from wordweave.sources.readers import table
 
 
@@ -15,12 +15,28 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written once a call: what follows reads it several times."""
-    return written(build.edges(texts(spark, sf_dir)), "edges")
+    """The stored edges: they are built from the texts once, and read by every query about the graph."""
+    return stored(spark, "edges", [f"{sf_dir}/documents.parquet"], lambda: build.edges(texts(spark, sf_dir)))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build.nodes(texts(spark, sf_dir))
+    """The stored nodes."""
+    return stored(spark, "nodes", [f"{sf_dir}/documents.parquet"], lambda: build.nodes(texts(spark, sf_dir)))
+
+
+def flagged(nodes: DataFrame) -> DataFrame:
+    """Nodes with `ok`: false for a sixteenth of them by a hash of their key, unknown for another one."""
+    h = F.left(F.md5("key"), F.lit(1))
+    return nodes.withColumn("ok", F.when(h == "0", False).when(h != "1", True))
+
+
+def config_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(config_id, src, dst, rank): the texts of each language as a config of their own."""
+    lang = F.col("lang")
+    docs = table(spark, sf_dir, "documents")
+    ids = docs.select("doc_id", F.when(lang == "en", 0).when(lang == "fr", 1).when(lang == "de", 2).otherwise(9).alias("config_id"))
+    own = build.document_texts(docs).join(ids.withColumnRenamed("doc_id", "id"), "id")
+    return build.edges(own, by=["config_id"])
 
 
 def from_events(events: DataFrame) -> DataFrame:

@@ -106,10 +106,10 @@ def store_fill_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.filter(~F.col("ok").eqNullSafe(False)).select("doc_id", "ok")
 
 
-@query(f"WITH {_SURF} SELECT w AS word, CASE WHEN regexp_matches(w, '[가-힣]') AND regexp_matches(w, '[A-Za-z]') THEN 'mix' WHEN regexp_matches(w, '[가-힣]') THEN 'ko' WHEN regexp_matches(w, '[A-Za-z]') THEN 'en' ELSE 'other' END AS lang FROM s WHERE length(w) % 5 = 0")
+@query(f"WITH {_SURF} SELECT w AS word, CASE WHEN regexp_matches(w, '[가-힣]') AND regexp_matches(w, '[A-Za-z]') THEN 'mix' WHEN regexp_matches(w, '[가-힣]') THEN 'ko' WHEN regexp_matches(w, '[A-Za-z]') THEN 'en' ELSE 'other' END AS lang FROM s")
 def store_fill_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([^ \n]+)"), F.lit(1))).alias("word")).distinct()
-    return store.fill_nulls(w.filter(F.length("word") % 5 == 0).withColumn("lang", F.lit(None).cast("string")), "lang", T.coarse_script(F.col("word")))
+    return store.fill_nulls(w.withColumn("lang", F.lit(None).cast("string")), "lang", T.coarse_script(F.col("word")))
 
 
 _TAGS = "replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"

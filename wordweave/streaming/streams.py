@@ -7,15 +7,17 @@ run again after a failure replaces itself.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from wordweave.functions.text import norm
-from wordweave.session import shared_dir
+from wordweave.operators import build
 
 #: Heavy statistics are computed anew this often.
 REFRESH = "600 seconds"
@@ -26,9 +28,9 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> Da
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
 
 
-def _start(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], every: str | None) -> StreamingQuery:
-    spark = stream.sparkSession
-    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
+def _start(stream: DataFrame, path: str, mode: str, each: Callable[[DataFrame, int], None], every: str | None) -> StreamingQuery:
+    """The checkpoint lies with the sink, hidden from its readers: a query that is started again goes on where it was, under the next batch number."""
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{path}/_checkpoint")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
@@ -43,7 +45,23 @@ def appended(stream: DataFrame, path: str, every: str | None = None) -> Streamin
     def each(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    return _start(stream, "append", each, every)
+    return _start(stream, path, "append", each, every)
+
+
+def _table(spark: SparkSession, path: str, n: int, schema: StructType) -> DataFrame:
+    """The rows of the batches before n."""
+    return spark.read.schema(schema.add("batch", "long")).option("basePath", path).parquet(f"{path}/batch=*").filter(F.col("batch") < n).drop("batch") if n else spark.createDataFrame([], schema)
+
+
+def absorbed(stream: DataFrame, path: str, every: str | None = None) -> StreamingQuery:
+    """Texts (id, head, text) as they come, as edges that aren't there yet: a pair's first rank stays, nothing is changed or taken back."""
+    schema = StructType.fromDDL("src string, dst string, rank int")
+
+    def each(batch: DataFrame, n: int) -> None:
+        old = _table(batch.sparkSession, path, n, StructType(schema.fields))
+        build.edges(batch).join(old.select("src", "dst"), ["src", "dst"], "left_anti").write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return _start(stream, path, "append", each, every)
 
 
 def replaced(stream: DataFrame, path: str, every: str | None = None) -> StreamingQuery:
@@ -52,7 +70,7 @@ def replaced(stream: DataFrame, path: str, every: str | None = None) -> Streamin
     def each(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    return _start(stream, "complete", each, every)
+    return _start(stream, path, "complete", each, every)
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
@@ -75,20 +93,43 @@ def best_records(log: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, key: str) -> DataFrame:
-    """Each key once, whichever batch brings it first."""
+    """Each key once, whichever batch brings it first. Its state holds every key that there was; absorbed() looks them up in the table instead."""
     return rows.dropDuplicates([key])
 
 
 def refreshed(stream: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, every: str | None = REFRESH) -> StreamingQuery:
-    """Heavy statistics of each batch, computed off the readers' path; they read the last result."""
+    """Heavy statistics of the whole table, computed anew after each batch, off the readers' path; they read the last result with latest(spark, path + "/result")."""
 
     def each(batch: DataFrame, n: int) -> None:
-        compute(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={n}")
+        whole = _table(batch.sparkSession, f"{path}/table", n + 1, StructType(batch.schema.fields))
+        compute(whole).write.mode("overwrite").parquet(f"{path}/result/batch={n}")
+
+    return _start(stream, path, "append", each, every)
+
+
+def due(last: Column, now: Column, hour: int = 3) -> Column:
+    """Whether a daily job is due: its hour has come since it ran last, if only once for all days missed; also if it never ran."""
+    shift = F.make_dt_interval(hours=F.lit(hour))
+    return last.isNull() | (last < F.date_trunc("day", now - shift) + shift)
+
 
-    return _start(stream, "append", each, every)
+def scheduled(spark: SparkSession, path: str, now: datetime, run: Callable[[], None], hour: int = 3) -> bool:
+    """Runs a daily job if it is due, and notes the time beside its sink; for a scheduler that calls it more often, or late."""
+    at = f"{path}/_runs"
+    try:
+        last = spark.read.schema("at timestamp_ntz").parquet(at).agg(F.max("at")).first()[0]
+    except AnalysisException:
+        last = None
+    times = spark.createDataFrame([(last, now)], "last timestamp_ntz, now timestamp_ntz")
+    if not times.select(due(F.col("last"), F.col("now"), hour).alias("due")).first().due:
+        return False
+    run()
+    spark.createDataFrame([(now,)], "at timestamp_ntz").write.mode("append").parquet(at)
+    return True
 
 
 def event_windows(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events and values by type in windows of event time; rows later than the watermark are dropped. An extension."""
+    """Events and values by type in windows of event time; in append or update mode rows later than the watermark are dropped, complete mode keeps all. An extension."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return e.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")).select(F.col("w.start").alias("start"), "event_type", "n", "v")
