@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordweave.session import shared_dir, written
+from wordweave.sources.readers import table
 
 __all__ = ["NULL_ID", "WORD", "documents", "keyed", "n_words", "shared_dir", "written"]
 
@@ -30,4 +31,4 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
