@@ -12,8 +12,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch to and from Python workers, unless the session says otherwise. Spark's own
+#: bound of 64 MB is met by 10,000 documents at once, which a worker and the JVM hold several times.
+BATCH_KEY, BATCH_BYTES, SPARK_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once for each context, so that their Python workers can import it."""
+    """Sends this package to the executors, once for each context, so that their Python workers can import it, and bounds what they get at once."""
+    if spark.conf.get(BATCH_KEY) == SPARK_BYTES:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     context = spark.sparkContext
     if not getattr(context, "_wordweave_shipped", False):
         here = Path(__file__).resolve().parent
