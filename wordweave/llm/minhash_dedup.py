@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from wordweave.llm.shared import NULL_ID, documents, keyed, written
 from wordweave.llm.wordhash import Words, mix, slices
-from wordweave.session import ship
+from wordweave.session import released, ship
 
 
 @dataclass(frozen=True)
@@ -192,16 +192,20 @@ def _linked(plan: Plan):
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component), component the least node reachable. Least labels spread and are then looked up in each other, so rounds grow with the logarithm of a chain."""
     both = written(links.select("a", "b").union(links.select("b", "a")), "links")
-    labels = written(nodes.select("node", F.col("node").alias("component")).join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), "labels")
+    last = written(nodes.select("node", F.col("node").alias("component")).join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), "labels")
     while True:
+        labels = last.select("node", "component")
         heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, "node").select("node", "component", F.least("component", "heard").alias("next"))
         known = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
         moved = written(nearer.join(known, "next").select("node", F.col("component").alias("old"), F.least("next", "jump").alias("component")), "labels")
-        labels = moved.select("node", "component")
+        released(last)
+        last = moved
         if moved.filter("old <> component").isEmpty():
             break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    out = written(nodes.join(last.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+    released(both, last)
+    return out
 
 
 def _confirmed(pairs: DataFrame, signed: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
@@ -211,7 +215,9 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, texts: DataFrame, plan: Plan
     near = written(near.select("a", "b", "a_sig", "b_sig").mapInArrow(_close(plan), "a long, b long"), "near")
     packed = texts.select("rep", "packed")
     both = near.join(packed.select(F.col("rep").alias("b"), F.col("packed").alias("b_text")), "b").join(packed.select(F.col("rep").alias("a"), F.col("packed").alias("a_text")), "a")
-    return written(both.select("a", "b", "a_text", "b_text").mapInArrow(_linked(plan), "a long, b long"), "confirmed")
+    out = written(both.select("a", "b", "a_text", "b_text").mapInArrow(_linked(plan), "a long, b long"), "confirmed")
+    released(near)
+    return out
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,16 +235,19 @@ def _spokes(placed: DataFrame, tried: DataFrame | None, plan: Plan) -> DataFrame
     whose copies are closer to it than to each other. A member meets the `spokes` centres that
     it shares most buckets with; other centres, and other members, are left to what follows.
     """
-    score = placed.groupBy("rep").agg(F.sum("size").alias("score"))
+    score = written(placed.groupBy("rep").agg(F.sum("size").alias("score")), "scores")
     order = F.struct((-F.col("score")).alias("s"), F.xxhash64("rep").alias("h"), "rep", "component")
-    centre = placed.join(written(score, "scores"), "rep").groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.rep").alias("other"), F.col("c.component").alias("its"))
-    met = placed.join(written(centre, "centres"), "bucket").filter("component <> its").groupBy("rep", "other").agg(F.count(F.lit(1)).alias("shared"))
+    centre = placed.join(score, "rep").groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.rep").alias("other"), F.col("c.component").alias("its"))
+    centre = written(centre, "centres")
+    met = placed.join(centre, "bucket").filter("component <> its").groupBy("rep", "other").agg(F.count(F.lit(1)).alias("shared"))
     met = met.select("rep", "other", "shared", F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
     if tried is not None:
         met = met.join(tried, ["a", "b"], "left_anti")
     best = Window.partitionBy("rep").orderBy(F.desc("shared"), "other")
     met = met.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= plan.spokes)
-    return met.select("a", "b").distinct()
+    out = written(met.select("a", "b").distinct(), "pairs")
+    released(score, centre)
+    return out
 
 
 def _whole_sets(plan: Plan, ids: list[int], packed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -284,23 +293,28 @@ def _rest(placed: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     rows = texts.join(able.select("rep"), "rep", "left_semi").select("rep", "packed").mapInArrow(_shingles(plan), "rep long, shingle long")
     rows = written(rows.join(able.select("rep", "component"), "rep"), "shingles")
     for _ in range(2):  # those that cannot be linked share nothing with the others
-        rows = rows.join(able.select("rep"), "rep", "left_semi")
+        before, rows = rows, rows.join(able.select("rep"), "rep", "left_semi")
         common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle", "k")
         rows = written(rows.select("rep", "component", "shingle").join(common, "shingle"), "shared")
+        released(before)
         c = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
-        able = written(able.select("rep", "component", "n").join(c, "rep").filter(F.lit(100) * F.col("c") >= F.lit(plan.percent) * F.col("n")), "able")
+        before, able = able, written(able.select("rep", "component", "n").join(c, "rep").filter(F.lit(100) * F.col("c") >= F.lit(plan.percent) * F.col("n")), "able")
+        released(before)
     order = F.array_sort(F.collect_list(F.struct("k", "shingle"))).getField("shingle")
     first = rows.groupBy("rep").agg(order.alias("first")).join(able, "rep")
     first = first.withColumn("first", F.slice("first", F.lit(1), (F.col("c") - part(F.col("n")) + 1).cast("int")))
-    first = written(first.select("rep", "component", "n", "c", F.slice("first", 1, plan.ahead).alias("ahead"), F.posexplode("first").alias("at", "shingle")), "prefixes")
-    first = first.withColumn("ahead", F.slice("ahead", F.lit(1), F.least(F.col("at"), F.lit(plan.ahead))))
+    prefixes = written(first.select("rep", "component", "n", "c", F.slice("first", 1, plan.ahead).alias("ahead"), F.posexplode("first").alias("at", "shingle")), "prefixes")
+    released(rows, able)
+    first = prefixes.withColumn("ahead", F.slice("ahead", F.lit(1), F.least(F.col("at"), F.lit(plan.ahead))))
     other = first.select("shingle", *[F.col(x).alias(f"its_{x}") for x in ("rep", "component", "n", "c", "at", "ahead")])
     far = lambda x: F.greatest(F.col(x) - F.lit(plan.ahead), F.lit(0))
     before = F.least("at", "its_at", far("at") + far("its_at"))
     behind = F.least(F.col("c") - F.col("at"), F.col("its_c") - F.col("its_at"))
     may = (F.col("rep") < F.col("its_rep")) & (F.col("component") != F.col("its_component")) & enough(F.least("c", "its_c"), F.col("n"), F.col("its_n"))
     may = may & enough(before + behind, F.col("n"), F.col("its_n")) & ~F.arrays_overlap("ahead", "its_ahead")
-    return first.join(other, "shingle").filter(may).select(F.col("rep").alias("a"), F.col("its_rep").alias("b")).distinct()
+    out = written(first.join(other, "shingle").filter(may).select(F.col("rep").alias("a"), F.col("its_rep").alias("b")).distinct(), "pairs")
+    released(prefixes)
+    return out
 
 
 def classes(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -314,29 +328,39 @@ def classes(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     every = alike.select("rep", "n", F.explode("buckets").alias("bucket"))
     shared = written(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     members = written(every.join(shared, "bucket"), "members")
-    nodes = written(members.select("rep").distinct(), "nodes")
-    chosen = alike.join(nodes, "rep", "left_semi").select("rep", "doc.did", "doc.tkey")
+    released(shared)
+    met = written(members.select("rep").distinct(), "nodes")
+    chosen = alike.join(met, "rep", "left_semi").select("rep", "doc.did", "doc.tkey")
     texts = keys.mapInArrow(_packed, "did long, tkey long, packed binary").join(chosen.hint("shuffle_hash"), ["did", "tkey"]).select("rep", "packed").dropDuplicates(["rep"])
     texts = written(texts, "texts")
-    nodes = nodes.select(F.col("rep").alias("node"))
-    links, tried, labels = None, None, nodes.withColumn("component", F.col("node"))
+    nodes = met.select(F.col("rep").alias("node"))
+    links, tried, done, labels = None, None, [], nodes.withColumn("component", F.col("node"))
     for turn in range(plan.rounds + 1):
-        placed = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep")
+        placed = members.select("bucket", "rep", "n", "size").join(labels.select(F.col("node").alias("rep"), "component"), "rep")
         # Buckets that still hold several components.
         unsure = written(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket"), "unsure")
-        members = written(placed.join(unsure, "bucket").select("bucket", "rep", "n", "size", "component"), "members")
+        before, members = members, written(placed.join(unsure, "bucket").select("bucket", "rep", "n", "size", "component"), "members")
+        released(before, unsure)
         if members.isEmpty():
             break
-        pairs = written(_spokes(members, tried, plan) if turn < plan.rounds else _rest(members, texts, plan), "pairs")
+        pairs = _spokes(members, tried, plan) if turn < plan.rounds else _rest(members, texts, plan)
+        done.append(pairs)
         tried = pairs if tried is None else tried.union(pairs)
         found = _confirmed(pairs, alike, texts, plan)
-        links = found if links is None else written(links.union(found), "links")
-        labels = written(components(nodes, links), "components")
-        members = members.select("bucket", "rep", "n", "size")
+        if links is None:
+            links = found
+        else:
+            before, links = links, written(links.union(found), "links")
+            released(before, found)
+        before, labels = labels, components(nodes, links)
+        released(before)
+    released(members, texts, links, *done)
     of_class = alike.select("n", "set_a", "set_b", "doc", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_class = written(of_class.select("n", "set_a", "set_b", "doc", F.coalesce("component", "rep").alias("component")), "labelled")
+    released(alike, labels, met)
     first = written(of_class.groupBy("component").agg(F.min("doc").alias("first")), "firsts")
     named = written(of_class.join(first, "component").select("n", "set_a", "set_b", "first"), "named")
+    released(of_class, first)
     out = signed.select("did", "tkey", "n", "set_a", "set_b").join(named, ["n", "set_a", "set_b"], "left")
     return out.select("did", "tkey", F.col("n").alias("n_shingles"), F.coalesce("first", F.struct("did", "tkey")).alias("first"))
 
