@@ -20,9 +20,11 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,8 @@ from wordweave.session import ship
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 200_000
+#: Ids that are decoded at once.
+DECODED = 1 << 18
 RESULT = "doc_id long, ids array<int>"
 
 
@@ -69,8 +73,9 @@ class Coder:
     def encode(self, text: str) -> list[int]:
         """The ids of a text that starts and ends at pre-token boundaries."""
         ids: list[int] = []
+        known = self.known
         for pre_token in self.pattern.findall(text):
-            ids += self.piece(pre_token)
+            ids += known.get(pre_token) or self.piece(pre_token)
         return ids
 
 
@@ -81,18 +86,20 @@ def coder(ranks_path: str, pattern: str) -> Coder:
 
 
 @lru_cache(maxsize=2)
-def bytes_of(ranks_path: str) -> list[bytes | None]:
-    """The bytes of each id; one for each Python worker."""
+def bytes_of(ranks_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids one after another, where each id's begin, and their number, -1 without a rank; one for each Python worker."""
     ranks = ranks_of(ranks_path)
-    out: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    size = np.full(max(ranks.values(), default=-1) + 1, -1)
+    start, data = np.zeros(len(size), np.int64), bytearray()
     for b, i in ranks.items():
-        out[i] = b
-    return out
+        start[i], size[i] = len(data), len(b)
+        data += b
+    return np.frombuffer(bytes(data), np.uint8), start, size
 
 
 def _lists(rows: list[list[int]]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter((i for r in rows for i in r), np.int32, ends[-1])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, ends[-1])))
 
 
 def _encoded(ranks_path: str, pattern: str, keys: int):
@@ -111,10 +118,23 @@ def _decoded(ranks_path: str):
     """(.., ids) to (.., ids, raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = bytes_of(ranks_path)
+        data, start, size = bytes_of(ranks_path)
         for batch in batches:
-            rows = [b"".join([of[i] for i in ids or ()]) for ids in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, "raw"])
+            lists = batch.column(batch.num_columns - 1)
+            ids = lists.flatten().to_numpy()
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or size[ids].min() < 0):
+                raise ValueError("ids without a rank")
+            ends = np.concatenate([[0], np.cumsum(size[ids])])
+            raw = np.empty(ends[-1], np.uint8)
+            for lo in range(0, len(ids), DECODED):
+                part = ids[lo : lo + DECODED]
+                begin, end = ends[lo], ends[lo + len(part)]
+                shift = start[part] - (ends[lo : lo + len(part)] - begin)
+                raw[begin:end] = data[np.repeat(shift, size[part]) + np.arange(end - begin)]
+            number = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            offsets = ends[np.concatenate([[0], np.cumsum(number)])].astype(np.int32)
+            rows = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*batch.schema.names, "raw"])
 
     return run
 
