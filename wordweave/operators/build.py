@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordweave.functions.arrays import bound
@@ -13,8 +13,8 @@ from wordweave.operators.store import insert_edges, insert_or_ignore, with_ids
 from wordweave.session import written
 
 
-def neighbours(texts: DataFrame) -> DataFrame:
-    """(id, head, low, word, rank) of texts (id, head, text): each distinct token in any case, but the head, by first place.
+def neighbours(texts: DataFrame, words: Column | None = None) -> DataFrame:
+    """(id, head, low, word, rank) of texts (id, head, text): each distinct token in any case, but the head, by first place. words: an array of each text's words, such as a tagger's nouns, in place of tokens.
 
     Tokens are cut, dropped and made distinct inside the row, so nothing is shuffled.
     """
@@ -22,7 +22,7 @@ def neighbours(texts: DataFrame) -> DataFrame:
     seen = lambda words: F.array_sort(F.transform(words, lambda w, i: F.struct(F.lower(w).alias("low"), i.alias("pos"), w.alias("word"))))
     first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["low"] != x["low"]))
     kept = lambda s: F.filter(first(s), lambda x: ~is_junk_token(x["low"]) & (x["low"] != own))
-    ranked = F.array_sort(F.transform(bound(bound(tokens(F.coalesce("text", F.lit(""))), seen), kept), lambda x: F.struct(x["pos"], x["low"], x["word"])))
+    ranked = F.array_sort(F.transform(bound(bound(tokens(F.coalesce("text", F.lit(""))) if words is None else words, seen), kept), lambda x: F.struct(x["pos"], x["low"], x["word"])))
     return texts.select("id", "head", F.posexplode(ranked).alias("at", "x")).select("id", "head", "x.low", "x.word", (F.col("at") + 1).alias("rank"))
 
 
@@ -31,12 +31,13 @@ def document_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.lower(F.get(tokens(F.coalesce("text", F.lit(""))), 0)).alias("head"), "text").filter("head is not null")
 
 
-def edges(texts: DataFrame, keep_loops: bool = False, by: Sequence[str] = ()) -> DataFrame:
-    """(src, dst, rank), keys of nodes: the least rank of each pair. Surfaces with one key leave gaps in ranks; self-loops go unless wanted. by: columns of texts that tell graphs apart, such as config_id."""
+def edges(texts: DataFrame, keep_loops: bool = False, by: Sequence[str] = (), words: Column | None = None) -> DataFrame:
+    """(src, dst, rank), keys of nodes: the least rank of each pair. Surfaces with one key leave gaps in ranks; self-loops go unless wanted. by: columns of texts that tell graphs apart, such as config_id; words: as for neighbours()."""
     own = F.lower(clean(F.coalesce("head", F.lit(""))))
-    low = F.array_distinct(F.transform(tokens(F.coalesce("text", F.lit(""))), F.lower))
+    low = F.array_distinct(F.transform(tokens(F.coalesce("text", F.lit(""))) if words is None else words, F.lower))
     kept = F.filter(low, lambda w: ~is_junk_token(w) & (w != own))
-    pairs = texts.select(*by, norm(F.col("head")).alias("src"), F.posexplode(kept).alias("at", "low")).select(*by, "src", token_key(F.col("low")).alias("dst"), (F.col("at") + 1).alias("rank"))
+    key = token_key if words is None else norm
+    pairs = texts.select(*by, norm(F.col("head")).alias("src"), F.posexplode(kept).alias("at", "low")).select(*by, "src", key(F.col("low")).alias("dst"), (F.col("at") + 1).alias("rank"))
     pairs = pairs.filter("src <> '' and dst <> ''")
     return (pairs if keep_loops else pairs.filter("src <> dst")).groupBy(*by, "src", "dst").agg(F.min("rank").alias("rank"))
 

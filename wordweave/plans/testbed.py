@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordweave.functions.arrays import bound, starts
 from wordweave.operators import build
 from wordweave.session import stored
 from wordweave.sources.readers import table
@@ -39,6 +40,22 @@ def config_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.edges(own, by=["config_id"])
 
 
+def capital_tags(text: Column) -> Column:
+    """A plain rule in a tagger's place, as nouns.TAGS: words with a capital are nouns, and modify the next word if that has one too."""
+
+    def tag(words: Column, at: Column, big: Column) -> Column:
+        def of(x: Column, i: Column) -> Column:
+            before = F.get(big, i) & F.coalesce(F.get(big, i + 1), F.lit(False))
+            name = F.when(F.get(big, i), "PROPN").otherwise("X")
+            kind, head = F.when(before, "compound").otherwise("dep"), F.when(before, i + 1).otherwise(i)
+            return F.struct(F.get(at, i).alias("start"), F.length(x).alias("len"), x.alias("text"), x.alias("lemma"), F.lit("").alias("tag"), name.alias("pos"), kind.alias("dep"), head.alias("head"), F.lit(False).alias("stop"), F.lit(False).alias("num"))
+
+        return F.transform(words, of)
+
+    every = lambda w: bound(starts(F.transform(w, lambda x: F.length(x) + 1)), lambda a: bound(F.transform(w, lambda x: x.rlike("^[A-Z]")), lambda b: tag(w, a, b)))
+    return bound(F.split(text, " ", -1), every)
+
+
 def from_events(events: DataFrame) -> DataFrame:
     """events as a search log; a stream of them gives a stream."""
     k = F.get_json_object("props", "$.k").cast("long")

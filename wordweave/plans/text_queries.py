@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordweave.functions import text as T
+from wordweave.functions import nouns, text as T
 from wordweave.operators import crawl, phrases, store
 from wordweave.plans import testbed
 from wordweave.plans.registry import GRAPH, HEADS, query
@@ -234,6 +234,19 @@ def explore_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(flags, "doc_id", "left").filter(~F.col("ok").eqNullSafe(False)).orderBy(F.desc("doc_id")).limit(100).select(F.col("doc_id").alias("id"), "head")
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+    b AS (SELECT doc_id, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS p, CASE WHEN i < len(w) THEN w[i + 1] END AS n FROM t),
+    s AS (SELECT doc_id, CASE WHEN coalesce(regexp_matches(p, '^[A-Z]'), false) THEN p || ' ' || x ELSE x END AS word FROM b WHERE regexp_matches(x, '^[A-Z]') AND length(x) >= 2 AND NOT coalesce(regexp_matches(n, '^[A-Z]'), false))
+    SELECT doc_id, word, count(*) AS n FROM s WHERE lower(word) NOT IN ({_sql_list(T.JUNK)}) GROUP BY ALL"""
+)
+def noun_compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nouns and compounds of every document; capitals stand for a tagger."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", testbed.capital_tags(F.col("text")).alias("tags"))
+    spans = d.select("doc_id", F.explode(nouns.words(nouns.noun_spans(F.col("text"), F.col("tags"), F.lit("en")))).alias("word"))
+    return spans.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT DISTINCT lower(p_name) AS phrase FROM part WHERE length(p_name) >= 4 AND instr(p_name, ' ') > 0")
 def phrase_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.vocabulary(table(spark, sf_dir, "part").select(F.col("p_name").alias("word")))
