@@ -403,6 +403,9 @@ def test_byte_bpe(spark, docs, empty, chunk, overlap):
     assert sorted(map(str, byte_bpe.digested(got).collect())) == sorted(digests)
     assert byte_bpe.decode(byte_bpe.encode(empty, path, pattern), path).count() == 0
     assert [bytes(r.raw) for r in byte_bpe.decode(got.select("doc_id", F.lit(None).alias("ids")).limit(2), path).collect()] == [b"", b""]
+    for ids in ([-1], [10**7], [5, None]):
+        with pytest.raises(Exception):
+            byte_bpe.decode(spark.createDataFrame([(1, ids)], "doc_id long, ids array<int>"), path).collect()
 
 
 def _row(doc_id, n, ids, decoded):
