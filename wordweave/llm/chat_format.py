@@ -113,7 +113,8 @@ def masked_text(text: Column, spans: Column, t: Template = Template()) -> Column
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    cells = {"conv_id": F.lit(-1), "turn": F.col("id"), "role": F.when(F.col("id") == 0, "user").otherwise("assistant"), "text": F.lit(said)}
+    own = spark.range(2).select(*[cells[f.name].cast(f.dataType).alias(f.name) for f in rows.schema])
     out = formatted(rows.unionByName(own))
     turns = F.array_join(F.transform(parsed(F.col("formatted")), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = masked_text(F.col("formatted"), F.col("loss_spans"))
