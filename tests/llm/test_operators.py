@@ -505,6 +505,42 @@ def test_pipeline(spark, sf_dir):
     assert sorted(map(str, last.collect())) == sorted(map(str, p.run(spark, sf_dir).collect()))
 
 
+def test_pipeline_stages_in_special_cases(spark, docs, empty, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    last = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    nothing = p.run(spark, str(tmp_path))  # each stage on an empty table
+    assert nothing.columns == last and nothing.count() == 0
+    order = lambda rows: sorted(map(str, rows))
+    blank = order(r for r in docs.collect() if not (r.text or "").split())
+    for name, stage in p.STAGES:
+        columns = docs.columns if name != p.STAGES[-1][0] else last
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        assert out.columns == columns, name
+        if name == "source_mix":
+            assert order(rows) == order(stage(spark, docs.repartition(3), str(tmp_path)).collect())
+        if name in ("line_dedup", "minhash_near_dedup"):
+            assert order(r for r in rows if not (r.text or "").split()) == blank, name
+        elif name == "quality_rules":
+            assert all((r.text or "").split() for r in rows)
+        elif name == "byte_bpe":
+            assert len(rows) == docs.count() and sum(r.n_tokens == 0 for r in rows) == docs.filter("coalesce(text, '') = ''").count()
+
+
+def test_mix_buckets_are_even(spark):
+    """Of documents of one weight no bucket gets more than 4 times its share, and the mix is the same for any number of them."""
+    for weight in (0.5, 1.0, 2.0):
+        rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("size"), F.lit(weight).alias("weight"), F.lit(0).cast("long").alias("tkey"))
+        rows = rows.union(rows.withColumn("source", F.lit("t")).filter("doc_id < 5000"))
+        took = {n: sorted((r.doc_id, r.source, r.times) for r in source_mix.takes(rows, buckets=n).collect()) for n in (1, 64)}
+        assert took[1] == took[64]
+        place = F.floor(F.sqrt(F.pow(source_mix.uniform(F.col("doc_id"), source_mix.SEED), 1.0 / F.col("weight"))) * 64)
+        assert max(r["count"] for r in rows.filter("source = 's'").groupBy(place).count().collect()) < 4.5 * 20000 / 64
+
+
 def test_pipeline_against_brute_force(spark, docs, tmp_path):
     """run() against plain Python up to the mix, and tiktoken after it. The mix is source_mix.mixed over brute force's rows."""
     import corpus_pipeline as p

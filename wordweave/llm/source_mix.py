@@ -7,9 +7,11 @@ documents in descending key order are a weighted sample without replacement of a
 those before the word budget are the sample. Whole epochs take each document once more; only
 the rest of the target is sampled.
 
-The order within a source is summed up in two levels: a key's place in [0, 1) names its
-bucket, bucket sums give each bucket's words before it, and only inside a bucket rows are
-sorted. No task sorts a source.
+The order within a source is summed up in two levels: the square root of a key, a place in
+[0, 1), names its bucket, bucket sums give each bucket's words before it, and only inside a
+bucket rows are sorted. No task sorts a source. Square roots are uniform for weight 0.5; no
+bucket gets more than twice its share of documents of weight 1, or 4 times of weight 2. Keys
+themselves would put a 32nd of weight 0.5 into the last of 1,024 buckets.
 
 Results in special cases: null text has size 0; a document of size 0 takes 0; sources whose
 words are 0 have target 0; null source is a source of its own, last in order; rows that repeat
@@ -74,7 +76,7 @@ def takes(rows: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int =
     """
     more = [c for c in _MORE if c in rows.columns]
     key = F.pow(uniform(F.col("doc_id"), seed), 1.0 / F.col("weight"))
-    rows = written(rows.select("doc_id", "source", "size", "tkey", *more, key.alias("key"), (F.lit(buckets - 1) - F.floor(key * buckets)).cast("int").alias("bucket")), "mix-keys")
+    rows = written(rows.select("doc_id", "source", "size", "tkey", *more, key.alias("key"), (F.lit(buckets - 1) - F.floor(F.sqrt(key) * buckets)).cast("int").alias("bucket")), "mix-keys")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     inside = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(inside), F.lit(0)).alias("start"))
