@@ -3,6 +3,17 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. run() writes each stage's result as Parquet in the shared folder and
 reads it again as the next stage's docs.
+
+Results in special cases: null and empty texts have no words, so the first stage drops them;
+by themselves, line dedup and near-dedup keep them as they are, the mix drops what takes no
+place in it, and encoding gives them no ids. A null doc_id is a document like others, smaller
+than any other. Rows that agree in doc_id and text are one document: lines and near copies are
+judged once for all of them, each stays or goes with the others, and the mix takes each row as
+often as its own place says. Of copies the least doc_id stays, of repeated lines those in the
+greatest. Texts of any length are judged, hashed and encoded whole. A null source is a source
+of its own; a document without a label weighs 1. More columns pass through whatever their
+names, but for the last stage, which returns doc_id and digests alone. An empty table passes as
+an empty one.
 """
 
 from __future__ import annotations
@@ -24,9 +35,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many documents stay in the last of them only; n_chars follows the text."""
+    """Lines of many documents stay in the last of them only; n_chars follows the text, but for a null one."""
     out = dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns) if "n_chars" in docs.columns else out
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
