@@ -54,6 +54,49 @@ def test_random_graphs(spark, seed):
         assert all(step in edges for step in zip(r.path or [], (r.path or [])[1:]))
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_paths_are_the_least_of_the_shortest(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(30)]
+    edges = sorted({(rng.choice(names), rng.choice(names)) for _ in range(90)})
+
+    def least(src, dst):
+        todo = [(src,)]
+        for _ in range(len(names)):
+            hit = sorted(p for p in todo if p[-1] == dst)
+            if hit:
+                return list(hit[0])
+            todo = [p + (d,) for p in todo for s, d in edges if s == p[-1] and d not in p]
+        return None
+
+    ask = [(i, rng.choice(names), rng.choice(names)) for i in range(40)]
+    ask = [a for a in ask if (bfs(edges, a[1]).get(a[2]) or 0) < 6]
+    got = {r.qid: r.path for r in paths.one_path(graph(spark, edges), spark.createDataFrame(ask, "qid long, src string, dst string")).collect()}
+    assert got == {i: least(s, d) if d in bfs(edges, s) else None for i, s, d in ask}
+
+
+def test_long_chain_has_its_path(spark):
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(41)]
+    ask = spark.createDataFrame([(1, "c00", "c40"), (2, "c05", "c05"), (3, "c40", "c00"), (4, "c39", "c41")], "qid long, src string, dst string")
+    got = {r.qid: r.path for r in paths.one_path(graph(spark, chain), ask).collect()}
+    assert got == {1: [f"c{i:02d}" for i in range(41)], 2: ["c05"], 3: None, 4: ["c39", "c40", "c41"]}
+
+
+def test_one_sided_search(spark):
+    rng = random.Random(7)
+    names = [f"n{i}" for i in range(25)]
+    edges = sorted({(rng.choice(names), rng.choice(names)) for _ in range(45)})
+    ask = [(i, rng.choice(names), rng.choice(names)) for i in range(40)]
+    q = spark.createDataFrame(ask, "qid long, src string, dst string")
+    got = {r.qid: (r.hops, r.status) for r in paths.hops(graph(spark, edges), q, cap=8, both_sides=False).collect()}
+    for i, s, d in ask:
+        far = bfs(edges, s)
+        stop = next((k for k in range(1, 30) if sum(x <= k for x in far.values()) > 8 and k in far.values()), None)
+        n = far.get(d)
+        want = (n, "ok") if n is not None and (stop is None or n <= stop) else (None, "capped" if stop is not None else "nolink")
+        assert got[i] == want
+
+
 def test_components(spark):
     e = graph(spark, HAND)
     strong = {r.node: r.component for r in metrics.strong_components(e).collect()}

@@ -80,8 +80,18 @@ def mentions(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 nodes_of, surfaces_of = nodes, surfaces
 
 
-def usable(edges_: DataFrame, nodes_: DataFrame, config_id: int) -> DataFrame:
-    """A config's edges between nodes (key, ok) that aren't rejected; unknown ones count as good."""
-    good = nodes_.filter(~F.col("ok").eqNullSafe(False)).select("key")
-    own = edges_.filter(F.col("config_id") == config_id)
-    return own.join(good.withColumnRenamed("key", "src"), "src", "left_semi").join(good.withColumnRenamed("key", "dst"), "dst", "left_semi").select("src", "dst", "rank")
+def with_flags(edges_: DataFrame, nodes_: DataFrame) -> DataFrame:
+    """edges with src_ok and dst_ok, the flags of their ends among nodes (key, ok): joined once, when edges are stored, so that no reader has to. An end that is no node drops its edge."""
+    flag = lambda end: nodes_.select(F.col("key").alias(end), F.col("ok").alias(f"{end}_ok"))
+    return edges_.join(flag("src"), "src").join(flag("dst"), "dst")
+
+
+def of_config(edges_: DataFrame, config_id: int) -> DataFrame:
+    """(src, dst, rank) of one config's edges; stored by config, only its folder is read."""
+    return edges_.filter(F.col("config_id") == config_id).select("src", "dst", "rank")
+
+
+def usable(edges_: DataFrame, config_id: int) -> DataFrame:
+    """(src, dst, rank) of a config's edges (.., src_ok, dst_ok) between nodes that aren't rejected; unknown ones count as good."""
+    good = ~F.col("src_ok").eqNullSafe(False) & ~F.col("dst_ok").eqNullSafe(False)
+    return of_config(edges_.filter(good), config_id)

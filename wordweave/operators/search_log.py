@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordweave.functions.text import norm, tier
+from wordweave.operators.keyed import KeyedTable
 from wordweave.operators.paths import hops as shortest
+from wordweave.session import written
 
 #: Pairs that are looked at again for the open and one-way lists; candidates of the English list; gap of a pair without a way back; threshold without a sample.
 SCAN, CANDIDATES, NO_WAY_BACK, DEFAULT_FAR = 40, 300, 99, 6
@@ -66,37 +68,74 @@ def live_words(log: DataFrame, limit: int = 18) -> DataFrame:
     return words.orderBy(F.desc("last")).limit(limit).select("a", "c")
 
 
-def _resolved(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    """rows with k<column>: the key of the node whose word it is in any case, null if none."""
-    by_word = nodes.groupBy(F.lower("word").alias(f"_{column}")).agg(F.min("key").alias(f"k{column}"))
-    return rows.withColumn(f"_{column}", F.lower(F.trim(column))).join(by_word, f"_{column}", "left").drop(f"_{column}")
+def folded(nodes: DataFrame) -> DataFrame:
+    """(folded, key) of nodes (word, key): the key that a word has in any case, the least of several. What a word index holds."""
+    return nodes.groupBy(F.lower("word").alias("folded")).agg(F.min("key").alias("key"))
 
 
-def still_open(log: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = SCAN) -> DataFrame:
-    """The most asked pairs without a path, SCAN of them, less those that have one by now. Words that are no nodes stay open."""
+def resolved(rows: DataFrame, words: KeyedTable, *columns: str) -> DataFrame:
+    """rows with k<column>: the key of the node whose word it is in any case, null if none. Only the index's folders that the words fall in are read."""
+    rows = written(rows, "asked")
+    asked = rows.select(F.explode(F.array(*[F.lower(F.trim(c)) for c in columns])).alias("folded")).distinct()
+    known = written(words.lookup(asked), "known")
+    for c in columns:
+        own = known.select(F.col("folded").alias(f"_{c}"), F.col("key").alias(f"k{c}"))
+        rows = rows.withColumn(f"_{c}", F.lower(F.trim(c))).join(own, f"_{c}", "left").drop(f"_{c}")
+    return rows
+
+
+def open_pairs(log: DataFrame, words: KeyedTable) -> DataFrame:
+    """(a, b, c, last, ka, kb): the SCAN most asked pairs without a path, with their nodes."""
     asked = pairs(log.filter("kind = 'path' and status <> 'ok'")).orderBy(F.desc("c"), F.desc("last")).limit(SCAN)
-    known = _resolved(_resolved(asked, nodes, "a"), nodes, "b")
-    way = shortest(edges, known.filter("ka is not null and kb is not null").select(F.col("last").alias("qid"), F.col("ka").alias("src"), F.col("kb").alias("dst"))).filter("status = 'ok'")
-    rest = known.join(way.select(F.col("qid").alias("last")), "last", "left_anti")
-    return rest.orderBy(F.desc("c"), F.desc("last")).limit(limit).select("a", "b", "c")
+    return written(resolved(asked, words, "a", "b"), "open-pairs")
 
 
-def one_way(log: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = SCAN) -> DataFrame:
-    """Of the SCAN newest solved pairs, each unordered pair once, those whose way back is 2 hops longer or missing."""
+def recent_pairs(log: DataFrame, words: KeyedTable) -> DataFrame:
+    """(a, b, last, ka, kb): of the SCAN newest solved pairs each unordered pair once, if both ends are nodes."""
     newest = pairs(solved(log)).orderBy(F.desc("last")).limit(SCAN)
     unordered = Window.partitionBy(F.least(F.lower("a"), F.lower("b")), F.greatest(F.lower("a"), F.lower("b"))).orderBy(F.desc("last"))
     once = newest.withColumn("n", F.row_number().over(unordered)).filter("n = 1")
-    known = _resolved(_resolved(once, nodes, "a"), nodes, "b").filter("ka is not null and kb is not null")
-    there = known.select(F.concat(F.lit("f"), "last").alias("qid"), F.col("ka").alias("src"), F.col("kb").alias("dst"))
-    back = known.select(F.concat(F.lit("b"), "last").alias("qid"), F.col("kb").alias("src"), F.col("ka").alias("dst"))
-    ways = shortest(edges, there.union(back)).select("qid", "hops")
-    f = ways.filter("qid like 'f%'").select(F.substring("qid", 2, 20).cast("long").alias("last"), F.col("hops").alias("fwd"))
-    b = ways.filter("qid like 'b%'").select(F.substring("qid", 2, 20).cast("long").alias("last"), F.col("hops").alias("back"))
+    return written(resolved(once, words, "a", "b").filter("ka is not null and kb is not null"), "recent-pairs")
+
+
+def requests(pairs_: DataFrame, kind: str, back: bool = False) -> DataFrame:
+    """Pairs (last, ka, kb) as requests (qid, src, dst) of a kind, to be searched with others in one batch."""
+    src, dst = ("kb", "ka") if back else ("ka", "kb")
+    known = pairs_.filter("ka is not null and kb is not null")
+    return known.select(F.concat(F.lit(f"{kind}:"), F.col("last").cast("string")).alias("qid"), F.col(src).alias("src"), F.col(dst).alias("dst"))
+
+
+def answers(ways: DataFrame, kind: str, name: str) -> DataFrame:
+    """(last, <name>) of the searched pairs (qid, hops) of a kind."""
+    own = ways.filter(F.col("qid").startswith(f"{kind}:"))
+    return own.select(F.substring("qid", len(kind) + 2, 20).cast("long").alias("last"), F.col("hops").alias(name))
+
+
+def open_list(asked: DataFrame, ways: DataFrame, limit: int = SCAN) -> DataFrame:
+    """open_pairs() less those that have a path by now (`open` among ways). Words that are no nodes stay open."""
+    rest = asked.join(answers(ways, "open", "hops").filter("hops is not null"), "last", "left_anti")
+    return rest.orderBy(F.desc("c"), F.desc("last")).limit(limit).select("a", "b", "c")
+
+
+def one_way_list(recent_: DataFrame, ways: DataFrame, limit: int = SCAN) -> DataFrame:
+    """recent_pairs() whose way back (`back` among ways) is 2 hops longer than the way there, or missing."""
     gap = F.when(F.col("back").isNull(), NO_WAY_BACK).otherwise(F.col("back") - F.col("fwd"))
-    rows = known.join(f, "last").join(b, "last").filter("fwd is not null").withColumn("gap", gap).filter("gap >= 2")
+    rows = recent_.join(answers(ways, "there", "fwd"), "last").join(answers(ways, "back", "back"), "last").filter("fwd is not null").withColumn("gap", gap).filter("gap >= 2")
     return rows.orderBy(F.desc("gap"), "fwd", F.desc("last")).limit(limit).select("a", "b", "fwd", "back", "gap")
 
 
+def still_open(log: DataFrame, words: KeyedTable, edges: DataFrame, limit: int = SCAN) -> DataFrame:
+    """The most asked pairs without a path, SCAN of them, less those that have one by now."""
+    asked = open_pairs(log, words)
+    return open_list(asked, shortest(edges, requests(asked, "open")), limit)
+
+
+def one_way(log: DataFrame, words: KeyedTable, edges: DataFrame, limit: int = SCAN) -> DataFrame:
+    """Of the SCAN newest solved pairs those whose way back is 2 hops longer or missing; ways there and back are one search."""
+    newest = recent_pairs(log, words)
+    return one_way_list(newest, shortest(edges, requests(newest, "there").union(requests(newest, "back", True))), limit)
+
+
 def distribution(sample: DataFrame) -> DataFrame:
     """(hops, pairs, share) of solved pairs of a sample: share has at least so many hops."""
     counts = sample.filter("hops is not null").groupBy("hops").agg(F.count(F.lit(1)).alias("pairs"))
@@ -120,14 +159,14 @@ def with_rarity(rows: DataFrame, dist: DataFrame) -> DataFrame:
     return joined.withColumn("rarity", rarity).withColumn("tier", tier(F.col("rarity"))).drop("_d")
 
 
-def solve(requests: DataFrame, nodes: DataFrame, responses: DataFrame, edges: DataFrame, records: DataFrame, dist: DataFrame, valid: Column) -> DataFrame:
-    """requests (qid, a, b, ok_a, ok_b) answered: status badword, unseen, nolink or ok, in this order; hops, rarity, tier, prev and whether it is a record.
+def solve(asked_for: DataFrame, words: KeyedTable, responses: DataFrame, edges: DataFrame, records: DataFrame, dist: DataFrame, valid: Column) -> DataFrame:
+    """asked_for (qid, a, b, ok_a, ok_b) answered: status badword, unseen, nolink or ok, in this order; hops, rarity, tier, prev and whether it is a record.
 
     responses: (word) that have one. ok_a, ok_b: whether a word may be asked for; `valid` says both are.
     """
     has = responses.select(F.lower("word").alias("w")).distinct().withColumn("has", F.lit(True))
-    r = requests.join(has.select(F.col("w").alias("wa"), F.col("has").alias("has_a")), F.lower("a") == F.col("wa"), "left").drop("wa").join(has.select(F.col("w").alias("wb"), F.col("has").alias("has_b")), F.lower("b") == F.col("wb"), "left").drop("wb")
-    r = _resolved(_resolved(r.fillna(False, ["has_a", "has_b"]), nodes, "a"), nodes, "b")
+    r = asked_for.join(has.select(F.col("w").alias("wa"), F.col("has").alias("has_a")), F.lower("a") == F.col("wa"), "left").drop("wa").join(has.select(F.col("w").alias("wb"), F.col("has").alias("has_b")), F.lower("b") == F.col("wb"), "left").drop("wb")
+    r = resolved(r.fillna(False, ["has_a", "has_b"]), words, "a", "b")
     asked = r.filter("has_a and has_b and ka is not null and kb is not null").select("qid", F.col("ka").alias("src"), F.col("kb").alias("dst"))
     r = r.join(shortest(edges, asked).select("qid", "hops", F.col("status").alias("way")), "qid", "left")
     bad = (~F.col("ok_a") & ~F.col("has_a")) | (~F.col("ok_b") & ~F.col("has_b"))

@@ -132,7 +132,11 @@ rec AS (SELECT count(*) AS m, coalesce(avg(CASE WHEN b.src IS NOT NULL THEN 1.0
       round((SELECT r FROM rec), 6) AS reciprocity, round((SELECT s FROM loc) / (SELECT count(*) FROM v), 6) AS clustering, (SELECT max(n) FROM wcc) AS largest_wcc, round((SELECT max(n) FROM wcc) / (SELECT count(*) FROM v), 6) AS wcc_ratio"""
 )
 def graph_full_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = metrics.full_stats(edges(spark, sf_dir))
+    return graph_stats(edges(spark, sf_dir))
+
+
+def graph_stats(e: DataFrame) -> DataFrame:
+    stats = metrics.full_stats(e)
     return stats.select("nodes", "edges", "expanded_nodes", "frontier_nodes", F.round("mean_in_degree", 6).alias("mean_in_degree"), "max_in_degree", F.round("reciprocity", 6).alias("reciprocity"), F.round("clustering", 6).alias("clustering"), "largest_wcc", F.round("wcc_ratio", 6).alias("wcc_ratio"))
 
 
@@ -190,12 +194,34 @@ def path_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.hops(both, paths.sampled_pairs(e, 20)).withColumn("qid", F.col("qid").cast("long"))
 
 
-@query(f"{_sampled(30)} SELECT qid, src, dst, (hops + 1)::INT AS words FROM solved")
+@query(
+    f"""{_sampled(30)}, near AS (SELECT qid, node, min(d) AS d FROM walk GROUP BY ALL), on_way(qid, node, d) AS (SELECT qid, dst, hops FROM solved WHERE hops IS NOT NULL
+      UNION SELECT w.qid, n.node, n.d FROM on_way w JOIN core ON core.dst = w.node JOIN near n ON n.qid = w.qid AND n.node = core.src AND n.d = w.d - 1),
+    step AS (SELECT a.qid, a.node, a.d, min(b.node) AS next FROM on_way a JOIN core ON core.src = a.node JOIN on_way b ON b.qid = a.qid AND b.node = core.dst AND b.d = a.d + 1 GROUP BY ALL),
+    way(qid, node, d, path) AS (SELECT qid, src, 0, src FROM solved WHERE hops IS NOT NULL UNION ALL SELECT w.qid, s.next, w.d + 1, w.path || ' > ' || s.next FROM way w JOIN step s ON s.qid = w.qid AND s.node = w.node AND s.d = w.d)
+    SELECT qid, src, s.dst, path FROM solved s LEFT JOIN way w USING (qid) WHERE hops IS NULL OR w.d = hops"""
+)
 def path_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of canonical paths, which are walked; tests check their every hop."""
+    """The shortest paths themselves: of several the least by its words in order."""
+    found = paths.one_path(edges(spark, sf_dir), paths.sampled_pairs(edges(spark, sf_dir), 30))
+    return found.select(F.col("qid").cast("long").alias("qid"), "src", "dst", F.array_join("path", " > ").alias("path"))
+
+
+_CAP = 300
+
+
+@query(
+    f"""{WITH}, {_SAMPLE.format(n=40)},
+    walk AS (SELECT qid, src AS node, 0 AS d FROM pairs UNION SELECT qid, edges.dst, d + 1 FROM walk JOIN edges ON edges.src = node WHERE d < 6),
+    near AS (SELECT qid, node, min(d) AS d FROM walk GROUP BY ALL),
+    seen AS (SELECT qid, d, sum(c) OVER (PARTITION BY qid ORDER BY d) AS n FROM (SELECT qid, d, count(*) AS c FROM near GROUP BY qid, d)),
+    s AS (SELECT p.qid, p.src, p.dst, (SELECT min(d) FROM near w WHERE w.qid = p.qid AND w.node = p.dst)::INT AS hops, (SELECT min(d) FROM seen WHERE seen.qid = p.qid AND n > {_CAP} AND d > 0) AS stop FROM pairs p)
+    SELECT qid, src, dst, CASE WHEN stop IS NULL OR hops <= stop THEN hops END AS hops, CASE WHEN hops <= coalesce(stop, hops) THEN 'ok' WHEN stop IS NOT NULL THEN 'capped' ELSE 'nolink' END AS status FROM s"""
+)
+def path_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches from the sources alone, given up between levels once they have seen more than so many nodes."""
     e = edges(spark, sf_dir)
-    found = paths.one_path(e, paths.sampled_pairs(e, 30))
-    return found.select(F.col("qid").cast("long").alias("qid"), "src", "dst", F.when(F.col("path").isNotNull(), F.size("path")).alias("words"))
+    return paths.hops(e, paths.sampled_pairs(e, 40), cap=_CAP, both_sides=False).withColumn("qid", F.col("qid").cast("long"))
 
 
 @query(
@@ -362,7 +388,7 @@ cedges AS (SELECT config_id, src, dst, min(rank) AS rank FROM (SELECT id, {NORM.
 @query(f"{WITH}, {_FLAGS}, {_BY_CONFIG}, good AS (SELECT key FROM flags WHERE ok IS DISTINCT FROM false) SELECT src, dst, rank::INT AS rank FROM cedges WHERE config_id = 1 AND src IN (SELECT key FROM good) AND dst IN (SELECT key FROM good)")
 def graph_usable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One config's edges whose ends aren't rejected, unknown ones included."""
-    return build.usable(config_edges(spark, sf_dir), flagged(nodes(spark, sf_dir)), 1)
+    return build.usable(config_edges(spark, sf_dir), 1)
 
 
 @query(
@@ -381,7 +407,7 @@ def graph_usable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def config_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every config that has edges."""
-    r = metrics.report(config_edges(spark, sf_dir))
+    r = metrics.report(config_edges(spark, sf_dir).select("config_id", "src", "dst"))
     return r.withColumns({c: F.round(c, 6) for c in ("mean_in_degree", "reciprocity")})
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordweave.functions.text import is_query, iso, norm
+from wordweave.functions.text import cache_key, is_query, iso, json_string, norm, tier
 from wordweave.operators import crawl, paths, search_log, store
+from wordweave.operators.keyed import KeyedTable
 from wordweave.plans import schemas, testbed
 from wordweave.plans.graph_queries import _DIST, _SAMPLE, _WALK, distribution
 from wordweave.plans.registry import GRAPH, HEADS, LOG, NORM, query
-from wordweave.session import written
+from wordweave.session import shared_dir, written
 from wordweave.sources.readers import table
 
 _PAIRS = "SELECT arg_max(a, id) AS a, arg_max(b, id) AS b, min(hops) AS h, count(*) AS c, max(id) AS last FROM log WHERE {0} GROUP BY lower(log.a), lower(log.b)"
@@ -78,7 +81,7 @@ _GPAIRS = "SELECT arg_max(a, id) AS a, arg_max(b, id) AS b, count(*) AS c, max(i
 )
 def log_still_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = testbed.edges(spark, sf_dir)
-    return search_log.still_open(testbed.graph_log(spark, sf_dir, e), testbed.nodes(spark, sf_dir), e)
+    return search_log.still_open(testbed.graph_log(spark, sf_dir, e), testbed.words(spark, sf_dir), e)
 
 
 @query(
@@ -90,7 +93,7 @@ def log_still_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def log_one_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = testbed.edges(spark, sf_dir)
-    return search_log.one_way(testbed.graph_log(spark, sf_dir, e), testbed.nodes(spark, sf_dir), e)
+    return search_log.one_way(testbed.graph_log(spark, sf_dir, e), testbed.words(spark, sf_dir), e)
 
 
 _REC = f"""recs AS (SELECT {NORM.format("a")} AS norm_a, {NORM.format("b")} AS norm_b, a, b, hops, id FROM log WHERE kind = 'path' AND status = 'ok')"""
@@ -101,18 +104,54 @@ def _records(log: DataFrame) -> DataFrame:
     return rows.select(norm(F.col("a")).alias("norm_a"), norm(F.col("b")).alias("norm_b"), "a", "b", "hops", F.col("id").cast("string").alias("finder"), "created_at")
 
 
-@query(
-    f"""WITH {LOG}, {_REC}, m AS (SELECT max(event_id) // 2 AS m FROM events),
-    r AS (SELECT norm_a, norm_b, a, b, hops, row_number() OVER (PARTITION BY norm_a, norm_b ORDER BY hops, id) AS i FROM recs) SELECT norm_a, norm_b, a, b, hops FROM r WHERE i = 1"""
-)
+RECORDS = "norm_a string, norm_b string, a string, b string, hops int, finder string, created_at timestamp"
+_BEST = "r AS (SELECT norm_a, norm_b, a, b, hops, row_number() OVER (PARTITION BY norm_a, norm_b ORDER BY hops, id) AS i FROM recs)"
+
+
+def records_table(spark: SparkSession, rows: DataFrame, buckets: int = 16) -> KeyedTable:
+    """A table of records, by pair, with the best of rows."""
+    out = KeyedTable(spark, f"{shared_dir(spark)}/keyed/records-{uuid.uuid4().hex}", RECORDS, schemas.KEYS["record"], buckets=buckets)
+    out.upsert(rows, "hops", "created_at")
+    return out
+
+
+@query(f"WITH {LOG}, {_REC}, {_BEST} SELECT norm_a, norm_b, a, b, hops FROM r WHERE i = 1")
 def store_upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the log's first half, then those of its second: only strictly fewer hops replace."""
+    """Records of the log's first half, then those of its second: only strictly fewer hops replace, and only folders in which one does are written."""
     log = testbed.log(spark, sf_dir)
     half = log.agg(F.max("id")).first()[0] // 2
-    none = _records(log).limit(0)
-    old = written(store.upsert_records(none, _records(log.filter(F.col("id") <= half))), "records")
-    return store.upsert_records(old, _records(store.newer_than(log, half))).select("norm_a", "norm_b", "a", "b", "hops")
+    kept = records_table(spark, _records(log.filter(F.col("id") <= half)))
+    kept.upsert(_records(store.newer_than(log, half)), "hops", "created_at")
+    return kept.rows().select("norm_a", "norm_b", "a", "b", "hops")
+
 
+_FEW = f"""{LOG}, {_REC}, {_BEST}, old AS (SELECT * FROM r WHERE i = 1),
+few AS (SELECT norm_a, norm_b, a, b, 0 AS hops FROM (SELECT * FROM old ORDER BY md5(norm_a || ' ' || norm_b), norm_a, norm_b LIMIT 3) UNION ALL SELECT 'new' || norm_a, norm_b, 'new' || a, b, 7 FROM (SELECT * FROM old ORDER BY norm_a, norm_b LIMIT 1)
+  UNION ALL SELECT norm_a, norm_b, 'slower', b, 99 FROM old)"""
+
+
+def upsert_few(spark: SparkSession, sf_dir: str) -> tuple[KeyedTable, list[int]]:
+    """All records stored, then three pairs beaten, one new one, and a claim for every pair that beats none; the folders that were written anew."""
+    kept = records_table(spark, _records(testbed.log(spark, sf_dir)))
+    old = written(kept.rows(), "records")
+    three = old.orderBy(F.md5(F.concat_ws(" ", "norm_a", "norm_b")), "norm_a", "norm_b").limit(3).withColumn("hops", F.lit(0))
+    new = old.orderBy("norm_a", "norm_b").limit(1).withColumns({"norm_a": F.concat(F.lit("new"), "norm_a"), "a": F.concat(F.lit("new"), "a"), "hops": F.lit(7)})
+    slower = old.withColumns({"a": F.lit("slower"), "hops": F.lit(99)})
+    return kept, kept.upsert(three.union(new).union(slower), "hops", "created_at")
+
+
+@query(f"WITH {_FEW}, every AS (SELECT norm_a, norm_b, a, b, hops FROM old UNION ALL SELECT norm_a, norm_b, a, b, hops FROM few), n AS (SELECT *, row_number() OVER (PARTITION BY norm_a, norm_b ORDER BY hops) AS k FROM every) SELECT norm_a, norm_b, a, b, hops FROM n WHERE k = 1")
+def store_upsert_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records after a few of them were beaten."""
+    return upsert_few(spark, sf_dir)[0].rows().select("norm_a", "norm_b", "a", "b", "hops")
+
+
+@query(f"WITH {_FEW}, asked AS (SELECT norm_a, norm_b FROM few WHERE hops < 99) SELECT f.norm_a, f.norm_b, f.a, f.b, f.hops FROM few f WHERE hops < 99")
+def store_lookup_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beaten records alone, looked up by their keys in their folders."""
+    kept, _ = upsert_few(spark, sf_dir)
+    beaten = written(kept.rows().filter("hops = 0 or norm_a like 'new%'").select("norm_a", "norm_b"), "asked")
+    return kept.lookup(beaten).select("norm_a", "norm_b", "a", "b", "hops")
 
 
 @query(
@@ -131,14 +170,12 @@ def path_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = p.withColumns({"ok_a": is_query(F.col("a")), "ok_b": is_query(F.col("b"))})
     responses = n.join(e.select(F.col("src").alias("key")).distinct(), "key", "left_semi").select("word")
     records = p.filter("qid % 2 = 0 and qid < 1000").select(norm(F.col("a")).alias("norm_a"), norm(F.col("b")).alias("norm_b"), F.lit(3).alias("hops"))
-    out = search_log.solve(asked, n, responses, e, records, distribution(spark, sf_dir, e), F.lit(True))
+    out = search_log.solve(asked, testbed.words(spark, sf_dir), responses, e, records, distribution(spark, sf_dir, e), F.lit(True))
     return out.withColumns({"rarity": F.round("rarity", 6), "record": F.coalesce("record", F.lit(False))}).drop("tier")
 
 
 @query("SELECT doc_id, quality / 20.0 + toxic / 50.0 AS rarity, CASE WHEN quality / 20.0 + toxic / 50.0 <= 0.01 THEN 'top1' WHEN quality / 20.0 + toxic / 50.0 <= 0.05 THEN 'top5' WHEN quality / 20.0 + toxic / 50.0 <= 0.10 THEN 'top10' ELSE 'typical' END AS tier FROM labels")
 def path_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordweave.functions.text import tier
-
     share = F.col("quality") / F.lit(20.0) + F.col("toxic") / F.lit(50.0)
     return table(spark, sf_dir, "labels").select("doc_id", share.alias("rarity"), tier(share).alias("tier"))
 
@@ -174,8 +211,6 @@ led AS (SELECT kind, cache_key, output, id FROM (SELECT *, row_number() OVER (PA
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wordweave.functions.text import cache_key, json_string
-
     c = table(spark, sf_dir, "conversations")
     users = c.filter("role = 'user'").select("conv_id", "turn", "text")
     answers = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
@@ -237,7 +272,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     held = p.filter("qid % 3 = 0").select(norm(F.col("a")).alias("norm_a"), norm(F.col("b")).alias("norm_b"), "a", "b", F.lit(3).alias("hops"), F.lit("someone").alias("finder"), F.lit("2020").alias("created_at"))
     names = p.select("qid", F.when(F.col("qid") % 5 != 0, F.concat(F.lit("  "), "a", F.lit(" who has a long name "))).otherwise("  ").alias("name"))
     dist = search_log.distribution(p.limit(0).select(F.lit(1).alias("hops")))
-    return search_log.solve(asked, n, responses, e, held, dist, F.lit(True)), names, held
+    return search_log.solve(asked, testbed.words(spark, sf_dir), responses, e, held, dist, F.lit(True)), names, held
 
 
 _CLAIMED = f"""WITH RECURSIVE {GRAPH}, {HEADS}, {_SAMPLE.format(n=40)}, {_WALK.format(e="core")},
@@ -294,10 +329,11 @@ def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings inserted where a text has none yet, then looked up, one of them in vain."""
     v = table(spark, sf_dir, "embeddings").select(F.lit("m").alias("model"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("text"), F.size("embedding").alias("dim"), F.col("embedding").alias("vec"))
     odd = F.substring("text", 2, 20).cast("long") % 2 == 1
-    old = v.filter(odd).withColumn("dim", F.lit(2))
-    after = store.insert_or_ignore(old, v, schemas.KEYS["embedding"], "dim")
+    kept = KeyedTable(spark, f"{shared_dir(spark)}/keyed/embeddings-{uuid.uuid4().hex}", "model string, text string, dim int, vec array<float>", schemas.KEYS["embedding"])
+    kept.insert(v.filter(odd).withColumn("dim", F.lit(2)), "dim")
+    kept.insert(v, "dim")
     asked = v.select("model", "text").union(spark.createDataFrame([("m", "unknown")], "model string, text string"))
-    return store.found(asked, after, schemas.KEYS["embedding"]).select("text", "dim")
+    return store.found(asked, kept.lookup(asked), schemas.KEYS["embedding"]).select("text", "dim")
 
 
 _PAGE = f"""{_GLOG}, {_SAMPLE.format(n=150)}, {_WALK.format(e="core")}, {_DIST},
@@ -335,7 +371,12 @@ def front_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     row = lambda df, name, value, b="b": df.select(F.lit(name).alias("list"), "a", (F.col(b) if b else none).alias("b"), F.col(value).cast("long").alias("n"))
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("list"), none.alias("a"), none.alias("b"), "n")
-    far = search_log.far_beyond(log, search_log.far_threshold(distribution(spark, sf_dir, e)), 20)
+    words = testbed.words(spark, sf_dir)
+    asked, newest = search_log.open_pairs(log, words), search_log.recent_pairs(log, words)
+    sample = paths.sampled_pairs(e).select(F.concat(F.lit("sample:"), F.col("qid").cast("string")).alias("qid"), "src", "dst")
+    every = sample.union(search_log.requests(asked, "open")).union(search_log.requests(newest, "there")).union(search_log.requests(newest, "back", True))
+    ways = written(paths.hops(e, every), "ways")  # one search for the three lists that need one
+    far = search_log.far_beyond(log, search_log.far_threshold(search_log.distribution(search_log.answers(ways, "sample", "hops"))), 20)
     parts = [
         count(e.select("src").distinct(), "thrown"),
         count(n, "nodes"),
@@ -346,8 +387,8 @@ def front_page(spark: SparkSession, sf_dir: str) -> DataFrame:
         row(search_log.shared(log, 5), "shared", "c"),
         row(search_log.recent(log, 5), "recent", "h"),
         row(search_log.live_words(log), "live", "c", ""),
-        row(search_log.one_way(log, n, e, 5), "oneway", "gap"),
-        row(search_log.still_open(log, n, e, 5), "open", "c"),
+        row(search_log.one_way_list(newest, ways, 5), "oneway", "gap"),
+        row(search_log.open_list(asked, ways, 5), "open", "c"),
     ]
     out = parts[0]
     for p in parts[1:]:

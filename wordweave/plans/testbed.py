@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordweave.functions.arrays import bound, starts
-from wordweave.operators import build
-from wordweave.session import stored
+from wordweave.operators import build, search_log
+from wordweave.operators.keyed import KeyedTable
+from wordweave.session import shared_dir, stored, stored_path
 from wordweave.sources.readers import table
 
 
@@ -31,13 +34,43 @@ def flagged(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("ok", F.when(h == "0", False).when(h != "1", True))
 
 
+WORDS = "folded string, key string"
+
+
+def words(spark: SparkSession, sf_dir: str) -> KeyedTable:
+    """The stored index from a word in any case to its node's key, in folders by the folded word."""
+
+    def build_() -> DataFrame:
+        layout = KeyedTable(spark, f"{shared_dir(spark)}/stored/layout", WORDS, ["folded"])
+        return layout.dealt(search_log.folded(nodes(spark, sf_dir))).repartition("bucket").sortWithinPartitions("bucket", "folded")
+
+    return KeyedTable(spark, stored_path(spark, "words", [f"{sf_dir}/documents.parquet"], build_, by=["bucket"]), WORDS, ["folded"])
+
+
+def config_id(lang: Column) -> Column:
+    """Each language's texts are a config of their own."""
+    return F.when(lang == "en", 0).when(lang == "fr", 1).when(lang == "de", 2).otherwise(9)
+
+
 def config_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(config_id, src, dst, rank): the texts of each language as a config of their own."""
-    lang = F.col("lang")
-    docs = table(spark, sf_dir, "documents")
-    ids = docs.select("doc_id", F.when(lang == "en", 0).when(lang == "fr", 1).when(lang == "de", 2).otherwise(9).alias("config_id"))
-    own = build.document_texts(docs).join(ids.withColumnRenamed("doc_id", "id"), "id")
-    return build.edges(own, by=["config_id"])
+    """The stored edges (config_id, src, dst, rank, src_ok, dst_ok) of all configs, in folders by config; the flags of both ends were joined when they were written."""
+
+    def build_() -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        own = build.document_texts(docs).join(docs.select(F.col("doc_id").alias("id"), config_id(F.col("lang")).alias("config_id")), "id")
+        return build.with_flags(build.edges(own, by=["config_id"]), flagged(nodes(spark, sf_dir))).repartition("config_id", F.pmod(F.xxhash64("src"), F.lit(8)))
+
+    return stored(spark, "config-edges", [f"{sf_dir}/documents.parquet"], build_, by=["config_id"])
+
+
+def in_files(df: DataFrame, order: str, n: int) -> str:
+    """df as n Parquet files at a path of its own, by ranges of a column, one written after the other: a stream of several batches."""
+    path = f"{shared_dir(df.sparkSession)}/sources/{uuid.uuid4().hex}"
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.floor((F.col(order) - lo) * n / (hi - lo + 1)), F.lit(n - 1)) if hi is not None else F.lit(0)
+    for i in range(n):
+        df.filter(part == i).coalesce(1).write.parquet(f"{path}/part-{i:03d}.parquet")
+    return path
 
 
 def capital_tags(text: Column) -> Column:

@@ -66,11 +66,24 @@ def released(*tables: DataFrame | None) -> None:
             fs.delete(at, True)
 
 
-def stored(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that is built once for its source paths as they are, in the shared folder, and read from then on.
+def made(spark: SparkSession, path: str) -> None:
+    """Makes a folder where there is none."""
+    at, fs = _path(spark, path)
+    fs.mkdirs(at)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
+def stored_path(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame], by: Sequence[str] = ()) -> str:
+    """Where a table lies that is built once for its source paths as they are, in the shared folder; in folders by the columns `by`.
 
     The names, sizes and times of the sources' files are part of its path, so changed sources
-    give another table; one whose write didn't end is built again.
+    give another table. It is written aside and then renamed: one whose write didn't end is built
+    again, and of two sessions that build at once the first one's table stays.
     """
     seen = []
     for source in sources:
@@ -78,7 +91,16 @@ def stored(spark: SparkSession, name: str, sources: Sequence[str], build: Callab
         files = fs.listStatus(at)
         seen += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
     path = f"{shared_dir(spark)}/stored/{name}-{hashlib.sha1(chr(10).join(seen).encode()).hexdigest()}"
-    done, fs = _path(spark, f"{path}/_SUCCESS")
-    if not fs.exists(done):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    there, fs = _path(spark, path)
+    if not fs.exists(there):
+        aside = f"{path}.{uuid.uuid4().hex}"
+        writer = build().write
+        (writer.partitionBy(*by) if by else writer).parquet(aside)
+        if not fs.rename(_path(spark, aside)[0], there):
+            deleted(spark, aside)
+    return path
+
+
+def stored(spark: SparkSession, name: str, sources: Sequence[str], build: Callable[[], DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """The table at stored_path(), which is read from then on."""
+    return spark.read.parquet(stored_path(spark, name, sources, build, by))
