@@ -122,3 +122,18 @@ def test_empty_graph(spark):
     assert metrics.full_stats(e).first().nodes == 0
     assert paths.hops(e, spark.createDataFrame([(1, "a", "b")], "qid long, src string, dst string")).first().status == "nolink"
     assert paths.sampled_pairs(e).count() == 0
+
+
+@pytest.mark.parametrize("arcs", [3, 40, 10**6])
+def test_triangles_in_groups_of_any_number(spark, arcs):
+    rng = random.Random(11)
+    rows = sorted({(f"n{min(rng.randrange(30), rng.randrange(30))}", f"n{rng.randrange(30)}") for _ in range(160)})
+    near = {}
+    for a, b in rows:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {v: sum(y in near[x] for x in ns for y in ns) // 2 for v, ns in near.items()}
+    got = {r.node: (r.degree, r.triangles) for r in metrics.triangles(graph(spark, rows), arcs).collect()}
+    assert {v: (len(near[v]), t) for v, t in want.items()} == {v: x for v, x in got.items() if v in near}
+    assert sum(want.values()) > 100

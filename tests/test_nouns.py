@@ -82,3 +82,24 @@ def test_tagged_texts_to_neighbours(spark):
     assert got == {(1, "Miles Davis", 1), (1, "New York", 2), (3, "Miles Davis", 1), (3, "Davis", 2)}
     pairs = {(r.src, r.dst, r["rank"]) for r in build.edges(df, words=F.col("words")).collect()}
     assert pairs == {("jazz", "milesdavis", 1), ("jazz", "newyork", 2), ("y", "milesdavis", 1), ("y", "davis", 2)}
+
+
+def by_hand(lang):
+    """Tags as a tagger of each language would give them."""
+    rows = {
+        "재즈는 음악이다 SF": [(0, 2, "재즈", "재즈", "NNG", "", "", 0, False, False), (2, 1, "는", "는", "JX", "", "", 1, False, False), (4, 2, "음악", "음악", "NNG", "", "", 2, False, False), (9, 2, "SF", "SF", "SL", "", "", 3, False, False)],
+        "黑洞和王明吃光 ok": [(0, 2, "黑洞", "黑洞", "n", "", "", 0, False, False), (3, 2, "王明", "王明", "nr", "", "", 1, False, False), (6, 1, "光", "光", "n", "", "", 2, False, False), (8, 2, "ok", "ok", "eng", "", "", 3, False, False)],
+        "宇宙の音楽理論": [(0, 2, "宇宙", "宇宙", "", "NOUN", "nmod", 3, False, False), (2, 1, "の", "の", "", "ADP", "case", 0, False, False), (3, 2, "音楽", "音楽", "", "NOUN", "compound", 3, False, False), (5, 2, "理論", "理論", "", "NOUN", "root", 3, False, False)],
+        "The event horizons glow": [(0, 3, "The", "the", "", "DET", "det", 2, True, False), (4, 5, "event", "event", "", "NOUN", "compound", 2, False, False), (10, 8, "horizons", "horizon", "", "NOUN", "nsubj", 3, False, False), (19, 4, "glow", "glow", "", "VERB", "root", 3, False, False)],
+    }
+    return lambda texts: [rows.get(t, []) for t in texts]
+
+
+def test_lateral_join_with_a_tagger(spark):
+    spark.udtf.register("tagged_by_hand", nouns.tagger(by_hand))
+    texts = [(1, "재즈는 음악이다 SF", "ko"), (2, "黑洞和王明吃光 ok", "zh"), (3, "宇宙の音楽理論", "ja"), (4, "The event horizons glow", "en"), (5, "untagged", "en"), (6, None, "en")]
+    docs = spark.createDataFrame(texts, "id long, text string, lang string")
+    rows = spark.sql("SELECT d.id, t.* FROM {docs} d, LATERAL tagged_by_hand(d.text, d.lang) t", docs=docs)
+    spans = docs.join(nouns.gathered(rows, "id"), "id").select("id", nouns.words(nouns.noun_spans(F.col("text"), F.col("tags"), F.col("lang"))).alias("w"))
+    got = {r.id: r.w for r in spans.collect()}
+    assert got == {1: ["재즈", "음악", "SF"], 2: ["黑洞", "ok"], 3: ["宇宙", "音楽理論"], 4: ["event horizons"]}

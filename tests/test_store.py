@@ -122,7 +122,10 @@ def test_known_phrases_against_brute_force(spark):
                 last = e
         return out
 
-    rows = phrases.with_known(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(v,) for v in sorted(vocab)], "phrase string"))
-    got = {r.id: [s.word for s in r.spans] for r in rows.collect()}
-    assert got == {i: brute(t) for i, t in texts}
+    known = spark.createDataFrame([(v,) for v in sorted(vocab)] + [("¡not", ), (" a b",), ("x" * 61 + " y",)], "phrase string")
+    for most in (0, 1000):  # hashes go to the index, or the index to the texts
+        rows = phrases.with_known(spark.createDataFrame(texts, "id long, text string"), known, most)
+        got = {r.id: [s.word for s in r.spans] for r in rows.collect()}
+        assert got == {i: brute(t) for i, t in texts}
+    assert phrases.with_known(spark.createDataFrame(texts, "id long, text string"), known.limit(0)).count() == len(texts)
     assert any(" " in w for ws in got.values() for w in ws)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from wordweave.functions.arrays import blocks, bound, piece
@@ -44,6 +45,30 @@ def tagged(texts: DataFrame, load: Callable[[str], Callable[[list[str]], list[li
     return texts.mapInPandas(run, StructType([*texts.schema.fields, StructField("tags", _parse_datatype_string(TAGS))]))
 
 
+def tagger(load: Callable[[str], Callable[[list[str]], list[list[tuple]]]]):
+    """A table function (text, lang) -> rows of TAGS and their place `i`, for lateral joins; load is as for tagged(), and is called once by each worker and language.
+
+    spark.udtf.register("tagged", tagger(load)), then SELECT .. FROM docs, LATERAL tagged(text, lang).
+    """
+    name = f"{load.__module__}.{load.__qualname__}"
+
+    class Tagger:
+        def eval(self, text: str, lang: str):
+            if (name, lang) not in _LOADED:
+                _LOADED[name, lang] = load(lang)
+            for i, row in enumerate(_LOADED[name, lang]([text or ""])[0]):
+                yield (i, *row)
+
+    return udtf(Tagger, returnType=f"i int, {TAGS.removeprefix('array<struct<').removesuffix('>>').replace(':', ' ').replace(',', ', ')}")
+
+
+def gathered(tags: DataFrame, *by: str) -> DataFrame:
+    """Rows of a lateral join with a tagger as arrays again: (by .., tags) in their order."""
+    names = [f.name for f in _parse_datatype_string(TAGS).elementType.fields]
+    rows = tags.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", *names))).alias("rows"))
+    return rows.select(*by, F.transform("rows", lambda r: F.struct(*[r[n].alias(n) for n in names])).alias("tags"))
+
+
 def _span(t: Column, word: Column) -> Column:
     return F.struct(t["start"].alias("start"), (t["start"] + t["len"]).alias("end"), word.alias("word"))
 

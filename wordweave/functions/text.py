@@ -221,15 +221,19 @@ def tier(rarity: Column) -> Column:
     return F.when(rarity.isNull(), None).when(rarity <= 0.01, "top1").when(rarity <= 0.05, "top5").when(rarity <= 0.10, "top10").otherwise("typical")
 
 
-def snippet(text: Column, word: Column, pad: int = 140) -> Column:
-    """struct(before, match, after) around the first place of a word in a text, in any case; null if it isn't there."""
-    at = F.instr(F.lower(text), F.lower(word))
-    start, end = at - 1, at - 1 + F.length(word)
-    lo, hi = F.greatest(start - pad, F.lit(0)), F.least(F.length(text), end + pad)
-    cut = lambda a, b: F.substring(text, a + 1, b - a)
-    before = F.concat(F.when(lo > 0, "…").otherwise(""), cut(lo, start))
-    after = F.concat(cut(end, hi), F.when(hi < F.length(text), "…").otherwise(""))
-    return F.when(at > 0, F.struct(before.alias("before"), cut(start, end).alias("match"), after.alias("after")))
+def snippet(text: Column, word: Column, pad: int = 140, at: Column | None = None) -> Column:
+    """struct(before, match, after) around a word in a text: at the character `at`, counted from 1, if that is given and not null, else at its first place in any case; null if it isn't there."""
+    found = F.instr(F.lower(text), F.lower(word))
+
+    def around(at: Column) -> Column:
+        start, end = at - 1, at - 1 + F.length(word)
+        lo, hi = F.greatest(start - pad, F.lit(0)), F.least(F.length(text), end + pad)
+        cut = lambda a, b: F.substring(text, a + 1, b - a)
+        before = F.concat(F.when(lo > 0, "…").otherwise(""), cut(lo, start))
+        after = F.concat(cut(end, hi), F.when(hi < F.length(text), "…").otherwise(""))
+        return F.when(at > 0, F.struct(before.alias("before"), cut(start, end).alias("match"), after.alias("after")))
+
+    return bound(found if at is None else F.coalesce(at, found), around)
 
 
 def cosine(a: Column, b: Column) -> Column:

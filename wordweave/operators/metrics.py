@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordweave.operators.paths import core, undirected
-from wordweave.session import released, written
+from wordweave.session import released, ship, written
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -109,24 +113,71 @@ def largest(components: DataFrame) -> DataFrame:
     return components.groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("size"))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
+#: Arcs that one task holds, about.
+ARCS = 2_000_000
+#: Pairs of neighbours that are looked up at once.
+LOOKUPS = 1 << 21
+
+
+def _corners(table: pa.Table) -> pa.Table:
+    """(node, n): in how many triangles of one task's arcs (a, b) a node is, of those whose corners' groups are the task's three."""
+    ids, ends = np.unique(np.concatenate([table.column("a").to_numpy(), table.column("b").to_numpy()]), return_inverse=True)
+    group = np.zeros(len(ids), np.int64)
+    group[ends] = np.concatenate([table.column("ga").to_numpy(), table.column("gb").to_numpy()])
+    own = np.sort(np.array([table.column(c)[0].as_py() for c in ("x", "y", "z")]))
+    a, b = np.split(ends, 2)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    key = a * len(ids) + b  # sorted, and each arc is there once
+    first = np.searchsorted(a, np.arange(len(ids) + 1))
+    size = np.diff(first)
+    # An arc's third corner is looked for among the fewer out-neighbours of its ends, and looked up from the other end.
+    few = np.where(size[a] <= size[b], a, b)
+    far = a + b - few
+    total = np.zeros(len(ids), np.int64)
+    ahead = np.concatenate([[0], np.cumsum(size[few])])
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(ahead, ahead[lo] + LOOKUPS, "right")) - 1)
+        n = size[few[lo:hi]]
+        arc = np.repeat(np.arange(lo, hi), n)
+        third = b[first[few[arc]] + np.arange(len(arc)) - (ahead[lo:hi] - ahead[lo])[arc - lo]]
+        wanted = far[arc] * len(ids) + third
+        at = np.searchsorted(key, wanted)
+        hit = key[np.minimum(at, len(key) - 1)] == wanted
+        corners = np.stack([a[arc[hit]], b[arc[hit]], third[hit]])
+        corners = corners[:, (np.sort(group[corners], axis=0) == own[:, None]).all(0)]
+        total += np.bincount(corners.ravel(), minlength=len(ids))
+        lo = hi
+    there = np.flatnonzero(total)
+    return pa.table({"id": ids[there], "n": total[there]})
+
+
+def triangles(edges: DataFrame, arcs_per_task: int = ARCS) -> DataFrame:
     """(node, degree, triangles) of the undirected graph without loops; nodes with loops alone have degree 0.
 
-    Each edge points from its end of lower degree to the other, so no list of out-neighbours
-    is long, even a hub's; an edge's triangles are what its ends' lists have in common.
+    Each edge points from its end of lower degree to the other, so no node has many
+    out-neighbours, not even a hub. Nodes fall into k groups, and a task has the arcs among
+    three of them: every arc goes to k tasks, as two numbers, no list of neighbours to any, and
+    every triangle is counted in one. k grows with the root of the arcs, so that tasks don't.
     """
+    spark = ship(edges.sparkSession)
     pairs = edges.filter("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
     pairs = written(pairs, "tri-pairs")
-    degree = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "tri-degree")
-    ranked = pairs.join(degree.select(F.col("node").alias("u"), F.col("degree").alias("du")), "u").join(degree.select(F.col("node").alias("v"), F.col("degree").alias("dv")), "v")
-    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
-    arcs = written(ranked.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b")), "tri-arcs")
-    lists = written(arcs.groupBy("a").agg(F.collect_list("b").alias("out")), "tri-lists")
-    both = arcs.join(lists, "a").join(lists.select(F.col("a").alias("b"), F.col("out").alias("out_b")), "b")
-    common = both.select("a", "b", F.array_intersect("out", "out_b").alias("c")).filter(F.size("c") > 0)
-    corners = common.select(F.explode(F.concat(F.array(F.struct(F.col("a").alias("node"), F.size("c").alias("n")), F.struct(F.col("b").alias("node"), F.size("c").alias("n"))), F.transform("c", lambda x: F.struct(x.alias("node"), F.lit(1).alias("n"))))).alias("x"))
-    counts = corners.groupBy("x.node").agg(F.sum("x.n").alias("triangles"))
-    return vertices(edges).join(degree, "node", "left").join(counts, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("triangles", F.lit(0)).alias("triangles"))
+    degree = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    degree = written(degree.withColumn("id", F.monotonically_increasing_id()), "tri-degree")
+    k = max(2, math.isqrt(6 * pairs.count() // arcs_per_task) + 1)
+    end = lambda c: degree.select(F.col("node").alias(c), F.col("degree").alias(f"d{c}"), F.col("id").alias(f"i{c}"))
+    ranked = pairs.join(end("u"), "u").join(end("v"), "v")
+    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("iu") < F.col("iv")))
+    arcs = ranked.select(F.when(up, F.col("iu")).otherwise(F.col("iv")).alias("a"), F.when(up, F.col("iv")).otherwise(F.col("iu")).alias("b"))
+    grouped = arcs.withColumns({"ga": F.pmod(F.xxhash64("a"), F.lit(k)).cast("long"), "gb": F.pmod(F.xxhash64("b"), F.lit(k)).cast("long")})
+    dealt = grouped.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
+    trio = F.array_sort(F.array("ga", "gb", "g"))
+    dealt = dealt.select("a", "b", "ga", "gb", *[F.get(trio, i).alias(c) for i, c in enumerate("xyz")])
+    found = dealt.groupBy("x", "y", "z").applyInArrow(_corners, "id long, n long").groupBy("id").agg(F.sum("n").alias("triangles"))
+    counts = degree.join(found, "id", "left").select("node", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+    return vertices(edges).join(counts, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("triangles", F.lit(0)).alias("triangles"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
@@ -159,19 +210,35 @@ def full_stats(edges: DataFrame) -> DataFrame:
     return out.withColumn("wcc_ratio", F.when(F.col("nodes") > 0, F.col("largest_wcc") / F.col("nodes")).otherwise(0.0))
 
 
-def report(edges: DataFrame) -> DataFrame:
-    """(config_id, nodes, edges, expanded_nodes, frontier_nodes, mean_in_degree, max_in_degree, reciprocity, largest_wcc) of every config that edges (config_id, src, dst) has, all in one pass: configs are parts of one graph that share no node."""
+def report(edges: DataFrame, hubs_: int = 3) -> DataFrame:
+    """A row for every config that edges (config_id, src, dst) has: nodes, edges, expanded and frontier nodes, in-degrees, reciprocity, clustering, largest weak component and its share, the same of the core, and its hubs. All in one pass: configs are parts of one graph that share no node."""
     name = lambda c: F.concat(F.col("config_id").cast("string"), F.lit(" "), F.col(c))
+    of = F.substring_index("node", " ", 1).cast("long").alias("config_id")
     e = written(edges.select("config_id", name("src").alias("src"), name("dst").alias("dst")).distinct(), "report-edges")
     outs = e.groupBy("config_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outdeg"))
-    ins = e.groupBy("config_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indeg"))
+    ins = written(e.groupBy("config_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indeg")), "report-in")
     per = outs.join(ins, ["config_id", "node"], "full").fillna(0, ["outdeg", "indeg"])
     base = per.groupBy("config_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("outdeg") > 0).cast("long")).alias("expanded_nodes"), F.sum((F.col("outdeg") == 0).cast("long")).alias("frontier_nodes"), F.avg("indeg").alias("mean_in_degree"), F.max("indeg").alias("max_in_degree"))
-    back = e.select("config_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back")).filter("src <> dst")
-    mutual = e.join(back, ["config_id", "src", "dst"], "left").groupBy("config_id").agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum("back") / F.count(F.lit(1)), F.lit(0.0)).alias("reciprocity"))
-    parts = weak_components(e).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    wcc = parts.groupBy(F.substring_index("component", " ", 1).cast("long").alias("config_id")).agg(F.max("n").alias("largest_wcc"))
-    return base.join(mutual, "config_id").join(wcc.withColumn("config_id", F.col("config_id").cast(edges.schema["config_id"].dataType)), "config_id")
+
+    def mutual(rows: DataFrame, edges_name: str, ratio_name: str) -> DataFrame:
+        back = rows.select("config_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back")).filter("src <> dst")
+        return rows.join(back, ["config_id", "src", "dst"], "left").groupBy("config_id").agg(F.count(F.lit(1)).alias(edges_name), F.coalesce(F.sum("back") / F.count(F.lit(1)), F.lit(0.0)).alias(ratio_name))
+
+    def local(rows: DataFrame, out: str) -> DataFrame:
+        d = F.col("degree")
+        return triangles(rows).groupBy(of).agg(F.sum(F.when(d > 1, 2 * F.col("triangles") / (d * (d - 1))).otherwise(0.0)).alias(out))
+
+    inner = written(core(e).select("config_id", "src", "dst"), "report-core")
+    parts = weak_components(e).groupBy(F.col("component").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    wcc = parts.groupBy(of).agg(F.max("n").alias("largest_wcc"))
+    top = Window.partitionBy("config_id").orderBy(F.desc("indeg"), "node")
+    first = ins.withColumn("i", F.row_number().over(top)).filter(F.col("i") <= hubs_)
+    hub = first.groupBy("config_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda x: F.substring_index(x["node"], " ", -1)), " ").alias("hubs"))
+    out = base.join(mutual(e, "edges", "reciprocity"), "config_id").join(hub, "config_id")
+    for more in (wcc, local(e, "_local"), mutual(inner, "core_edges", "core_reciprocity"), local(inner, "_core")):
+        out = out.join(more.withColumn("config_id", F.col("config_id").cast(edges.schema["config_id"].dataType)), "config_id", "left")
+    n, k = F.col("nodes"), F.col("expanded_nodes")
+    return out.select("config_id", "nodes", "edges", "expanded_nodes", "frontier_nodes", "mean_in_degree", "max_in_degree", "reciprocity", (F.col("_local") / n).alias("clustering"), "largest_wcc", (F.col("largest_wcc") / n).alias("wcc_ratio"), F.coalesce("core_edges", F.lit(0)).alias("core_edges"), F.coalesce("core_reciprocity", F.lit(0.0)).alias("core_reciprocity"), (F.coalesce("_core", F.lit(0.0)) / k).alias("core_clustering"), "hubs")
 
 
 def core_stats(edges: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from wordweave.session import written
 LEAST, MOST = 4, 60
 #: Of the blocks that token starts are cut from.
 CUT = 1024
+#: Characters after its first token that a phrase is looked up by; phrases whose index is sent to all tasks (some 100 bytes each).
+BEYOND, BROADCAST = 4, 100_000
 
 
 def vocabulary(nodes: DataFrame) -> DataFrame:
@@ -42,26 +44,39 @@ def _greedy(ordered: Column) -> Column:
     return F.aggregate(bound(ordered, chunks), zero, more, lambda a: F.flatten(a["outs"]))
 
 
-def with_known(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+def index(phrases: DataFrame) -> DataFrame:
+    """(key, beyond, phrase) of phrases (phrase): an inverted index by the first token and `beyond` characters after it, BEYOND of them if there are so many. A phrase that doesn't begin with a token is at no token's start."""
+    first = F.length(F.regexp_extract("phrase", f"^(?:{TOKEN})", 0))
+    beyond = F.least(F.length("phrase") - first, F.lit(BEYOND))
+    known = phrases.filter(F.length("phrase").between(LEAST, MOST) & (first > 0))
+    return known.select(F.xxhash64(F.left("phrase", first + beyond)).alias("key"), beyond.alias("beyond"), "phrase").distinct()
+
+
+def with_known(texts: DataFrame, phrases: DataFrame, most: int = BROADCAST) -> DataFrame:
     """(id, spans) of texts (id, text): tokens, and at each token's start the longest known phrase; of what overlaps the earlier, then the longer stays.
 
-    Phrases are found by equi-joins, so the vocabulary may be of any size: token starts first
-    meet the beginnings of phrases, all cut to the shortest one's length; the cuts at those that
-    are left, of the lengths that there are, meet the phrases themselves.
+    A token's start is looked up by a hash of the token and a few characters after it, which a
+    phrase has to have there too. Of `most` phrases or fewer the index goes to the texts;
+    of more, the hashes go to the index. Only starts with a phrase come back to their text,
+    where the phrases are compared whole. Texts are shuffled once, without their spans.
     """
-    lengths = phrases.select(F.length("phrase").alias("n")).filter(F.col("n").between(LEAST, MOST)).distinct()
-    shortest = written(lengths, "phrase-lengths").agg(F.min("n")).first()[0] or LEAST
-    begins = phrases.filter(F.length("phrase").between(LEAST, MOST)).select(F.left("phrase", F.lit(shortest)).alias("begin")).distinct()
-    cut = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("s", spans(F.col("text")))
-    # Each token start with the MOST characters from there; the text itself isn't copied for each.
-    heads = bound(blocks(F.col("text"), CUT), lambda b: F.transform("s", lambda x: F.struct(x["start"].alias("start"), piece(b, x["start"], F.lit(MOST), CUT).alias("head"))))
-    starts_ = cut.select("id", F.explode(heads).alias("h")).select("id", "h.*", F.lower(F.left("h.head", F.lit(shortest))).alias("begin"))
-    starts_ = starts_.join(begins, "begin", "left_semi").withColumn("one", F.lit(1))
-    tried = starts_.join(F.broadcast(lengths.withColumn("one", F.lit(1))), "one").filter(F.col("n") <= F.length("head"))  # MOST - LEAST + 1 lengths at most
-    tried = tried.select("id", "start", (F.col("start") + F.col("n")).alias("end"), F.substring("head", F.lit(1), F.col("n")).alias("word"))
-    found = tried.withColumn("phrase", F.lower("word")).join(phrases, "phrase", "left_semi").groupBy("id", "start").agg(F.max_by(F.struct("start", "end", "word"), "end").alias("hit"))
-    hits = found.groupBy("id").agg(F.collect_list("hit").alias("hits"))
+    known = written(index(phrases), "phrase-index")
+    lengths = [r.beyond for r in known.select("beyond").distinct().collect()]  # BEYOND + 1 numbers at most
+    small = known.limit(most + 1).count() <= most
+    rows = texts.select("id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def keys(parts: Column) -> Column:
+        size = lambda s, n: s["end"] - s["start"] + n
+        at = lambda n: F.transform("s", lambda s: F.struct(s["start"].alias("start"), F.xxhash64(F.lower(piece(parts, s["start"], size(s, n), CUT))).alias("key")))
+        return F.concat(*[at(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<struct<start:int,key:bigint>>")
+
+    starts_ = rows.withColumn("s", spans(F.col("text"))).select("id", F.explode(bound(blocks(F.col("text"), CUT), keys)).alias("k")).select("id", "k.*")
+    listed = known.select("key", "phrase")
+    met = starts_.join(F.broadcast(listed) if small else listed, "key").groupBy("id").agg(F.collect_set(F.struct("start", "phrase")).alias("met"))
+    said = lambda p: F.transform("met", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["phrase"])).alias("end"), piece(p, m["start"], F.length(m["phrase"]), CUT).alias("word"), m["phrase"].alias("phrase")))
+    hits = F.filter(bound(blocks(F.col("text"), CUT), said), lambda h: F.lower(h["word"]) == h["phrase"])
     none = F.array().cast("array<struct<start:int,end:int,word:string>>")
-    every = cut.join(hits, "id", "left").select("id", F.concat("s", F.coalesce("hits", none)).alias("every"))
+    plain = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["word"].alias("word")))
+    every = rows.join(met, "id", "left").select("id", F.concat(spans(F.col("text")), F.coalesce(plain, none)).alias("every"))
     ordered = F.transform(F.array_sort(F.transform("every", lambda s: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("minus"), s["end"].alias("end"), s["word"].alias("word")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["word"].alias("word")))
     return every.select("id", _greedy(ordered).alias("spans"))

@@ -271,33 +271,45 @@ def path_filter_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "qid").agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(broken, F.lit(0)).alias("broken"), F.round(F.coalesce(F.avg(F.col("b") - F.col("a")), F.lit(0.0)), 6).alias("delta"))
 
 
-_CONFIGS = "cfg AS (SELECT * FROM (VALUES (0, 0, 'v7', 42), (1, 12, 'v6', 42), (2, 40, 'v6', -1), (3, 5, 'v5', 42)) c(id, k, prompt_version, seed)), ce AS (SELECT CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 9 END AS config_id, doc_id FROM documents)"
+_BY_CONFIG = f"""langs AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 9 END::INT AS config_id FROM documents),
+cedges AS MATERIALIZED (SELECT config_id, src, dst, min(rank) AS rank FROM (SELECT id, {NORM.format("head")} AS src, {NORM.format("low")} AS dst, rank FROM nb) JOIN langs USING (id) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL)"""
+_CONFIGS = "cfg AS (SELECT * FROM (VALUES (0, 0, 'v7', 42), (1, 12, 'v6', 42), (2, 40, 'v6', -1), (3, 5, 'v5', 42)) c(id, k, prompt_version, seed))"
 
 
 def _configs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, 0, "v7", 42), (1, 12, "v6", 42), (2, 40, "v6", -1), (3, 5, "v5", 42)], "id int, k int, prompt_version string, seed int")
 
 
-def _config_of(docs: DataFrame) -> DataFrame:
-    lang = F.col("lang")
-    return docs.select(F.when(lang == "en", 0).when(lang == "fr", 1).when(lang == "de", 2).otherwise(9).alias("config_id"), "doc_id")
-
-
-@query(f"WITH {_CONFIGS} SELECT cfg.id, k, prompt_version, seed, (SELECT count(*) FROM ce WHERE config_id = cfg.id) AS edges FROM cfg")
+@query(f"{WITH}, {_CONFIGS}, {_BY_CONFIG} SELECT cfg.id, k, prompt_version, seed, (SELECT count(*) FROM cedges WHERE config_id = cfg.id) AS edges FROM cfg")
 def config_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _config_of(table(spark, sf_dir, "documents")).groupBy(F.col("config_id").alias("id")).agg(F.count(F.lit(1)).alias("edges"))
+    """Configs with their stored edges, none counting 0."""
+    counts = config_edges(spark, sf_dir).groupBy(F.col("config_id").alias("id")).agg(F.count(F.lit(1)).alias("edges"))
     return _configs(spark).join(counts, "id", "left").select("id", "k", "prompt_version", "seed", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
-@query(f"WITH {_CONFIGS} SELECT config_id, count(*) AS edges FROM ce GROUP BY config_id ORDER BY edges DESC, config_id LIMIT 1")
+@query(f"{WITH}, {_BY_CONFIG} SELECT config_id, count(*) AS edges FROM cedges GROUP BY config_id ORDER BY edges DESC, config_id LIMIT 1")
 def config_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _config_of(table(spark, sf_dir, "documents")).groupBy("config_id").agg(F.count(F.lit(1)).alias("edges")).orderBy(F.desc("edges"), "config_id").limit(1)
+    """The config of most edges."""
+    return config_edges(spark, sf_dir).groupBy("config_id").agg(F.count(F.lit(1)).alias("edges")).orderBy(F.desc("edges"), "config_id").limit(1)
+
+
+@query(f"{WITH}, {_BY_CONFIG} SELECT src, dst, rank::INT AS rank FROM cedges WHERE config_id = 2")
+def config_edges_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One config's edges, from its folder alone."""
+    return build.of_config(config_edges(spark, sf_dir), 2)
 
 
-@query(f"WITH {_CONFIGS}, new AS (SELECT * FROM (VALUES (7, 'v8', 1), (12, 'v6', 42), (5, 'v9', 1)) n(k, prompt_version, seed)) SELECT id::BIGINT AS id, k, prompt_version, seed FROM cfg UNION ALL SELECT 3 + row_number() OVER (ORDER BY k, prompt_version), k, prompt_version, seed FROM new n WHERE NOT EXISTS (SELECT 1 FROM cfg c WHERE c.k = n.k AND c.prompt_version = n.prompt_version AND c.seed = n.seed)")
+_WANTED = "SELECT DISTINCT lang AS gen_model, source AS prompt_version, n_chars % 4 AS k FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL"
+
+
+@query(f"WITH old AS (SELECT *, row_number() OVER (ORDER BY gen_model, prompt_version, k) AS id FROM ({_WANTED} AND doc_id % 16 = 0)), new AS (SELECT n.*, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY gen_model, prompt_version, k) AS id FROM ({_WANTED}) n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.gen_model = n.gen_model AND o.prompt_version = n.prompt_version AND o.k = n.k)) SELECT id, gen_model, prompt_version, k FROM old UNION ALL SELECT id, gen_model, prompt_version, k FROM new")
 def config_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = spark.createDataFrame([(7, "v8", 1), (12, "v6", 42), (5, "v9", 1)], "k int, prompt_version string, seed int")
-    return store.with_ids(_configs(spark).withColumn("id", F.col("id").cast("long")), new, ["k", "prompt_version", "seed"], "k", "prompt_version")
+    """Configs that documents ask for: those of some of them are there, the others get the next ids."""
+    keys = ["gen_model", "prompt_version", "k"]
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("gen_model"), F.col("source").alias("prompt_version"), (F.col("n_chars") % 4).alias("k")).dropna()
+    none = docs.limit(0).select(*keys).withColumn("id", F.lit(0).cast("long"))
+    old = written(store.with_ids(none, docs.filter("doc_id % 16 = 0").select(*keys), keys, *keys), "configs")
+    return store.with_ids(old, docs.select(*keys), keys, *keys).select("id", *keys)
 
 
 @query(f"{WITH} SELECT count(DISTINCT node) AS nodes FROM (SELECT src AS node FROM core UNION SELECT dst FROM core)")
@@ -381,8 +393,6 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FLAGS = "flags AS (SELECT key, CASE left(md5(key), 1) WHEN '0' THEN false WHEN '1' THEN NULL ELSE true END AS ok FROM nodes)"
-_BY_CONFIG = f"""langs AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 9 END::INT AS config_id FROM documents),
-cedges AS (SELECT config_id, src, dst, min(rank) AS rank FROM (SELECT id, {NORM.format("head")} AS src, {NORM.format("low")} AS dst, rank FROM nb) JOIN langs USING (id) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL)"""
 
 
 @query(f"{WITH}, {_FLAGS}, {_BY_CONFIG}, good AS (SELECT key FROM flags WHERE ok IS DISTINCT FROM false) SELECT src, dst, rank::INT AS rank FROM cedges WHERE config_id = 1 AND src IN (SELECT key FROM good) AND dst IN (SELECT key FROM good)")
@@ -391,24 +401,38 @@ def graph_usable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.usable(config_edges(spark, sf_dir), 1)
 
 
+def _local(e: str, name: str) -> str:
+    """Sums of local clustering by config, of edges between names that begin with their config."""
+    return f"""u{name} AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM {e} WHERE src <> dst),
+    d{name} AS (SELECT node, count(*) AS d FROM (SELECT u AS node FROM u{name} UNION ALL SELECT v FROM u{name}) GROUP BY node),
+    t{name} AS (SELECT a.u AS x, a.v AS y, b.v AS z FROM u{name} a JOIN u{name} b ON a.v = b.u JOIN u{name} c ON c.u = a.u AND c.v = b.v),
+    n{name} AS (SELECT node, count(*) AS t FROM (SELECT x AS node FROM t{name} UNION ALL SELECT y FROM t{name} UNION ALL SELECT z FROM t{name}) GROUP BY node),
+    l{name} AS (SELECT split_part(node, ' ', 1)::INT AS config_id, sum(CASE WHEN d > 1 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END) AS s FROM d{name} LEFT JOIN n{name} USING (node) GROUP BY 1),
+    r{name} AS (SELECT a.config_id, count(*) AS m, avg(CASE WHEN b.src IS NULL THEN 0.0 ELSE 1 END) AS r FROM {e} a LEFT JOIN {e} b ON a.src = b.dst AND a.dst = b.src AND a.src <> a.dst GROUP BY a.config_id)"""
+
+
 @query(
     f"""{WITH}, {_BY_CONFIG},
-    e AS (SELECT config_id, config_id || ' ' || src AS src, config_id || ' ' || dst AS dst FROM cedges),
+    e AS MATERIALIZED (SELECT config_id, config_id || ' ' || src AS src, config_id || ' ' || dst AS dst FROM cedges),
+    inner_ AS MATERIALIZED (SELECT * FROM e WHERE dst IN (SELECT src FROM e)),
     v AS (SELECT config_id, src AS node FROM e UNION SELECT config_id, dst FROM e),
     o AS (SELECT config_id, count(DISTINCT src) AS n FROM e GROUP BY config_id),
-    i AS (SELECT config_id, max(n) AS n FROM (SELECT config_id, dst, count(*) AS n FROM e GROUP BY ALL) GROUP BY config_id),
-    r AS (SELECT a.config_id, count(*) AS m, avg(CASE WHEN b.src IS NULL THEN 0.0 ELSE 1 END) AS r FROM e a LEFT JOIN e b ON a.src = b.dst AND a.dst = b.src AND a.src <> a.dst GROUP BY a.config_id),
+    ind AS (SELECT config_id, dst, count(*) AS n FROM e GROUP BY ALL),
+    i AS (SELECT config_id, max(n) AS n FROM ind GROUP BY config_id),
+    hub AS (SELECT config_id, string_agg(split_part(dst, ' ', 2), ' ' ORDER BY n DESC, dst) AS hubs FROM (SELECT *, row_number() OVER (PARTITION BY config_id ORDER BY n DESC, dst) AS k FROM ind) WHERE k <= 3 GROUP BY config_id),
+    {_local("e", "1")}, {_local("inner_", "2")},
     ends AS (SELECT src AS x, dst AS y FROM e UNION ALL SELECT dst, src FROM e),
     lab(node, c) USING KEY (node) AS (SELECT node, node FROM v UNION SELECT y, min(l.c) FROM lab l JOIN ends ON x = l.node JOIN recurring.lab q ON q.node = y WHERE l.c < q.c GROUP BY y),
     w AS (SELECT k::INT AS config_id, max(n) AS n FROM (SELECT split_part(c, ' ', 1) AS k, count(*) AS n FROM lab GROUP BY c) GROUP BY k),
     n AS (SELECT config_id, count(*) AS n FROM v GROUP BY config_id)
-    SELECT n.config_id, n.n AS nodes, r.m AS edges, o.n AS expanded_nodes, n.n - o.n AS frontier_nodes, round(r.m / n.n, 6) AS mean_in_degree, i.n AS max_in_degree, round(r.r, 6) AS reciprocity, w.n AS largest_wcc
-    FROM n JOIN o USING (config_id) JOIN i USING (config_id) JOIN r USING (config_id) JOIN w USING (config_id)"""
+    SELECT n.config_id, n.n AS nodes, r1.m AS edges, o.n AS expanded_nodes, n.n - o.n AS frontier_nodes, round(r1.m / n.n, 6) AS mean_in_degree, i.n AS max_in_degree, round(r1.r, 6) AS reciprocity, round(l1.s / n.n, 6) AS clustering,
+      w.n AS largest_wcc, round(w.n / n.n, 6) AS wcc_ratio, coalesce(r2.m, 0) AS core_edges, round(coalesce(r2.r, 0), 6) AS core_reciprocity, round(coalesce(l2.s, 0) / o.n, 6) AS core_clustering, hubs
+    FROM n JOIN o USING (config_id) JOIN i USING (config_id) JOIN r1 USING (config_id) JOIN w USING (config_id) JOIN hub USING (config_id) LEFT JOIN l1 USING (config_id) LEFT JOIN r2 USING (config_id) LEFT JOIN l2 USING (config_id)"""
 )
 def config_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of every config that has edges."""
+    """Statistics of every config that has edges, of its core, and its hubs."""
     r = metrics.report(config_edges(spark, sf_dir).select("config_id", "src", "dst"))
-    return r.withColumns({c: F.round(c, 6) for c in ("mean_in_degree", "reciprocity")})
+    return r.withColumns({c: F.round(c, 6) for c in ("mean_in_degree", "reciprocity", "clustering", "wcc_ratio", "core_reciprocity", "core_clustering")})
 
 
 _ROUND = """f{0} AS (SELECT word FROM (SELECT dst AS word, count(*) AS indeg FROM edges WHERE src IN (SELECT word FROM v{1}) AND dst NOT IN (SELECT word FROM v{1}) GROUP BY dst ORDER BY indeg DESC, word LIMIT 25) WHERE length(word) > 1),

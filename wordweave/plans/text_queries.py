@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordweave.functions import nouns, text as T
+from wordweave.functions.arrays import bound
 from wordweave.operators import crawl, phrases, store
+from wordweave.operators.search_log import clamped
 from wordweave.plans import testbed
-from wordweave.plans.registry import GRAPH, HEADS, query
-from wordweave.session import written
-from wordweave.sources.readers import feed_titles, page_view_titles, table
+from wordweave.plans.registry import GRAPH, HEADS, SQL, query
+from wordweave.session import shared_dir, ship, written
+from wordweave.sources.feeds import SavedFeeds
+from wordweave.sources.readers import feed_titles, page_view_titles, table, tsv_pairs, word_lines, write_tsv, write_word_lines
 
 #: RE2 knows ASCII word boundaries only; with other letters as _ they are Unicode's.
 _PLAIN = "regexp_replace(text, '[ªµºÀ-ÖØ-öø-ɏ]', '_', 'g')"
@@ -252,7 +259,23 @@ def phrase_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.vocabulary(table(spark, sf_dir, "part").select(F.col("p_name").alias("word")))
 
 
-@query()
+#: Tokens with their places, in characters from 0: spans (id, i, w, at).
+_SPANS = f"""gaps AS (SELECT doc_id AS id, regexp_extract_all(coalesce(text, ''), '{T.TOKEN}') AS w, string_split_regex(coalesce(text, ''), '{T.TOKEN}') AS g FROM documents),
+placed AS (SELECT id, u.i AS i, u.w AS w, (sum(length(u.w) + length(u.g)) OVER (PARTITION BY id ORDER BY u.i) - length(u.w))::INT AS pos
+           FROM (SELECT id, unnest(list_transform(w, lambda x, i: {{'i': i, 'w': x, 'g': g[i]}})) AS u FROM gaps)),
+spans AS MATERIALIZED (SELECT * FROM placed WHERE lower(w) NOT IN ({_sql_list(T.JUNK)}))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SPANS}, b AS (SELECT string_split_regex(lower(text), '[ \n]') AS w FROM benchmark),
+    two AS (SELECT w[i] || ' ' || w[i + 1] AS p FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b) UNION SELECT array_to_string(w[1:3], ' ') FROM b),
+    vocab AS (SELECT p, regexp_extract(p, '^(?:{T.TOKEN})') AS f FROM two WHERE length(p) BETWEEN 4 AND 60 AND instr(p, ' ') > 0),
+    hits AS MATERIALIZED (SELECT s.id, s.pos, max(s.pos + length(p)) AS upto FROM spans s JOIN vocab ON f = lower(s.w) JOIN documents d ON d.doc_id = s.id WHERE f <> '' AND lower(substr(d.text, s.pos + 1, length(p))) = p GROUP BY ALL),
+    taken(id, pos, upto) AS (SELECT id, min(pos), arg_min(upto, pos) FROM hits GROUP BY id UNION ALL SELECT t.id, min(h.pos), arg_min(h.upto, h.pos) FROM taken t JOIN hits h ON h.id = t.id AND h.pos >= t.upto GROUP BY t.id),
+    left_ AS (SELECT s.id, count(*) AS n FROM spans s WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.id = s.id AND s.pos >= t.pos AND s.pos < t.upto) GROUP BY s.id),
+    got AS (SELECT id, count(*) AS n FROM taken GROUP BY id)
+    SELECT doc_id AS id, (coalesce(l.n, 0) + coalesce(g.n, 0))::INT AS n_spans, coalesce(g.n, 0)::INT AS n_phrases FROM documents LEFT JOIN left_ l ON l.id = doc_id LEFT JOIN got g ON g.id = doc_id"""
+)
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of tokens and known phrases in every document; phrases are the first three words of the benchmark's passages and what they hold in pairs. Tested against brute force."""
     b = table(spark, sf_dir, "benchmark").select(F.split(F.lower("text"), "[ \n]").alias("w"))
@@ -260,3 +283,108 @@ def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = written(phrases.vocabulary(known), "vocabulary")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return phrases.with_known(docs, vocab).select("id", F.size("spans").alias("n_spans"), F.size(F.filter("spans", lambda s: F.instr(s["word"], " ") > 0)).alias("n_phrases"))
+
+
+@query(
+    f"""WITH {_SPANS}, third AS (SELECT id, lower(w) AS word FROM placed WHERE i = 3),
+    hit AS (SELECT s.id, min(s.pos) AS pos FROM spans s JOIN third t ON t.id = s.id AND t.word = lower(s.w) GROUP BY s.id),
+    x AS (SELECT doc_id, text, word, coalesce(h.pos, instr(lower(text), word) - 1) AS pos FROM documents JOIN third t ON t.id = doc_id LEFT JOIN hit h ON h.id = doc_id),
+    y AS (SELECT *, pos + length(word) AS upto, greatest(pos - 140, 0) AS lo, least(length(text), pos + length(word) + 140) AS hi FROM x WHERE pos >= 0)
+    SELECT doc_id, word, CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(text, lo + 1, pos - lo) AS before, substr(text, pos + 1, upto - pos) AS match, substr(text, upto + 1, hi - upto) || CASE WHEN hi < length(text) THEN '…' ELSE '' END AS after FROM y"""
+)
+def text_word_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text around a word of its own, its third token: where the word stands by itself first, else where its letters do."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower(F.get(T.tokens(F.col("text")), 2)).alias("word"))
+    own = bound(F.col("word"), lambda w: F.filter(phrases.spans(F.col("text")), lambda s: F.lower(s["word"]) == w))
+    cut = docs.filter("word is not null").withColumn("s", bound(F.col("word"), lambda w: T.snippet(F.col("text"), w, at=F.get(own, 0)["start"] + 1)))
+    return cut.filter("s is not null").select("doc_id", "word", "s.*")
+
+
+def by_capitals(lang: str):
+    """A plain tagger: words between spaces, those with a capital being nouns that modify the next one if it has a capital too."""
+
+    def tag(texts: list[str]) -> list[list[tuple]]:
+        out = []
+        for text in texts:
+            rows, at, words = [], 0, text.split(" ")
+            big = ["A" <= w[:1] <= "Z" for w in words]
+            for i, w in enumerate(words):
+                before = big[i] and i + 1 < len(words) and big[i + 1]
+                rows.append((at, len(w), w, w, "", "PROPN" if big[i] else "X", "compound" if before else "dep", i + 1 if before else i, False, False))
+                at += len(w) + 1
+            out.append(rows)
+        return out
+
+    return tag
+
+
+@query(SQL["noun_compounds"])
+def noun_compounds_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nouns and compounds of every document by a table function that tags it, in a lateral join; the same as by tags from expressions."""
+    ship(spark).udtf.register("tagged_by_capitals", nouns.tagger(by_capitals))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = spark.sql("SELECT d.doc_id, t.* FROM {docs} d, LATERAL tagged_by_capitals(d.text, 'en') t", docs=docs.filter("text is not null"))
+    spans = docs.join(nouns.gathered(rows, "doc_id"), "doc_id").select("doc_id", F.explode(nouns.words(nouns.noun_spans(F.col("text"), F.col("tags"), F.lit("en")))).alias("word"))
+    return spans.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def saved_feeds(spark: SparkSession, sf_dir: str) -> str:
+    """The pages as saved bodies, a file each, in the shared folder: twice over, as in feed_items."""
+    path = re.sub("^file:/+", "/", f"{shared_dir(spark)}/feeds/{uuid.uuid4().hex}")
+    os.makedirs(path)
+
+    def save(batches):
+        for batch in batches:
+            for page, body in zip(batch["page_id"], batch["body"], strict=True):
+                with open(f"{path}/{page:012d}.xml", "w", encoding="utf-8") as f:
+                    f.write(body)
+            yield batch[["page_id"]]
+
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", "html").alias("body")).filter("body is not null").dropDuplicates(["page_id"])
+    pages.mapInPandas(save, "page_id long").write.format("noop").mode("overwrite").save()
+    return path
+
+
+_FEEDS = SQL["feed_items"]
+
+
+@query(_FEEDS)
+def feed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved feeds by the data source."""
+    ship(spark).dataSource.register(SavedFeeds)
+    return spark.read.format("saved_feeds").load(saved_feeds(spark, sf_dir)).select(F.col("feed").cast("long").alias("feed"), "pos", "title")
+
+
+@query(f"WITH {_SURF}, h AS (SELECT DISTINCT trim(w) AS word FROM s) SELECT word FROM h WHERE word <> ''")
+def file_word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words as a text file with one a line, read again."""
+    path = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([^ \n]+)"), F.lit(1))).alias("word")).distinct()
+    write_word_lines(words, path)
+    return word_lines(spark, path).distinct()
+
+
+@query(f"WITH {_SURF} SELECT w AS key, CASE WHEN {_ISWORD} THEN '1' ELSE '0' END AS value FROM s WHERE instr(w, chr(9)) = 0 AND instr(w, chr(13)) = 0")
+def file_word_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's flag as gzip TSV, read again."""
+    path = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    w = text_word_checks(spark, sf_dir).filter("instr(word, '\t') = 0 and instr(word, '\r') = 0")
+    write_tsv(w.select(F.col("word").alias("key"), F.col("ok").cast("int").alias("value")), path)
+    return tsv_pairs(spark, path)
+
+
+@query(
+    f"""WITH RECURSIVE {GRAPH}, {HEADS}, h AS (SELECT id, head, row_number() OVER (ORDER BY id DESC) AS i FROM (SELECT DISTINCT id, head FROM tok))
+    SELECT asked, id, head FROM h, (VALUES (0, 1), (7, 7), (9999, 5000)) n(asked, k) WHERE i <= k"""
+)
+def explore_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest expanded words, in pages of sizes within bounds whatever is asked for."""
+    t = testbed.texts(spark, sf_dir).select("id", "head")
+    pages = [t.orderBy(F.desc("id")).limit(clamped(n, 1, 5000)).select(F.lit(n).alias("asked"), "id", "head") for n in (0, 7, 9999)]
+    return pages[0].union(pages[1]).union(pages[2])
+
+
+@query(f"WITH RECURSIVE {GRAPH} SELECT t.id, t.head, length(d.text) AS n FROM (SELECT DISTINCT id, head FROM tok) t JOIN documents d ON d.doc_id = t.id ORDER BY t.id LIMIT 100")
+def text_responses_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first texts with their heads, in the order of their ids."""
+    return testbed.texts(spark, sf_dir).orderBy("id").limit(100).select("id", "head", F.length("text").cast("long").alias("n"))
