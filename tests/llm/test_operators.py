@@ -147,12 +147,34 @@ def test_topk_takes_any_finite_vector(spark):
     want = set()
     for q in [r.vec_id for r in ask.collect() if r.vec_id != 900]:
         score = {v: sum(a * b for a, b in zip(vec[q], x)) for v, x in vec.items() if v != q}
-        best = sorted(score, key=lambda v: (-float(score[v]), v))[:10]
+        best = sorted(score, key=lambda v: (-score[v], v))[:10]
         want |= {(q, i + 1, v, max(-(2**63), min(2**63 - 1, score[v]))) for i, v in enumerate(best)}
     got = topk_search.top_k(df, ask, size=50, query_size=4).collect()
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
 
 
+@pytest.mark.parametrize("big", [2.0**30, 2.0**45])
+def test_topk_ranks_by_whole_numbers(spark, big):
+    """Scores that one double stands for are told apart, within a long and beyond."""
+    df = spark.createDataFrame([(i, [big, float(i)]) for i in range(13)], "vec_id long, embedding array<double>")
+    ask = spark.createDataFrame([(100, [big, 1.0])], df.schema)
+    for size in (4, 50):
+        got = sorted((r["rank"], r.vec_id) for r in topk_search.top_k(df, ask, scale=1, size=size).collect())
+        assert got == [(i + 1, 12 - i) for i in range(10)]
+
+
+def test_topk_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    rows = [(i, [0.5] * 4) for i in range(2000)] + [(5000, [0.25] * 10_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    data = [len(r.data) for r in topk_search.blocks(df, 1024, 16384).collect()]
+    assert sum(data) == 4 * (2000 * 4 + 10_000)
+    monkeypatch.setattr(topk_search, "BLOCK_BYTES", 4096)
+    small = [len(r.data) for r in topk_search.blocks(df, 1024, 16384).collect()]
+    assert max(small) == 40_000 and sorted(small)[-2] <= 4096 and sum(small) == sum(data)
+    got = topk_search.top_k(df, df.filter("vec_id in (7, 5000)")).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 7] == [0, 1, 2, 3, 4, 5, 6, 8, 9, 10]
+
+
 def test_topk_stops_on_proof():
     import numpy as np
 

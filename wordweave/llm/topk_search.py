@@ -18,7 +18,7 @@ vectors; null vec_ids are left out; fewer than k candidates give as many rows; n
 no row; other columns are ignored. Any finite component takes part: vectors with scaled ones
 beyond 2**22 have blocks of their own, are bounded in floating point with room for its errors and
 scored with whole numbers of any size; a score beyond a long is shown as the nearest long and
-ranked as the double nearest to it.
+ranked as what it is. Blocks hold vectors of like length, so long ones don't widen short ones.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from wordweave.llm.shared import written
 from wordweave.session import ship
 
 SCALE, K, QUERY_EVERY = 1024, 10, 100
-#: Vectors of an index block, and queries of a query block.
-BLOCK, QUERY_BLOCK = 16384, 512
+#: Vectors of an index block, and queries of a query block, at most; bytes of either, of half of them, but for a single vector.
+BLOCK, QUERY_BLOCK, BLOCK_BYTES = 16384, 512, 32 << 20
 #: Quantised values of a dimension's segments lie this many bits apart from the components.
 SHIFT = 5
 ROUNDS = 24
@@ -44,7 +44,7 @@ NARROW = 2**22
 #: Components of this size and more count as not finite. Floats are smaller.
 MOST = 2.0**480
 _BLOCKS = "n long, dims long, wide boolean, ids binary, data binary"
-_HITS = "query_id long, vec_id long, score long, size double"
+_HITS = "query_id long, vec_id long, score long, size binary"
 
 
 def _packer(scale: int, size: int):
@@ -57,7 +57,7 @@ def _packer(scale: int, size: int):
         return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["n", "dims", "wide", "ids", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, tuple[list[np.ndarray], list[np.ndarray]]] = {False: ([], []), True: ([], [])}
+        held: dict[tuple[bool, int], tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for batch in batches:
             vec = batch.column(1)
             lengths = np.diff(np.asarray(vec.offsets))
@@ -69,15 +69,17 @@ def _packer(scale: int, size: int):
                 far = np.abs(scaled).max(1, initial=0) > NARROW
                 for wide in (False, True):
                     own, x = at[far == wide], scaled[far == wide]
-                    ids, rows = held[wide]
-                    for lo in range(0, len(own), size):
-                        ids.append(np.asarray(batch.column(0))[own[lo : lo + size]])
-                        rows.append(x[lo : lo + size])
-                        if sum(map(len, ids)) >= size:
+                    longest = 1 << int(dims).bit_length()  # vectors of a block are padded to less than twice their length
+                    most = max(1, min(size, BLOCK_BYTES // (8 * longest)))
+                    ids, rows = held.setdefault((wide, longest), ([], []))
+                    for lo in range(0, len(own), most):
+                        ids.append(np.asarray(batch.column(0))[own[lo : lo + most]])
+                        rows.append(x[lo : lo + most])
+                        if sum(map(len, ids)) >= most:
                             yield emit(ids, rows, wide)
                             ids.clear()
                             rows.clear()
-        for wide, (ids, rows) in held.items():
+        for (wide, _), (ids, rows) in held.items():
             if ids:
                 yield emit(ids, rows, wide)
 
@@ -156,9 +158,13 @@ class ImpactIndex:
                 break
         self.read += int(done[at - 1])
         scores = exact_scores(self.data[possible], q)
-        rank = scores.astype(np.float64)
-        best = np.sort(rank)[-k:][0]
-        return possible[rank >= best], scores[rank >= best]
+        best = np.sort(scores)[-k:][0]
+        return possible[scores >= best], scores[scores >= best]
+
+
+def _beyond(score: int) -> bytes:
+    """Bytes that order scores at or beyond a long's ends as the numbers do; nothing for others, which are ordered already."""
+    return b"" if abs(score) < 2**63 - 1 else (score + (1 << 1023)).to_bytes(128, "big")
 
 
 def _search(k: int):
@@ -181,11 +187,12 @@ def _search(k: int):
                 hits: list[tuple[np.ndarray, ...]] = []
                 for q_id, q in zip(q_ids, qs, strict=True):
                     at, scores = index.search(q, int(q_id), k)
-                    ids, rank = index.ids[at], scores.astype(np.float64)
-                    best = np.lexsort((ids, -rank))[:k]
-                    hits.append((np.full(len(best), q_id), ids[best], np.clip(scores[best], long.min, long.max).astype(np.int64), rank[best]))
+                    ids = index.ids[at]
+                    best = np.argsort(ids, kind="stable")
+                    best = best[np.argsort(-scores[best], kind="stable")][:k]
+                    hits.append((np.full(len(best), q_id), ids[best], np.clip(scores[best], long.min, long.max).astype(np.int64), np.array([_beyond(int(x)) for x in scores[best]], object)))
                 cols = [np.concatenate([h[i] for h in hits]) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in cols[:3]), pa.array(cols[3])], names=["query_id", "vec_id", "score", "size"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in cols[:3]), pa.array(cols[3].tolist(), pa.binary())], names=["query_id", "vec_id", "score", "size"])
 
     return run
 
