@@ -187,4 +187,4 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = predicted(docs, train(docs.select("doc_id", "text", "lang")))
-    return out.withColumn("held_out", held_out(F.col("doc_id")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
