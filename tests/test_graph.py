@@ -105,6 +105,45 @@ def test_components(spark):
     assert weak == {**dict.fromkeys(["a", "b", "c", "d", "leaf"], "a"), "x": "x", "y": "x"}
 
 
+def strong_by_hand(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set())
+
+    def reach(v):
+        seen, todo = {v}, [v]
+        while todo:
+            for w in near[todo.pop()] - seen:
+                seen.add(w)
+                todo.append(w)
+        return seen
+
+    far = {v: reach(v) for v in near}
+    return {v: min(w for w in far[v] if v in far[w]) for v in near}
+
+
+@pytest.mark.parametrize("nodes, edges, seed", [(30, 33, 1), (30, 45, 2), (30, 60, 3), (40, 52, 4), (12, 40, 5)])
+def test_strong_components_of_random_graphs(spark, nodes, edges, seed):
+    rng = random.Random(seed)
+    rows = [(f"n{rng.randrange(nodes):02d}", f"n{rng.randrange(nodes):02d}") for _ in range(edges)]
+    got = {r.node: r.component for r in metrics.strong_components(graph(spark, rows)).collect()}
+    assert got == strong_by_hand(rows)
+
+
+def test_strong_components_of_long_ways_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    contracted = metrics._contracted
+    monkeypatch.setattr(metrics, "_contracted", lambda left, seed: rounds.append(seed) or contracted(left, seed))
+    order = random.Random(5).sample(range(2000), 2000)
+    cycle = [(f"c{order[i]:04d}", f"c{order[(i + 1) % 2000]:04d}") for i in range(2000)]
+    chain = [(f"d{i:04d}", f"d{i + 1:04d}") for i in range(300)]
+    both = [(f"e{i:04d}", f"e{i + 1:04d}") for i in range(300)] + [(f"e{i + 1:04d}", f"e{i:04d}") for i in range(300)]
+    got = {r.node: r.component for r in metrics.strong_components(graph(spark, cycle + chain + both + [("d0300", "c0007"), ("c0008", "e0100")])).collect()}
+    assert got == {**{a: "c0000" for a, _ in cycle}, **{f"d{i:04d}": f"d{i:04d}" for i in range(301)}, **{f"e{i:04d}": "e0000" for i in range(301)}}
+    assert len(rounds) <= 30
+
+
 def test_clustering_and_reciprocity(spark):
     e = graph(spark, HAND)
     t = {r.node: (r.degree, r.triangles) for r in metrics.triangles(e).collect()}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,17 @@ def dead_ends(edges: DataFrame, k: int = 15, seed: str = "42") -> DataFrame:
     return by_hash(in_degrees(edges).filter("indeg = 1"), "word", seed, k)
 
 
-def _least_label(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels (node, label) as the least label that reaches each node along edges, its own included: a round for each step of the longest way."""
+#: Steps that the first searches of strong_components() may take.
+SHORT = 8
+
+
+def _least_label(edges: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame | None:
+    """labels (node, label) as the least label that reaches each node along edges, its own included: a round for each step of the longest way. None if it isn't done after `most` rounds."""
     last = None
-    while True:
+    for turn in count():
+        if turn == most:
+            released(last)
+            return None
         heard = edges.join(labels.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("heard"))
         moved = written(labels.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "labels")
         done = moved.filter("label <> old").isEmpty()
@@ -69,43 +78,103 @@ def weak_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _contracted(left: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, asked): a round of contraction of edges (src, dst), without loops, that keeps who reaches whom.
+
+    Nodes without in- or out-edges leave. A node goes into one that it shares edges both ways
+    with, else into its only successor or its only predecessor; none goes into one that goes
+    itself, which hashes decide. asked (node, into, by): the node is in the strong component
+    of `into` if that of one of its `by` is the same.
+    """
+    place = lambda c: F.xxhash64(F.col(c), F.lit(seed))
+    outs = left.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outs"), F.min("dst").alias("after"))
+    ins = left.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ins"), F.min("src").alias("before"))
+    mutual = left.join(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
+    mates = mutual.groupBy(F.col("src").alias("node")).agg(F.max_by("dst", place("dst")).alias("mate"))
+    how = F.when(F.col("mate").isNotNull(), "mate").when(F.col("outs") == 1, "after").when(F.col("ins") == 1, "before")
+    live = outs.join(ins, "node").join(mates, "node", "left").withColumn("how", how)
+    live = written(live.select("node", "how", F.when(F.col("how") == "mate", F.col("mate")).when(F.col("how") == "after", F.col("after")).when(F.col("how") == "before", F.col("before")).alias("into")), "scc-live")
+    rivals = live.filter("into is not null").groupBy(F.col("into").alias("node")).agg(F.min(place("node")).alias("rival"))
+    moves = live.join(live.select(F.col("node").alias("into"), F.col("into").alias("further")), "into").join(rivals, "node", "left")
+    moves = moves.filter(F.col("further").isNull() | (place("node") < place("into"))).filter(F.col("rival").isNull() | (place("node") < F.col("rival")))
+    moves = written(moves.select("node", "into", "how"), "scc-moves")
+    inner = left.join(live.select(F.col("node").alias("src")), "src", "left_semi").join(live.select(F.col("node").alias("dst")), "dst", "left_semi")
+    end = lambda c: moves.select(F.col("node").alias(c), F.col("into").alias(f"{c}_into"), F.col("how").alias(f"{c}_how"))
+    moved = inner.join(end("src"), "src", "left").join(end("dst"), "dst", "left").withColumns({"a": F.coalesce("src_into", "src"), "b": F.coalesce("dst_into", "dst")})
+    moved = written(moved, "scc-moved")
+    asked = moves.filter("how = 'mate'").select("node", "into", F.col("into").alias("by"))
+    asked = asked.union(moved.filter("dst_how = 'after'").select("dst", "dst_into", "a")).union(moved.filter("src_how = 'before'").select("src", "src_into", "b"))
+    out = written(moved.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "scc-edges"), written(asked.distinct(), "scc-asked")
+    released(live, moves, moved)
+    return out
+
+
+def _same(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges whose ends both have a label, and the same one."""
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    return edges.join(end("src"), "src").join(end("dst"), "dst").filter("src_label = dst_label").select("src", "dst")
+
+
+def _split(left: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """(edges, found): searches from many nodes at a time, forward and then backward; None if one takes more than `most` steps.
+
+    A node's colour is the least node that reaches it; inside the colour, its goal is the least
+    node that it reaches. Those whose goal is their colour are its strong component, found
+    (node, component); of the others, only edges inside one colour and goal stay.
+    """
+    nodes = written(vertices(left).withColumn("label", F.col("node")), "scc-nodes")
+    if (colour := _least_label(left, nodes, most)) is None:
+        released(nodes)
+        return None
+    inside = written(_same(left, colour), "scc-inside")
+    if (goal := _least_label(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes, most)) is None:
+        released(nodes, inside)
+        return None
+    both = written(colour.join(goal.select("node", F.col("label").alias("goal")), "node"), "scc-both")
+    rest = _same(inside, both.filter("goal <> label").select("node", F.col("goal").alias("label")))
+    out = written(rest, "scc-edges"), both.filter("goal = label").select("node", F.col("label").alias("component"))
+    released(nodes, inside)
+    return out
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of those that reach it and that it reaches.
 
-    Nodes without in- or out-edges among those left are components of their own. The others
-    take the least node that reaches them as colour; what a colour's own node is reached from
-    inside the colour is its component. Done components leave, and the rest goes again.
+    Two searches from all nodes split the graph first, if they end within SHORT steps, as they
+    do where ways are short. In what is left, chains, cycles and nodes with edges both ways are
+    contracted, a constant part of them in each round, so rounds grow with the logarithm of the
+    longest way through them. Where that leaves more than 7 of 8 edges, the searches go on, a
+    step for each step of the longest way that is left. Then contracted nodes are told, last
+    ones first, whether they are in the component of the node that they went into.
     """
+    nodes = vertices(edges)
     left = written(edges.select("src", "dst").filter("src <> dst").distinct(), "scc-edges")
-    nodes = written(vertices(edges), "scc-nodes")
-    done = None
-    while True:
-        live = written(left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node"))), "scc-live")
-        inner = left.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
-        inner = written(inner, "scc-edges")
-        shrunk = inner.count() < left.count()
-        left = inner
-        if left.isEmpty():
-            break
-        if shrunk:
-            continue
-        colour = written(_least_label(left, live.withColumn("label", F.col("node"))), "scc-colour")
-        c = colour.select(F.col("node").alias("src"), F.col("label").alias("cs")), colour.select(F.col("node").alias("dst"), F.col("label").alias("cd"))
-        inside = written(left.join(c[0], "src").join(c[1], "dst").filter("cs = cd").select("src", "dst"), "scc-inside")
-        found = written(colour.filter("node = label"), "scc-found")
-        front = found
-        while True:
-            back = front.join(inside.select(F.col("dst").alias("node"), "src"), "node").select(F.col("src").alias("node"), "label").distinct()
-            front = written(back.join(found, "node", "left_anti"), "scc-front")
-            if front.isEmpty():
-                break
-            found = written(found.union(front), "scc-found")
-        done = found if done is None else written(done.union(found), "scc-done")
-        gone = found.select("node")
-        left = written(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc-edges")
-    if done is None:
-        return nodes.withColumn("component", F.col("node"))
-    return nodes.join(done, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+    known, asks = [], []
+    if parts := _split(left, SHORT):
+        released(left)
+        left, found = parts
+        known.append(found)
+    n = left.count()
+    while n:
+        before, (left, asked) = left, _contracted(left, len(asks))
+        released(before)
+        asks.append(asked)
+        few, n = left.count() * 8 > n * 7, left.count()
+        if few and n:
+            before, (left, found) = left, _split(left)
+            released(before)
+            known.append(found)
+            n = left.count()
+    released(left)
+    known = written(reduce(DataFrame.union, known, nodes.limit(0).withColumn("component", F.col("node"))), "scc-known")
+    for asked in reversed(asks):
+        of = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+        told = asked.join(of("into"), "into", "left").join(of("by"), "by", "left").withColumn("component", F.coalesce("into_component", "into"))
+        told = told.filter(F.col("component") == F.coalesce("by_component", "by")).select("node", "component").distinct()
+        before, known = known, written(known.union(told), "scc-known")
+        released(before, asked)
+    named = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return named.join(named.groupBy("component").agg(F.min("node").alias("first")), "component").select("node", F.col("first").alias("component"))
 
 
 def largest(components: DataFrame) -> DataFrame:
