@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordweave.functions.text import is_word, norm
+from wordweave.functions.text import cache_key, is_word, json_string, norm
 from wordweave.operators.metrics import by_hash, in_degrees
 from wordweave.session import written
 
@@ -50,6 +50,28 @@ def schedule(fixed: DataFrame, pooled: DataFrame, first: int = 120, limit: int =
     return a.unionByName(b).orderBy("part", F.desc("score"), F.md5("word"), "word").limit(limit).select("word")
 
 
+def schedules(edges: DataFrame, nodes: DataFrame, responses: DataFrame, fixed: DataFrame, n: int = 900, first: int = 120, limit: int = 1000, langs: Sequence[str] = (), seed: str = "42") -> DataFrame:
+    """(lang, place, word): the schedules of all languages, or of those named, in one pass.
+
+    For each: `first` of its fixed seeds (lang, word) in shuffled order, then its pool of n words
+    that have no response, half by in-degree and half by chance, those that may be nodes in the
+    order of in-degrees; no key twice, `limit` in all. Spark cuts ranks of up to 1,000 before it shuffles, so a language
+    that holds most words isn't sorted as a whole.
+    """
+    by = Window.partitionBy("lang")
+    chance = F.md5(F.concat(F.lit(seed), F.col("word")))
+    best = lambda rows, order, k: rows.withColumn("i", F.row_number().over(by.orderBy(*order, "word"))).filter(F.col("i") <= k)
+    open_ = written(unexpanded(edges, nodes, responses, langs).select("lang", "word", "indeg"), "open")
+    given = fixed.filter(F.col("lang").isin(*langs)) if langs else fixed
+    parts = best(given.select("lang", "word").distinct(), [chance], first).select("lang", "word", F.lit(0).alias("part"), F.lit(0).cast("long").alias("score"))
+    for rows in (best(open_, [F.desc("indeg")], n // 2), best(open_, [chance], n - n // 2)):
+        parts = parts.union(rows.select("lang", "word", F.lit(1), F.col("indeg").cast("long")))
+    keyed = parts.withColumn("key", norm(F.col("word"))).filter((F.col("part") == 0) | is_word(F.col("word")))
+    order = ["part", F.desc("score"), F.md5("word"), "word"]
+    once = keyed.withColumn("i", F.row_number().over(Window.partitionBy("lang", "key").orderBy(*order))).filter("i = 1")
+    return once.withColumn("place", F.row_number().over(by.orderBy(*order))).filter(F.col("place") <= limit).select("lang", "place", "word")
+
+
 def ranked_seeds(mentions: DataFrame, limit: int = 400) -> DataFrame:
     """mentions (source, word, pos): words of most sources first, then by best place within a source, then by mentions."""
     per = mentions.groupBy("word").agg(F.count(F.lit(1)).alias("mentions"), F.size(F.collect_set("source")).alias("sources"), F.min("pos").alias("best"))
@@ -68,6 +90,12 @@ def through_cache(requests: DataFrame, calls: DataFrame) -> tuple[DataFrame, Dat
     return requests.join(known, ["kind", "cache_key"]), requests.join(known, ["kind", "cache_key"], "left_anti")
 
 
+def response_calls(responses: DataFrame, seed: int = 42) -> DataFrame:
+    """(kind, cache_key, output, id) of stored responses (id, word, text, model) under the keys that their calls have now, to be inserted into a ledger whose keys were made otherwise."""
+    key = cache_key(model=json_string(F.col("model")), seed=F.lit(str(seed)), word=json_string(F.col("word")))
+    return responses.select(F.lit("response").alias("kind"), key.alias("cache_key"), F.col("text").alias("output"), "id")
+
+
 def proposal_precision(proposals: DataFrame, edges: DataFrame) -> DataFrame:
     """proposals (target, word): of the words said to lead to a target, how many do. One row a target, and the whole as null."""
     hit = proposals.join(edges.select(F.col("src").alias("word"), F.col("dst").alias("target"), F.lit(1).alias("hit")).distinct(), ["word", "target"], "left")

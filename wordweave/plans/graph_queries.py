@@ -89,6 +89,21 @@ def crawl_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.schedule(fixed, crawl.pool(e, nodes(spark, sf_dir), _responses(e), "en", 100), first=10, limit=60)
 
 
+@query(
+    f"""{WITH}, o AS MATERIALIZED ({_OPEN}), given AS (SELECT DISTINCT lang, key AS word FROM heads JOIN nodes ON key = node),
+    parts AS (SELECT lang, word, 0 AS part, 0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42' || word), word) AS i FROM given) WHERE i <= 20
+              UNION SELECT lang, word, 1, indeg FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY indeg DESC, word) AS i, row_number() OVER (PARTITION BY lang ORDER BY md5('42' || word), word) AS j FROM o) WHERE i <= 45 OR j <= 45),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY part, score DESC, md5(word), word) AS place FROM parts WHERE part = 0 OR {_WORD})
+    SELECT lang, place::INT AS place, word FROM placed WHERE place <= 100"""
+)
+def crawl_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's words of every language: heads of its texts as fixed seeds, then its pool."""
+    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
+    heads = _responses(e)
+    fixed = heads.join(n, "key").select("lang", F.col("key").alias("word"))
+    return crawl.schedules(e, n, heads, fixed, n=90, first=20, limit=100)
+
+
 @query(f"{WITH} SELECT DISTINCT word FROM (SELECT low AS word, {NORM.format('low')} AS key FROM tok) WHERE key NOT IN (SELECT node FROM heads) AND key <> ''")
 def crawl_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)

@@ -242,6 +242,20 @@ def ledger_migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.groupBy("kind").agg(F.count(F.lit(1)).alias("rows")).join(kept, "kind")
 
 
+@query(f"WITH {_CALLS} SELECT kind, cache_key, output, id FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY id) AS i FROM calls c WHERE NOT EXISTS (FROM calls o WHERE o.cache_key = c.cache_key AND (o.id // 1000) % 3 = 0)) WHERE i = 1")
+def ledger_refilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stored responses add to a ledger that has a third of the conversations under present keys and the others under old ones."""
+    calls = written(_calls(spark, sf_dir), "calls")
+    ledger = KeyedTable(spark, f"{shared_dir(spark)}/ledgers/{uuid.uuid4().hex}", "kind string, cache_key string, output string, id long", ["kind", "cache_key"], buckets=16)
+    recent = F.expr("floor(id / 1000) % 3 = 0")
+    ledger.insert(calls.withColumn("cache_key", F.when(recent, F.col("cache_key")).otherwise(F.reverse("cache_key"))), "id")
+    c = table(spark, sf_dir, "conversations")
+    answers = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text"))
+    asked = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("word")).join(answers, ["conv_id", "turn"])
+    responses = asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "word", "text", F.lit("m").alias("model"))
+    return ledger.insert(crawl.response_calls(responses), "id").select("kind", "cache_key", "output", "id")
+
+
 _TOP5 = f"SELECT 'top' AS list, a, b, c AS n FROM (SELECT a, b, c, h, last FROM p ORDER BY c DESC, h ASC NULLS FIRST, last DESC LIMIT 5)"
 
 
