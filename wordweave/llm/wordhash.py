@@ -2,8 +2,10 @@
 
 A word's hash is a polynomial over its bytes (mod 2^64, random table and odd base), mixed
 with its length; a shingle's hash is a polynomial over its words' hashes. Columns are worked
-through in slices of about SLICE bytes, so memory stays the same for any batch; a longer
-document is a slice of its own.
+through in slices of about SLICE bytes, so memory stays the same for any batch. A longer
+document is a slice of its own, whose bytes are hashed in windows of SLICE: beside the text
+there are 24 bytes a word then, and 9 a word for shingles. A word over a window's end, or over
+several, goes on with the sum that it had there.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+#: Shingles that are hashed at once.
+STARTS = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -72,30 +76,55 @@ class Words:
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the k-word windows by the index of their first word (the last k - 1 of each document aren't windows), and which are windows."""
         m = len(self.hash)
-        at = np.arange(m)
-        last = np.repeat(self.first[1:], np.diff(self.first))
-        ok = at + k <= last
+        ok = np.ones(m, bool)
+        for back in range(1, min(k, m + 1)):
+            at = self.first[1:] - back
+            ok[at[at >= self.first[:-1]]] = False
         out = np.zeros(m, np.uint64)
-        if ok.any():
-            s = at[ok]
-            out[ok] = mix(_range_sums(self.hash, _STEP, s, s + k))
+        for lo in range(0, m, STARTS):
+            s = np.flatnonzero(ok[lo : lo + STARTS])
+            if len(s):
+                out[lo + s] = mix(_range_sums(self.hash[lo : lo + STARTS + k - 1], _STEP, s, s + k))
         return out, ok
 
 
 def _words(lo: int, data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     n = len(data)
-    space = SPACE[data]
-    before = np.ones(n, bool)
-    before[1:] = space[:-1]
-    after = np.ones(n, bool)
-    after[:-1] = space[1:]
-    inner = offsets[(offsets > 0) & (offsets < n)]
-    before[inner] = True
-    after[inner - 1] = True
-    start = np.flatnonzero(~space & before)
-    end = np.flatnonzero(~space & after) + 1
-    values = _TABLE[_LOWER[data] if lower else data]
-    hashes = mix(_range_sums(values, _BASE, start, end) + (end - start).astype(np.uint64) * _STEP)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    open_at, open_sum = 0, 0  # of a word that the window before cut
+    cut = False
+    for p in range(0, n, SLICE):
+        q = min(p + SLICE, n)
+        piece = data[p:q]
+        word = ~SPACE[piece]
+        edges = offsets[np.searchsorted(offsets, p, "left") : np.searchsorted(offsets, q, "right")] - p
+        before, after = np.ones(q - p, bool), np.ones(q - p, bool)
+        before[1:] = ~word[:-1]
+        before[edges[edges < q - p]] = True
+        after[:-1] = ~word[1:]
+        after[edges[edges > 0] - 1] = True
+        start, end = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
+        values = _TABLE[_LOWER[piece] if lower else piece]
+        sums = _range_sums(values, _BASE, start, end)
+        start += p
+        end += p
+        goes_on = cut and bool(word[0]) and not (len(edges) and edges[0] == 0)
+        if goes_on:
+            sums[0] = (open_sum + int(sums[0]) * pow(int(_BASE), p - open_at, 1 << 64)) % (1 << 64)
+            start[0] = open_at
+        elif cut:  # the word ended with its window
+            found.append((np.array([open_at]), np.array([p]), np.array([open_sum], np.uint64)))
+        cut = q < n and bool(word[-1])
+        if cut:
+            open_at, open_sum = int(start[-1]), int(sums[-1])
+            start, end, sums = start[:-1], end[:-1], sums[:-1]
+        found.append((start, end, sums))
+    if not found:
+        found.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+    start, end, hashes = (np.concatenate(x) if len(found) > 1 else x[0] for x in zip(*found, strict=True))
+    for at in range(0, len(hashes), STARTS):
+        part = slice(at, at + STARTS)
+        hashes[part] = mix(hashes[part] + (end[part] - start[part]).astype(np.uint64) * _STEP)
     return Words(lo, data, offsets, start, end, np.searchsorted(start, offsets), hashes)
 
 
