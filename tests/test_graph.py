@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import pyarrow as pa
 import pytest
 
 from wordweave.operators import metrics, paths
@@ -176,3 +177,54 @@ def test_triangles_in_groups_of_any_number(spark, arcs):
     got = {r.node: (r.degree, r.triangles) for r in metrics.triangles(graph(spark, rows), arcs).collect()}
     assert {v: (len(near[v]), t) for v, t in want.items()} == {v: x for v, x in got.items() if v in near}
     assert sum(want.values()) > 100
+
+
+def random_rows(seed, nodes, n):
+    rng = random.Random(seed)
+    return sorted({(f"n{min(rng.randrange(nodes), rng.randrange(nodes))}", f"n{rng.randrange(nodes)}") for _ in range(n)})
+
+
+def written_schemas(monkeypatch):
+    seen, plain = [], metrics.written
+    monkeypatch.setattr(metrics, "written", lambda df, name: seen.append((name, df.schema.simpleString())) or plain(df, name))
+    return seen
+
+
+def test_full_stats_work_on_numbers(spark, monkeypatch):
+    seen = written_schemas(monkeypatch)
+    row = metrics.full_stats(graph(spark, [*HAND, ("a", "b")])).first()
+    assert (row.nodes, row.edges, row.expanded_nodes, row.frontier_nodes, row.max_in_degree, row.largest_wcc, row.reciprocity) == (7, 8, 5, 2, 2, 5, 0.0)
+    assert row.mean_in_degree == pytest.approx(8 / 7) and row.clustering == pytest.approx((1 + 2 / 3 + 2 / 3 + 1 / 3) / 7)
+    assert seen and not [x for x in seen if "string" in x[1]]
+
+
+def test_numbers_that_two_nodes_share_are_drawn_anew(spark, monkeypatch):
+    plain = metrics.node_id
+    monkeypatch.setattr(metrics, "node_id", lambda node, by, seed: plain(node, by, seed) if seed else plain(node, by, seed) % 2)
+    pairs, nodes, seed = metrics.numbered(graph(spark, HAND))
+    assert seed == 1 and nodes.count() == 7
+    assert {r.node: r.component for r in metrics.weak_components(graph(spark, HAND)).collect()}["leaf"] == "a"
+
+
+def test_corners_by_marks_and_by_lookups(monkeypatch):
+    rows = {(int(a[1:]), int(b[1:])) for a, b in random_rows(3, 60, 500)}
+    arcs = sorted({(min(x), max(x)) for x in rows if x[0] != x[1]})
+    want = {}
+    for a, b in arcs:
+        for c in range(60):
+            if (a, c) in arcs and (b, c) in arcs:
+                for v in (a, b, c):
+                    want[v] = want.get(v, 0) + 1
+    for k, marks, lookups in ((1, 1 << 29, 1 << 18), (3, 64, 7), (4, 400, 50), (3, 1, 1000)):
+        monkeypatch.setattr(metrics, "MARKS", marks)
+        monkeypatch.setattr(metrics, "LOOKUPS", lookups)
+        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*arcs, strict=True)], ["a", "b"])
+        tasks, got = {}, {}
+        for r in next(metrics._dealer(k)(iter([batch]))).to_pylist():
+            for g in range(k):
+                x, y, z = sorted((r["ga"], r["gb"], g))
+                tasks.setdefault((x * k + y) * k + z, []).append(r)
+        for trio, blocks in tasks.items():
+            for r in metrics._corners(pa.Table.from_pylist([{"trio": trio, **b} for b in blocks]), k).to_pylist():
+                got[r["place"]] = got.get(r["place"], 0) + r["n"]
+        assert got == want

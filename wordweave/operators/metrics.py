@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordweave.operators.paths import core, undirected
+from wordweave.operators.paths import core
 from wordweave.session import released, ship, written
 
 
@@ -57,25 +58,82 @@ def _least_label(edges: DataFrame, labels: DataFrame, most: int | None = None) -
             return labels
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node connected, whatever the direction.
+def numbered(edges: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, int]:
+    """(pairs, nodes, seed) of edges (by .., src, dst), read three times; nodes of different `by` are different ones. A node's number is node_id(.., seed).
 
-    A node takes the least label of its neighbours, and then the label of the node that it is
-    named after: rounds grow with the logarithm of the longest way, not with its length.
+    pairs (by .., u, v, fwd, back): of any two linked nodes u <= v, whether an edge leads from u
+    to v, and back; a loop has u = v and fwd. nodes (by .., id, outdeg, indeg, degree): degree
+    counts linked nodes other than itself. Numbers are hashes, so no join has to hand them out;
+    if two nodes share one, another seed is taken, so nothing rests on luck.
+    """
+    names = edges.select(*by, F.col("src").alias("node")).union(edges.select(*by, "dst")).distinct().count()
+    for seed in count():
+        ends = edges.select(*by, node_id("src", by, seed).alias("s"), node_id("dst", by, seed).alias("d"))
+        forward = F.col("s") <= F.col("d")
+        pairs = ends.groupBy(*by, F.least("s", "d").alias("u"), F.greatest("s", "d").alias("v")).agg(F.max(forward.cast("int")).alias("fwd"), F.max((~forward).cast("int")).alias("back"))
+        pairs = written(pairs, "pairs")
+        end = lambda at, out, in_, far: F.struct(F.col(at).alias("id"), F.col(out).cast("long").alias("o"), F.col(in_).cast("long").alias("i"), far.cast("long").alias("n"))
+        apart = F.col("u") < F.col("v")
+        own = F.when(apart, F.array(end("u", "fwd", "back", apart), end("v", "back", "fwd", apart))).otherwise(F.array(end("u", "fwd", "fwd", apart)))
+        sums = [F.sum(f"x.{c}").alias(name) for c, name in (("o", "outdeg"), ("i", "indeg"), ("n", "degree"))]
+        nodes = written(pairs.select(*by, F.explode(own).alias("x")).groupBy(*by, F.col("x.id").alias("id")).agg(*sums), "numbers")
+        if nodes.select("id").distinct().count() == names:
+            return pairs, nodes, seed
+        released(pairs, nodes)
+
+
+def node_id(node: str, by: Sequence[str], seed: int) -> Column:
+    return F.xxhash64(*by, node, F.lit(seed))
+
+
+def _roots(pairs: DataFrame) -> DataFrame:
+    """(id, root) of the nodes of pairs (u, v), u < v, that aren't the root of their weak component themselves.
+
+    Every node goes under the least one that it is paired with, if that is less, and under the
+    last one over that, in as many joins as the logarithm of the way; then pairs between
+    what is left over are looked at again. Numbers are in no order, so few nodes are left each
+    time, and the pairs of a round are those of the last one that its trees don't hold.
     """
-    both = written(undirected(edges), "both-ways")
-    labels = last = written(vertices(edges).withColumn("component", F.col("node")), "labels")
+    known, left = None, pairs.select("u", "v").filter("u < v")
     while True:
-        heard = both.join(labels.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("heard"))
-        nearer = labels.join(heard, "node", "left").select("node", "component", F.least("component", "heard").alias("next"))
-        known = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
-        moved = written(nearer.join(known, "next").select("node", F.col("component").alias("old"), F.least("next", "jump").alias("component")), "labels")
-        done = moved.filter("old <> component").isEmpty()
-        released(last)
-        labels, last = moved.select("node", "component"), moved
-        if done:
-            released(both)
-            return labels
+        up = written(left.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("root")), "roots")
+        if up.isEmpty():
+            released(left, up if known is not None else None)
+            return up if known is None else known
+        while True:
+            # Many nodes have one root: what is looked up is each root once.
+            over = up.join(up.select(F.col("root").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("root"), F.col("root").alias("far"))
+            over = written(over, "roots-over")
+            if over.isEmpty():
+                released(over)
+                break
+            before, up = up, written(up.join(over, "root", "left").select("id", F.coalesce("far", "root").alias("root")), "roots")
+            released(before, over)
+        to = lambda c: up.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+        moved = left.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b"))
+        before, left = left, written(moved.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "root-pairs")
+        released(before)
+        if known is None:
+            known = up
+        else:
+            old = known
+            known = written(old.join(up.select(F.col("id").alias("root"), F.col("root").alias("far")), "root", "left").select("id", F.coalesce("far", "root").alias("root")).union(up), "roots-known")
+            released(old, up)
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node connected, whatever the direction; edges are read four times."""
+    pairs, nodes, seed = numbered(edges)
+    named = vertices(edges).withColumn("id", node_id("node", (), seed)).join(_roots(pairs), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
+    named = written(named, "weak")
+    released(pairs, nodes)
+    return named.join(named.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+
+
+def _sizes(nodes: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by .., largest_wcc) of numbered() nodes and pairs."""
+    of = nodes.select(*by, "id").join(_roots(pairs), "id", "left").groupBy(*by, F.coalesce("root", "id").alias("root")).count()
+    return of.groupBy(*by).agg(F.coalesce(F.max("count"), F.lit(0)).alias("largest_wcc"))
 
 
 def _contracted(left: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -182,77 +240,150 @@ def largest(components: DataFrame) -> DataFrame:
     return components.groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("size"))
 
 
-#: Arcs that one task holds, about.
-ARCS = 2_000_000
-#: Pairs of neighbours that are looked up at once.
-LOOKUPS = 1 << 21
-
-
-def _corners(table: pa.Table) -> pa.Table:
-    """(node, n): in how many triangles of one task's arcs (a, b) a node is, of those whose corners' groups are the task's three."""
-    ids, ends = np.unique(np.concatenate([table.column("a").to_numpy(), table.column("b").to_numpy()]), return_inverse=True)
-    group = np.zeros(len(ids), np.int64)
-    group[ends] = np.concatenate([table.column("ga").to_numpy(), table.column("gb").to_numpy()])
-    own = np.sort(np.array([table.column(c)[0].as_py() for c in ("x", "y", "z")]))
-    a, b = np.split(ends, 2)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    key = a * len(ids) + b  # sorted, and each arc is there once
-    first = np.searchsorted(a, np.arange(len(ids) + 1))
-    size = np.diff(first)
-    # An arc's third corner is looked for among the fewer out-neighbours of its ends, and looked up from the other end.
-    few = np.where(size[a] <= size[b], a, b)
-    far = a + b - few
-    total = np.zeros(len(ids), np.int64)
-    ahead = np.concatenate([[0], np.cumsum(size[few])])
+#: Arcs that one task holds, about; arcs worth a task of their own; arcs that are dealt as one batch.
+ARCS, FEW, DEAL = 6_000_000, 50_000, 1 << 20
+#: Pairs of neighbours that are looked up at once, and bits of the table that the commonest nodes' arcs are marked in.
+LOOKUPS, MARKS = 1 << 18, 1 << 29
+
+
+def _dealer(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arcs (a, b), as places in the order of degrees, to rows (ga, gb, arcs): the groups are the places' remainders by k, and `arcs` holds the quotients of many arcs, all first ends and then all second ones."""
+
+    def rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        block = a % k * k + b % k
+        order = np.argsort(block, kind="stable")
+        block, a, b = block[order], (a[order] // k).astype(np.int32), (b[order] // k).astype(np.int32)
+        cuts = np.flatnonzero(np.diff(block, prepend=-1))
+        ends = [*cuts[1:], len(block)]
+        blobs = [a[i:j].tobytes() + b[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts] // k), pa.array(block[cuts] % k), pa.array(blobs, pa.binary())], ["ga", "gb", "arcs"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in "ab"])
+            n += len(batch)
+            if n >= DEAL:
+                yield rows(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield rows(*map(np.concatenate, zip(*held, strict=True)))
+
+    return deal
+
+
+def _corners(table: pa.Table, k: int) -> pa.Table:
+    """(place, n): in how many triangles of one task's arcs a node is, of those whose corners' groups are the task's three."""
+    trio = table.column("trio")[0].as_py()
+    own = sorted({trio // k // k, trio // k % k, trio % k})
+    parts = [(ga, gb, np.frombuffer(x, np.int32).reshape(2, -1)) for ga, gb, x in zip(*(table.column(c).to_pylist() for c in ("ga", "gb", "arcs")), strict=True)]
+    w = len(own)
+    # Places in the order of degrees among the task's groups alone.
+    a = np.concatenate([x[0].astype(np.int64) * w + own.index(ga) for ga, _, x in parts])
+    b = np.concatenate([x[1].astype(np.int64) * w + own.index(gb) for _, gb, x in parts])
+    del parts
+    n = int(b.max()) + 1
+    key = np.sort(a * n + b)  # each arc is there once
+    a, b = np.divmod(key, n)
+    # Whole marks for the last nodes, as bits; of two neighbours that the table doesn't hold, the arc is looked up.
+    last = min(n, math.isqrt(min(MARKS, max(64 * len(key), 1 << 16))))
+    low = n - last
+    marks = np.zeros((last * last + 7) // 8, np.uint8)
+    at = (a[a >= low] - low) * last + b[a >= low] - low
+    byte, first_of = np.unique(at >> 3, return_index=True)
+    if len(at):
+        marks[byte] = np.bitwise_or.reduceat(np.left_shift(1, at & 7).astype(np.uint8), first_of)
+    starts = np.flatnonzero(np.diff(a, prepend=-1))
+    start = np.repeat(starts, np.diff(starts, append=len(a)))
+    before = np.arange(len(a)) - start  # an arc is paired with those before it of the same first end
+    ahead = np.concatenate([[0], np.cumsum(before)])
+    one_too_many = w == 2  # the third group is one of the two twice: triangles inside one group are another task's
+    hits = np.zeros(len(a), np.int64)
     lo = 0
     while lo < len(a):
         hi = max(lo + 1, int(np.searchsorted(ahead, ahead[lo] + LOOKUPS, "right")) - 1)
-        n = size[few[lo:hi]]
-        arc = np.repeat(np.arange(lo, hi), n)
-        third = b[first[few[arc]] + np.arange(len(arc)) - (ahead[lo:hi] - ahead[lo])[arc - lo]]
-        wanted = far[arc] * len(ids) + third
-        at = np.searchsorted(key, wanted)
-        hit = key[np.minimum(at, len(key) - 1)] == wanted
-        corners = np.stack([a[arc[hit]], b[arc[hit]], third[hit]])
-        corners = corners[:, (np.sort(group[corners], axis=0) == own[:, None]).all(0)]
-        total += np.bincount(corners.ravel(), minlength=len(ids))
+        far = np.repeat(np.arange(lo, hi), before[lo:hi])
+        near = np.arange(len(far)) - np.repeat(ahead[lo:hi] - ahead[lo] - start[lo:hi], before[lo:hi])
+        x, y = b[near], b[far]
+        if low == 0 or (len(x) and x.min() >= low):
+            bit = (x - low) * last + (y - low)
+            hit = np.flatnonzero(marks[bit >> 3] >> (bit & 7) & 1)
+        else:
+            hit = np.zeros(len(x), bool)
+            marked = np.flatnonzero(x >= low)
+            bit = (x[marked] - low) * last + (y[marked] - low)
+            hit[marked] = marks[bit >> 3] >> (bit & 7) & 1
+            rest = np.flatnonzero(x < low)
+            wanted = x[rest] * n + y[rest]
+            hit[rest] = key[np.minimum(np.searchsorted(key, wanted), len(key) - 1)] == wanted
+            hit = np.flatnonzero(hit)
+        near, far = near[hit], far[hit]
+        if one_too_many:
+            mixed = (a[far] % w != b[far] % w) | (a[far] % w != b[near] % w)
+            near, far = near[mixed], far[mixed]
+        if len(far):
+            base = int(start[lo])
+            hits[base:hi] += np.bincount(near - base, minlength=hi - base) + np.bincount(far - base, minlength=hi - base)
         lo = hi
+    # Each triangle is counted at both arcs from its first corner.
+    found = np.flatnonzero(hits)
+    total = np.bincount(b[found], hits[found], n) + np.bincount(a[found], hits[found], n) / 2
     there = np.flatnonzero(total)
-    return pa.table({"id": ids[there], "n": total[there]})
+    return pa.table({"place": there // w * k + np.array(own)[there % w], "n": total[there].astype(np.int64)})
 
 
-def triangles(edges: DataFrame, arcs_per_task: int = ARCS) -> DataFrame:
-    """(node, degree, triangles) of the undirected graph without loops; nodes with loops alone have degree 0.
+def _in_order(degree: DataFrame) -> DataFrame:
+    """degree (id, degree) with the place of each node in the order of degrees, from 0: places in the sorted parts, after all parts before."""
+    at = F.monotonically_increasing_id()
+    rows = written(degree.select("id", "degree").orderBy("degree", "id").withColumns({"part": F.shiftright(at, 33), "i": at.bitwiseAND((1 << 33) - 1)}), "tri-degree")
+    sizes = rows.groupBy("part").count()
+    more = sizes.select(F.col("part").alias("p"), F.col("count").alias("n"))
+    begins = sizes.join(F.broadcast(more), F.col("p") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("begin"))  # a row for each part
+    return rows.join(F.broadcast(begins), "part").select("id", "degree", (F.col("begin") + F.col("i")).alias("place"))
 
-    Each edge points from its end of lower degree to the other, so no node has many
+
+def _counted(pairs: DataFrame, arcs_per_task: int = ARCS) -> DataFrame:
+    """(id, degree, triangles) of the nodes of pairs (u, v) with u < v, each there once.
+
+    Each pair is an arc from its end of lower degree to the other, so no node has many
     out-neighbours, not even a hub. Nodes fall into k groups, and a task has the arcs among
-    three of them: every arc goes to k tasks, as two numbers, no list of neighbours to any, and
-    every triangle is counted in one. k grows with the root of the arcs, so that tasks don't.
+    three of them: every arc goes to k tasks, packed with others as two numbers, no list of
+    neighbours to any, and every triangle is counted in one. k grows with the root of the arcs,
+    so that tasks don't.
     """
-    spark = ship(edges.sparkSession)
-    pairs = edges.filter("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    pairs = written(pairs, "tri-pairs")
-    degree = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    degree = written(degree.withColumn("id", F.monotonically_increasing_id()), "tri-degree")
-    k = max(2, math.isqrt(6 * pairs.count() // arcs_per_task) + 1)
-    end = lambda c: degree.select(F.col("node").alias(c), F.col("degree").alias(f"d{c}"), F.col("id").alias(f"i{c}"))
-    ranked = pairs.join(end("u"), "u").join(end("v"), "v")
-    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("iu") < F.col("iv")))
-    arcs = ranked.select(F.when(up, F.col("iu")).otherwise(F.col("iv")).alias("a"), F.when(up, F.col("iv")).otherwise(F.col("iu")).alias("b"))
-    grouped = arcs.withColumns({"ga": F.pmod(F.xxhash64("a"), F.lit(k)).cast("long"), "gb": F.pmod(F.xxhash64("b"), F.lit(k)).cast("long")})
-    dealt = grouped.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
+    spark = ship(pairs.sparkSession)
+    n = pairs.count()
+    degree = pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    places = written(_in_order(degree), "tri-places")
+    k = max(2, min(8, math.isqrt(n // FEW)), math.isqrt(6 * n // arcs_per_task) + 1)
+    end = lambda c: places.select(F.col("id").alias(c), F.col("place").alias(f"p{c}"))
+    arcs = pairs.select("u", "v").join(end("u"), "u").join(end("v"), "v").select(F.least("pu", "pv").alias("a"), F.greatest("pu", "pv").alias("b"))
+    blocks = arcs.mapInArrow(_dealer(k), "ga long, gb long, arcs binary")
     trio = F.array_sort(F.array("ga", "gb", "g"))
-    dealt = dealt.select("a", "b", "ga", "gb", *[F.get(trio, i).alias(c) for i, c in enumerate("xyz")])
-    found = dealt.groupBy("x", "y", "z").applyInArrow(_corners, "id long, n long").groupBy("id").agg(F.sum("n").alias("triangles"))
-    counts = degree.join(found, "id", "left").select("node", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
-    return vertices(edges).join(counts, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("triangles", F.lit(0)).alias("triangles"))
+    dealt = blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))).withColumn("trio", (F.get(trio, 0) * k + F.get(trio, 1)) * k + F.get(trio, 2))
+    tasks = k * (k + 1) * (k + 2) // 6
+    dealt = dealt.select("trio", "ga", "gb", "arcs").repartition(min(tasks, 8 * spark.sparkContext.defaultParallelism + tasks // 4), "trio")
+    found = dealt.groupBy("trio").applyInArrow(lambda t: _corners(t, k), "place long, n long").groupBy("place").agg(F.sum("n").alias("triangles"))
+    return places.join(found, "place", "left").select("id", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+
+
+def triangles(edges: DataFrame, arcs_per_task: int = ARCS) -> DataFrame:
+    """(node, degree, triangles) of the undirected graph without loops; nodes with loops alone have degree 0. edges are read four times."""
+    pairs, _, seed = numbered(edges)
+    counts = _counted(pairs.filter("u < v"), arcs_per_task)
+    named = vertices(edges).withColumn("id", node_id("node", (), seed)).join(counts, "id", "left")
+    return named.select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("triangles", F.lit(0)).alias("triangles"))
+
+
+def _closed() -> Column:
+    """A node's local clustering: 2t / (d (d - 1)), 0 below degree 2."""
+    d = F.col("degree")
+    return F.when(d > 1, 2 * F.col("triangles") / (d * (d - 1))).otherwise(0.0)
 
 
 def clustering(edges: DataFrame) -> DataFrame:
     """One row (clustering): the mean of 2t / (d (d - 1)) over all nodes, 0 below degree 2."""
-    d = F.col("degree")
-    return triangles(edges).agg(F.coalesce(F.avg(F.when(d > 1, 2 * F.col("triangles") / (d * (d - 1))).otherwise(0.0)), F.lit(0.0)).alias("clustering"))
+    return triangles(edges).agg(F.coalesce(F.avg(_closed()), F.lit(0.0)).alias("clustering"))
 
 
 def reciprocity(edges: DataFrame) -> DataFrame:
@@ -263,10 +394,8 @@ def reciprocity(edges: DataFrame) -> DataFrame:
 
 
 def full_stats(edges: DataFrame) -> DataFrame:
-    """One row about the whole graph."""
-    e = written(edges.select("src", "dst").distinct(), "stats-edges")
-    outs, ins = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outdeg")), e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indeg"))
-    per = vertices(e).join(outs, "node", "left").join(ins, "node", "left").fillna(0, ["outdeg", "indeg"])
+    """One row about the whole graph; edges are read three times."""
+    pairs, per, _ = numbered(edges)
     base = per.agg(
         F.count(F.lit(1)).alias("nodes"),
         F.coalesce(F.sum((F.col("outdeg") > 0).cast("long")), F.lit(0)).alias("expanded_nodes"),
@@ -274,9 +403,18 @@ def full_stats(edges: DataFrame) -> DataFrame:
         F.coalesce(F.avg("indeg"), F.lit(0.0)).alias("mean_in_degree"),
         F.coalesce(F.max("indeg"), F.lit(0)).alias("max_in_degree"),
     )
-    wcc = largest(weak_components(e)).select(F.col("size").alias("largest_wcc"))
-    out = base.crossJoin(wcc).crossJoin(reciprocity(e)).crossJoin(clustering(e))  # one row each
-    return out.withColumn("wcc_ratio", F.when(F.col("nodes") > 0, F.col("largest_wcc") / F.col("nodes")).otherwise(0.0))
+    local = _counted(pairs.filter("u < v")).agg(F.coalesce(F.sum(_closed()), F.lit(0.0)).alias("_local"))
+    n = F.col("nodes")
+    out = base.crossJoin(_sizes(per, pairs)).crossJoin(_mutual(pairs)).crossJoin(local)  # one row each
+    share = lambda c: F.when(n > 0, F.col(c) / n).otherwise(0.0)
+    return out.withColumns({"clustering": share("_local"), "wcc_ratio": share("largest_wcc")}).drop("_local")
+
+
+def _mutual(pairs: DataFrame, by: Sequence[str] = (), edges: str = "edges", ratio: str = "reciprocity") -> DataFrame:
+    """(by .., edges, reciprocity) of numbered() pairs, as reciprocity()."""
+    n = F.sum(F.col("fwd") + F.col("back"))
+    both = F.sum(F.when(F.col("u") < F.col("v"), 2 * F.col("fwd") * F.col("back")).otherwise(0))
+    return pairs.groupBy(*by).agg(F.coalesce(n, F.lit(0)).cast("long").alias(edges), F.coalesce(both / n, F.lit(0.0)).alias(ratio))
 
 
 def report(edges: DataFrame, hubs_: int = 3) -> DataFrame:
@@ -315,9 +453,7 @@ def core_stats(edges: DataFrame) -> DataFrame:
     heads = edges.select(F.col("src").alias("node")).distinct()
     c = written(core(edges.select("src", "dst").distinct()), "core-edges")
     n = heads.agg(F.count(F.lit(1)).alias("nodes"))
-    t = triangles(c)
-    d = F.col("degree")
-    local = t.agg(F.coalesce(F.sum(F.when(d > 1, 2 * F.col("triangles") / (d * (d - 1))).otherwise(0.0)), F.lit(0.0)).alias("local"))
+    local = triangles(c).agg(F.coalesce(F.sum(_closed()), F.lit(0.0)).alias("local"))
     scc = largest(strong_components(c)).select(F.col("size").alias("largest_scc"))
     out = n.crossJoin(reciprocity(c)).crossJoin(local).crossJoin(scc)  # one row each
     few = F.col("nodes") < 2
