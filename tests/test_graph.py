@@ -228,3 +228,13 @@ def test_corners_by_marks_and_by_lookups(monkeypatch):
             for r in metrics._corners(pa.Table.from_pylist([{"trio": trio, **b} for b in blocks]), k).to_pylist():
                 got[r["place"]] = got.get(r["place"], 0) + r["n"]
         assert got == want
+
+
+def test_report_works_on_numbers(spark, monkeypatch):
+    seen = written_schemas(monkeypatch)
+    e = spark.createDataFrame([(c, a, b) for c in (1, 2) for a, b in HAND[c - 1 :]] + [(3, "x", "z"), (3, "x", "y"), (3, "x", "w"), (3, "x", "v")], "config_id int, src string, dst string")
+    got = {r.config_id: r for r in metrics.report(e).collect()}
+    assert (got[1].nodes, got[1].edges, got[1].expanded_nodes, got[1].largest_wcc, got[1].hubs) == (7, 8, 5, 5, "a d b")
+    assert (got[2].edges, got[2].hubs, got[2].core_edges) == (7, "a d c", 5)
+    assert got[3].hubs == "v w y" and got[3].clustering == 0.0 and got[3].core_edges == 0
+    assert seen and not [x for x in seen if "string" in x[1]]

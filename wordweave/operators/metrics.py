@@ -418,34 +418,30 @@ def _mutual(pairs: DataFrame, by: Sequence[str] = (), edges: str = "edges", rati
 
 
 def report(edges: DataFrame, hubs_: int = 3) -> DataFrame:
-    """A row for every config that edges (config_id, src, dst) has: nodes, edges, expanded and frontier nodes, in-degrees, reciprocity, clustering, largest weak component and its share, the same of the core, and its hubs. All in one pass: configs are parts of one graph that share no node."""
-    name = lambda c: F.concat(F.col("config_id").cast("string"), F.lit(" "), F.col(c))
-    of = F.substring_index("node", " ", 1).cast("long").alias("config_id")
-    e = written(edges.select("config_id", name("src").alias("src"), name("dst").alias("dst")).distinct(), "report-edges")
-    outs = e.groupBy("config_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outdeg"))
-    ins = written(e.groupBy("config_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indeg")), "report-in")
-    per = outs.join(ins, ["config_id", "node"], "full").fillna(0, ["outdeg", "indeg"])
-    base = per.groupBy("config_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("outdeg") > 0).cast("long")).alias("expanded_nodes"), F.sum((F.col("outdeg") == 0).cast("long")).alias("frontier_nodes"), F.avg("indeg").alias("mean_in_degree"), F.max("indeg").alias("max_in_degree"))
-
-    def mutual(rows: DataFrame, edges_name: str, ratio_name: str) -> DataFrame:
-        back = rows.select("config_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back")).filter("src <> dst")
-        return rows.join(back, ["config_id", "src", "dst"], "left").groupBy("config_id").agg(F.count(F.lit(1)).alias(edges_name), F.coalesce(F.sum("back") / F.count(F.lit(1)), F.lit(0.0)).alias(ratio_name))
+    """A row for every config that edges (config_id, src, dst) has: nodes, edges, expanded and frontier nodes, in-degrees, reciprocity, clustering, largest weak component and its share, the same of the core, and its hubs. All in one pass: configs are parts of one graph that share no node. edges are read four times."""
+    by = ["config_id"]
+    pairs, per, seed = numbered(edges, by)
+    base = per.groupBy(by).agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("outdeg") > 0).cast("long")).alias("expanded_nodes"), F.sum((F.col("outdeg") == 0).cast("long")).alias("frontier_nodes"), F.avg("indeg").alias("mean_in_degree"), F.max("indeg").alias("max_in_degree"))
 
     def local(rows: DataFrame, out: str) -> DataFrame:
-        d = F.col("degree")
-        return triangles(rows).groupBy(of).agg(F.sum(F.when(d > 1, 2 * F.col("triangles") / (d * (d - 1))).otherwise(0.0)).alias(out))
-
-    inner = written(core(e).select("config_id", "src", "dst"), "report-core")
-    parts = weak_components(e).groupBy(F.col("component").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    wcc = parts.groupBy(of).agg(F.max("n").alias("largest_wcc"))
-    top = Window.partitionBy("config_id").orderBy(F.desc("indeg"), "node")
-    first = ins.withColumn("i", F.row_number().over(top)).filter(F.col("i") <= hubs_)
-    hub = first.groupBy("config_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda x: F.substring_index(x["node"], " ", -1)), " ").alias("hubs"))
-    out = base.join(mutual(e, "edges", "reciprocity"), "config_id").join(hub, "config_id")
-    for more in (wcc, local(e, "_local"), mutual(inner, "core_edges", "core_reciprocity"), local(inner, "_core")):
-        out = out.join(more.withColumn("config_id", F.col("config_id").cast(edges.schema["config_id"].dataType)), "config_id", "left")
+        some = _counted(rows.filter("u < v")).filter("triangles > 0")
+        return some.join(per.select(*by, "id"), "id").groupBy(by).agg(F.sum(_closed()).alias(out))
+
+    heads = per.filter("outdeg > 0")
+    inner = pairs.join(heads.select(F.col("id").alias("u")), "u", "left_semi").join(heads.select(F.col("id").alias("v")), "v", "left_semi")
+    inner = written(inner.select(pairs.columns), "report-core")
+    # Numbers are in no order, so hubs are chosen among all nodes that have as many in-edges as the last one or more, by name.
+    top = Window.partitionBy(by).orderBy(F.desc("indeg"))
+    first = written(per.filter("indeg > 0").withColumn("i", F.rank().over(top)).filter(F.col("i") <= hubs_).select(*by, "id", "indeg"), "report-hubs")
+    named = edges.select(*by, F.col("dst").alias("node"), node_id("dst", by, seed).alias("id")).join(first, [*by, "id"]).select(*by, "node", "indeg").distinct()
+    of = Window.partitionBy(by).orderBy(F.desc("indeg"), "node")
+    named = named.withColumn("i", F.row_number().over(of)).filter(F.col("i") <= hubs_)
+    hub = named.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda x: x["node"]), " ").alias("hubs"))
+    out = base.join(_mutual(pairs, by), by).join(hub, by)
+    for more in (_sizes(per, pairs, by), local(pairs, "_local"), _mutual(inner, by, "core_edges", "core_reciprocity"), local(inner, "_core")):
+        out = out.join(more, by, "left")
     n, k = F.col("nodes"), F.col("expanded_nodes")
-    return out.select("config_id", "nodes", "edges", "expanded_nodes", "frontier_nodes", "mean_in_degree", "max_in_degree", "reciprocity", (F.col("_local") / n).alias("clustering"), "largest_wcc", (F.col("largest_wcc") / n).alias("wcc_ratio"), F.coalesce("core_edges", F.lit(0)).alias("core_edges"), F.coalesce("core_reciprocity", F.lit(0.0)).alias("core_reciprocity"), (F.coalesce("_core", F.lit(0.0)) / k).alias("core_clustering"), "hubs")
+    return out.select("config_id", "nodes", "edges", "expanded_nodes", "frontier_nodes", "mean_in_degree", "max_in_degree", "reciprocity", (F.coalesce("_local", F.lit(0.0)) / n).alias("clustering"), "largest_wcc", (F.col("largest_wcc") / n).alias("wcc_ratio"), F.coalesce("core_edges", F.lit(0)).alias("core_edges"), F.coalesce("core_reciprocity", F.lit(0.0)).alias("core_reciprocity"), (F.coalesce("_core", F.lit(0.0)) / k).alias("core_clustering"), "hubs")
 
 
 def core_stats(edges: DataFrame) -> DataFrame:
