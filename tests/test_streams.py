@@ -95,3 +95,11 @@ def test_schedule_catches_up(spark, tmp_path):
     for now in times:
         streams.scheduled(spark, str(tmp_path / "job"), now, lambda now=now: ran.append(now))
     assert ran == [at(1, 2), at(1, 3), at(2, 4), at(6, 1), at(6, 3)]
+
+
+def test_refreshed_keeps_a_batch_in_as_many_files_as_cores(spark, tmp_path):
+    source, sink = f"{tmp_path}/in", f"{tmp_path}/out"
+    add(spark, source, [(i, f"w{i}") for i in range(40)], "id long, text string", "a")
+    streams.drain(streams.refreshed(streams.file_stream(spark, source), lambda rows: rows.agg(F.count(F.lit(1)).alias("n")), sink, every=None))
+    assert streams.latest(spark, f"{sink}/result").first().n == 40
+    assert len(files(f"{sink}/table/batch=0")) == spark.sparkContext.defaultParallelism

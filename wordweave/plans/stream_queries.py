@@ -13,7 +13,7 @@ from wordweave.plans.graph_queries import graph_stats
 from wordweave.plans.log_queries import _SOLVED
 from wordweave.plans.registry import GRAPH, LOG, NORM, SQL, query
 from wordweave.plans.testbed import from_events, in_files
-from wordweave.session import shared_dir
+from wordweave.session import released, shared_dir, written
 from wordweave.sources.readers import table
 from wordweave.streaming import streams
 
@@ -75,7 +75,13 @@ def stream_refreshed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the graph of all texts so far, computed anew with each of two batches of documents."""
     path = _sink(spark)
     source = in_files(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 2)
-    compute = lambda docs: graph_stats(build.edges(build.document_texts(docs)))
+
+    def compute(docs: DataFrame) -> DataFrame:
+        e = written(build.edges(build.document_texts(docs)), "refreshed-edges")  # read several times
+        out = graph_stats(e)
+        released(e)
+        return out
+
     streams.drain(streams.refreshed(streams.file_stream(spark, source, 1), compute, path, every=None))
     return streams.latest(spark, f"{path}/result")
 

@@ -165,10 +165,10 @@ def first_seen(rows: DataFrame, key: str) -> DataFrame:
 
 
 def refreshed(stream: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, every: str | None = REFRESH) -> StreamingQuery:
-    """Heavy statistics of the whole table, computed anew after each batch, off the readers' path; they read the last result with latest(spark, path + "/result")."""
+    """Heavy statistics of the whole table, computed anew after each batch, off the readers' path; they read the last result with latest(spark, path + "/result"). A batch is kept in as many files as there are cores, so that those who compute don't read one file of one row group in one task."""
 
     def each(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/table/batch={n}")
+        batch.repartition(batch.sparkSession.sparkContext.defaultParallelism).write.mode("overwrite").parquet(f"{path}/table/batch={n}")
         whole = _table(batch.sparkSession, f"{path}/table", n + 1, StructType(batch.schema.fields))
         compute(whole).write.mode("overwrite").parquet(f"{path}/result/batch={n}")
         deleted(batch.sparkSession, f"{path}/result/batch={n - 2}")
