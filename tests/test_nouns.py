@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wordweave.functions import nouns
 from wordweave.operators import build
+from wordweave.plans.text_queries import noun_compounds, noun_compounds_lateral
 
 
 def spans(spark, rows):
@@ -103,3 +104,10 @@ def test_lateral_join_with_a_tagger(spark):
     spans = docs.join(nouns.gathered(rows, "id"), "id").select("id", nouns.words(nouns.noun_spans(F.col("text"), F.col("tags"), F.col("lang"))).alias("w"))
     got = {r.id: r.w for r in spans.collect()}
     assert got == {1: ["재즈", "음악", "SF"], 2: ["黑洞", "ok"], 3: ["宇宙", "音楽理論"], 4: ["event horizons"]}
+
+
+def test_tags_of_a_whole_text_are_neither_gathered_nor_joined(spark, sf_dir):
+    df = noun_compounds_lateral(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in df.collect()} == {tuple(r) for r in noun_compounds(spark, sf_dir).collect()}

@@ -62,6 +62,19 @@ def tagger(load: Callable[[str], Callable[[list[str]], list[list[tuple]]]]):
     return udtf(Tagger, returnType=f"i int, {TAGS.removeprefix('array<struct<').removesuffix('>>').replace(':', ' ').replace(',', ', ')}")
 
 
+def text_tagger(load: Callable[[str], Callable[[list[str]], list[list[tuple]]]]):
+    """A table function (text, lang) -> one row with the `tags` of the text, as tagger() else: nothing has to be gathered, so no token is shuffled."""
+    name = f"{load.__module__}.{load.__qualname__}"
+
+    class TextTagger:
+        def eval(self, text: str, lang: str):
+            if (name, lang) not in _LOADED:
+                _LOADED[name, lang] = load(lang)
+            yield (_LOADED[name, lang]([text or ""])[0],)
+
+    return udtf(TextTagger, returnType=f"tags {TAGS}")
+
+
 def gathered(tags: DataFrame, *by: str) -> DataFrame:
     """Rows of a lateral join with a tagger as arrays again: (by .., tags) in their order."""
     names = [f.name for f in _parse_datatype_string(TAGS).elementType.fields]

@@ -321,10 +321,10 @@ def by_capitals(lang: str):
 @query(SQL["noun_compounds"])
 def noun_compounds_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nouns and compounds of every document by a table function that tags it, in a lateral join; the same as by tags from expressions."""
-    ship(spark).udtf.register("tagged_by_capitals", nouns.tagger(by_capitals))
+    ship(spark).udtf.register("tagged_by_capitals", nouns.text_tagger(by_capitals))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = spark.sql("SELECT d.doc_id, t.* FROM {docs} d, LATERAL tagged_by_capitals(d.text, 'en') t", docs=docs.filter("text is not null"))
-    spans = docs.join(nouns.gathered(rows, "doc_id"), "doc_id").select("doc_id", F.explode(nouns.words(nouns.noun_spans(F.col("text"), F.col("tags"), F.lit("en")))).alias("word"))
+    rows = spark.sql("SELECT d.doc_id, d.text, t.tags FROM {docs} d, LATERAL tagged_by_capitals(d.text, 'en') t", docs=docs.filter("text is not null"))
+    spans = rows.select("doc_id", F.explode(nouns.words(nouns.noun_spans(F.col("text"), F.col("tags"), F.lit("en")))).alias("word"))
     return spans.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
